@@ -5,12 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fernwalk.llm.common import table
 from fernwalk.llm.license_templates import scan_licenses
+from fernwalk.llm.mixing import mix
+from fernwalk.llm.secret_scan import find_secrets
+from fernwalk.llm.simhash import near_duplicates
 from fernwalk.llm.url_filters import judge_urls
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_literal"
+    )
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -20,7 +39,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_license_templates, op9_url_filters)}
+    return {f.__name__: f for f in (op5_secret_scan, op6_source_mixing, op7_simhash_dedup, op8_license_templates, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
