@@ -8,11 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwalk.llm.common import table
+from fernwalk.llm.decontamination import find_leaks
 from fernwalk.llm.license_templates import scan_licenses
+from fernwalk.llm.line_frequency import quality
 from fernwalk.llm.mixing import mix
 from fernwalk.llm.secret_scan import find_secrets
 from fernwalk.llm.simhash import near_duplicates
 from fernwalk.llm.url_filters import judge_urls
+from fernwalk.llm.warc import archive
+
+
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive(table(spark, sf_dir, "pages"))
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +61,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op6_source_mixing, op7_simhash_dedup, op8_license_templates, op9_url_filters)}
+    return {f.__name__: f for f in (
+        op1_warc_bundles, op2_decontamination, op4_line_frequency, op5_secret_scan, op6_source_mixing, op7_simhash_dedup, op8_license_templates, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
