@@ -7,7 +7,7 @@ below that threshold documents are taken once more. Nothing is sorted by hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwalk.llm.common import SPACE, checked_broadcast, cut
@@ -20,14 +20,17 @@ MOST = 3
 HASH_BITS, STEP = 60, 12
 
 
+def measures(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The words of a text, and a hash of the id: the first 60 bits of its MD5."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return size, F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, h)``: words of each text, and a hash of the id (first 60 bits of its MD5)."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    """``(doc_id, source, size, h)`` of each row."""
+    size, h = measures(id_col, text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -122,3 +125,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return sizes.join(limits, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken")
     )
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies``, how often, and ``taken``, their words times that.
+
+    The decision is made again in each row from its own hash and its source's
+    threshold, so texts aren't shuffled. Columns of the same names are replaced.
+    """
+    sizes = cut(sized(docs, id_col, text_col, source_col))
+    limits = checked_broadcast(thresholds(sizes, cut(targets(sizes)))).select(
+        F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("last").alias("_last")
+    )
+    own = [c for c in docs.columns if c not in ("copies", "taken")]
+    size, h = measures(id_col, text_col)
+    hashed = docs.select(*own, size.alias("_size"), h.alias("_h"))
+    times = F.col("_copies") + (F.col("_h") <= F.col("_last")).cast("long")
+    return (
+        hashed.join(limits, F.col(source_col).eqNullSafe(F.col("_source")))
+        .select(*own, times.alias("copies"), (times * F.col("_size")).alias("taken"))
+        .where("taken > 0")
+    )

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from fernwalk.llm.common import table
 from fernwalk.llm.decontamination import find_leaks
+from fernwalk.llm.html_extract import extract_text
 from fernwalk.llm.license_templates import scan_licenses
 from fernwalk.llm.line_frequency import quality
 from fernwalk.llm.mixing import mix
 from fernwalk.llm.secret_scan import find_secrets
 from fernwalk.llm.simhash import near_duplicates
+from fernwalk.llm.toxicity import learn, score_toxicity
 from fernwalk.llm.url_filters import judge_urls
 from fernwalk.llm.warc import archive
 
@@ -33,6 +35,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -60,9 +67,26 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+ALL = (
+    op1_warc_bundles,
+    op2_decontamination,
+    op3_toxicity,
+    op4_line_frequency,
+    op5_secret_scan,
+    op6_source_mixing,
+    op7_simhash_dedup,
+    op8_license_templates,
+    op9_url_filters,
+    op10_html_extract,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
-        op1_warc_bundles, op2_decontamination, op4_line_frequency, op5_secret_scan, op6_source_mixing, op7_simhash_dedup, op8_license_templates, op9_url_filters)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
