@@ -134,15 +134,14 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     threshold, so texts aren't shuffled. Columns of the same names are replaced.
     """
     sizes = cut(sized(docs, id_col, text_col, source_col))
-    limits = checked_broadcast(thresholds(sizes, cut(targets(sizes)))).select(
-        F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("last").alias("_last")
-    )
+    limits = checked_broadcast(thresholds(sizes, cut(targets(sizes)))).select(F.struct("source", "copies", "last").alias("limit"))
     own = [c for c in docs.columns if c not in ("copies", "taken")]
     size, h = measures(id_col, text_col)
-    hashed = docs.select(*own, size.alias("_size"), h.alias("_h"))
-    times = F.col("_copies") + (F.col("_h") <= F.col("_last")).cast("long")
+    hashed = docs.select(F.struct(*own).alias("row"), size.alias("size"), h.alias("h"))
+    times = F.col("limit.copies") + (F.col("h") <= F.col("limit.last")).cast("long")
     return (
-        hashed.join(limits, F.col(source_col).eqNullSafe(F.col("_source")))
-        .select(*own, times.alias("copies"), (times * F.col("_size")).alias("taken"))
+        hashed.join(limits, F.col(f"row.{source_col}").eqNullSafe(F.col("limit.source")))
+        .select("row", times.alias("copies"), (times * F.col("size")).alias("taken"))
         .where("taken > 0")
+        .select("row.*", "copies", "taken")
     )

@@ -131,12 +131,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat that id one stays. Rows whose id is null stay, as nothing
     tells them apart.
     """
-    found = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id").where("_id IS NOT NULL"))
-    gone = found.where("_id <> component_id").select("_id").distinct()
-    left = docs.join(checked_broadcast(gone), F.col(id_col) == F.col("_id"), "left_anti")
-    again = cut(found.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id"))
+    found = cut(near_duplicates(docs, id_col, text_col).select(id_col, "component_id").where(F.col(id_col).isNotNull()))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    left = docs.join(checked_broadcast(gone), id_col, "left_anti").select(*docs.columns)
+    again = cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col))
     if again.isEmpty():
         return left
     hint = checked_broadcast(again)
-    once = left.join(hint, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return left.join(hint, F.col(id_col) == F.col("_id"), "left_anti").union(once)
+    once = left.join(hint, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return left.join(hint, id_col, "left_anti").select(*docs.columns).union(once)

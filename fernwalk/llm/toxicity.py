@@ -363,9 +363,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: s
     )
     order = (F.xxhash64("_id"), F.col("_id"))
     picked = usable.where("_label = 1").orderBy(*order).limit(rows).union(usable.where("_label = 0").orderBy(*order).limit(rows))
-    got = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = texts.join(F.broadcast(picked), F.col("id") == F.col("_id"))
     # Ids may repeat in the documents; one text of each is taken, so the bound holds.
-    held = got.groupBy("_id").agg(F.min(text_col).alias("text"), F.max("_label").alias("label")).collect()
+    held = got.groupBy("_id").agg(F.min("text").alias("text"), F.max("_label").alias("label")).collect()
     return fit(sorted((r["text"] or "", r["label"]) for r in held))
 
 
