@@ -39,17 +39,21 @@ def _keys(lines: Column, host: Column) -> Column:
     return F.filter(counted, lambda x: x["n"] >= MIN_LINE_WORDS)
 
 
-def _window_hashes(words: Column) -> Column:
-    """A hash of each window of WINDOW words, in order."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    # A hash of the hashes; doubling three times makes windows of two, four and eight words.
-    step, out = 1, one
+def _with_windows(df: DataFrame, hashes: str) -> DataFrame:
+    """``df`` with an array of word hashes made one of the hashes of all windows of WINDOW words.
+
+    Hashes of one, two and four words are paired in turn. Each step is a projection
+    of its own, so none is computed again for each use in the next.
+    """
+    step = 1
     while step < WINDOW:
-        left = F.slice(out, F.lit(1), F.greatest(F.size(out) - step, F.lit(0)))
-        right = F.slice(out, F.lit(step + 1), F.greatest(F.size(out) - step, F.lit(0)))
-        out = F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn(hashes, _paired(hashes, step))
         step *= 2
-    return out
+    return df.withColumn(hashes, F.slice(hashes, F.lit(1), F.size(hashes) - (WINDOW - 1)))
+
+
+def _paired(hashes: str, step: int) -> Column:
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
 
 
 def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -73,8 +77,9 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _keys(F.col("_lines"), F.col("_host")).alias("lines"),
-        F.when(F.size("_words") >= WINDOW, _window_hashes(F.col("_words"))).alias("_h"),
+        F.when(F.size("_words") >= WINDOW, F.transform("_words", lambda w: F.xxhash64(w))).alias("_h"),
     )
+    hashed = _with_windows(hashed, "_h")
     again = F.size(F.array_distinct("_h")) < F.size("_h")
     ranked = hashed.withColumn(
         "_s", F.when(again, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
