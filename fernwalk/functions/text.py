@@ -71,8 +71,8 @@ def strip_markdown(text: Column) -> Column:
         (r"(?m)^```.*$", ""),
         (r"!\[[^\]]*\]\([^)]*\)", ""),
         (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""),
-        (r"(?m)^\s{0,3}[-*+]\s+", ""),
+        (r"(?m)^ {0,3}#{1,6}\s+", ""),
+        (r"(?m)^ {0,3}[-*+] +", ""),
         (r"(\*\*|__|`)", ""),
     ):
         text = F.regexp_replace(text, pattern, plain)
