@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from fernwalk.llm.common import SPACE, checked_broadcast, cut
 
-#: A line in more documents of its host than this is removed.
-MAX_DOCS = 100
+#: A line is removed if it is in more documents of its host than this, and in more than one in MAX_SHARE of them.
+MAX_DOCS, MAX_SHARE = 100, 200
 #: Lines with fewer words are too short to tell boilerplate.
 MIN_LINE_WORDS = 3
 #: A document is depleted if it keeps less than this percentage of its words.
@@ -93,13 +93,25 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "lines")
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """``(key)`` of the lines that stand in more than ``max_docs`` rows of one host; a row counts once."""
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE) -> DataFrame:
+    """``(key)`` of the lines that stand in more than ``max_docs`` rows of one host and in more than one in ``max_share`` of its rows.
+
+    A row counts a line once. The share keeps a line of a large host from being
+    taken for boilerplate only because the host is large.
+    """
+    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.col(host_col).isNull())
     keys = F.array_distinct(F.transform(_keys(_lines(text_col), F.col(host_col)), lambda x: x["key"]))
-    return docs.select(F.explode(keys).alias("key")).groupBy("key").count().where(F.col("count") > max_docs).select("key")
+    often = (
+        docs.select(host.alias("host"), F.explode(keys).alias("key"))
+        .groupBy("key")
+        .agg(F.count("*").alias("rows"), F.min("host").alias("host"))
+        .where(F.col("rows") > max_docs)
+    )
+    hosts = docs.groupBy(host.alias("host")).agg(F.count("*").alias("all"))
+    return often.join(hosts, "host").where(F.col("rows") * max_share > F.col("all")).select("key")
 
 
-def quality(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Base counts, ``base_failed``, ``n_removed_words`` and ``kept``, one row for each row of ``docs``.
 
     Every row is a document of its own, so repeated rows are counted and judged
@@ -107,7 +119,7 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", t
     Null ids stay, other columns are ignored, and an empty table gives an empty
     result.
     """
-    frequent = checked_broadcast(cut(frequent_lines(docs, text_col, host_col, max_docs))).withColumn("hit", F.lit(1))
+    frequent = checked_broadcast(cut(frequent_lines(docs, text_col, host_col, max_docs, max_share))).withColumn("hit", F.lit(1))
     base = base_columns(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id())
     own = [c for c in base.columns if c != "lines"]
     lines = base.select(*own, F.explode_outer("lines").alias("line")).select(*own, "line.key", "line.n")

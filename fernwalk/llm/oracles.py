@@ -33,7 +33,9 @@ win AS (SELECT r, i, array_to_string(w[i : i + {L.WINDOW - 1}], ' ') AS g FROM (
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {L.WINDOW})) AS p FROM again) GROUP BY r),
 long AS (SELECT r, source, y, len(string_split(y, ' ')) AS n FROM line WHERE len(string_split(y, ' ')) >= {L.MIN_LINE_WORDS}),
-often AS (SELECT source, y FROM long GROUP BY source, y HAVING count(DISTINCT r) > {L.MAX_DOCS}),
+host AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+often AS (SELECT source, y FROM (SELECT source, y, count(DISTINCT r) AS c FROM long GROUP BY source, y) o WHERE c > {L.MAX_DOCS}
+    AND {L.MAX_SHARE} * c > (SELECT max(docs) FROM host h WHERE h.source IS NOT DISTINCT FROM o.source)),
 gone AS (SELECT r, sum(n) AS n_removed FROM long l JOIN often o ON l.y = o.y AND l.source IS NOT DISTINCT FROM o.source GROUP BY r),
 a AS (SELECT n.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_removed,
     n_words < {L.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {L.MAX_REPEATED} * n_words AS base_failed

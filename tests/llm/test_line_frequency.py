@@ -57,6 +57,13 @@ def test_lines_in_many_documents_go(spark):
     assert {r.n_removed_words for r in got} == {0}
 
 
+def test_a_large_host_needs_a_larger_number(spark):
+    data = [(i, "one two three four\n" * (i < 30) + f"own words {i} " * 20, "a") for i in range(400)]
+    df = spark.createDataFrame(data, DOCS)
+    assert L.frequent_lines(df, max_docs=20, max_share=10).collect() == []
+    assert len(L.frequent_lines(df, max_docs=20, max_share=14).collect()) == 1
+
+
 def test_a_row_counts_a_line_once(spark):
     df = spark.createDataFrame([(1, "one two three\n" * 50, "a")], DOCS)
     assert L.frequent_lines(df, max_docs=1).collect() == []
