@@ -22,7 +22,7 @@ from fernwalk.llm.html_blocks import Block, blocks
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 512, 48, 12, 16
 #: Ancestors whose names count by their distance from the block.
 NEAR = 3
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 1800, 7, 32, 7
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 2400, 8, 32, 7
 #: Blocks, padding included, that one step of the network holds.
 STEP_BLOCKS = 4096
 
@@ -243,7 +243,8 @@ class _PageMaker:
             for _ in range(r.randint(1, 6)):
                 inner = self.open(r.choice(("div.comment", "li", "div.reply", "article.comment", "div", "p")))
                 self.made.append(f"<span>{self.word()}</span> " if r.random() < 0.5 else "")
-                self.text(r.choice(("p", "div")), 2, 40, False)
+                for _ in range(r.choice((1, 1, 1, 2, 3))):
+                    self.text(r.choice(("p", "div")), 2, 40, False)
                 self.made.append(inner)
         elif kind == "footer":
             self.made.append(r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentence(2, 8)}", f"<p>© 2020 {self.words(1, 4)}</p>", self.sentence(3, 10))))
@@ -259,7 +260,12 @@ class _PageMaker:
         r = self.r
         ends = [self.open(x) for x in (["div.wrapper"] if r.random() < 0.2 else []) + [r.choice(CONTENT)] + (["div"] if r.random() < 0.2 else [])]
         if r.random() < 0.85:
+            # The article's own header holds its title, which stays.
+            top = self.open(r.choice(("header", "div.title", "div.entry.header", "hgroup"))) if r.random() < 0.2 else ""
             self.text(r.choice(("h1", "h1", "h2")), 1, 10, True)
+            if r.random() < 0.15:
+                self.text(r.choice(("p", "div", "h2")), 2, 12, True)
+            self.made.append(top)
         for _ in range(r.choice((0, 1, 2, 3, 5, 8, 12, 20))):
             x = r.random()
             if x < 0.72:
@@ -273,8 +279,12 @@ class _PageMaker:
                 self.made.append("</ul>")
             elif x < 0.88:
                 self.text("blockquote", 4, 30, True)
-            elif x < 0.90:
+            elif x < 0.89:
                 self.text("pre", 2, 12, True)
+            elif x < 0.90:
+                inner = self.open("figure")
+                self.text("figcaption", 2, 12, True)
+                self.made.append(inner)
             elif x < 0.92:
                 self.made.append("<table><tr>")
                 for _ in range(3):
@@ -282,6 +292,9 @@ class _PageMaker:
                 self.made.append("</tr></table>")
             else:
                 self.clutter(r.choice(("ad", "ad", "side", "form", "notice")))
+        for kind, chance in (("side", 0.1), ("form", 0.06), ("comments", 0.12), ("nav", 0.06), ("footer", 0.06)):
+            if r.random() < chance:
+                self.clutter(kind)
         self.made += reversed(ends)
 
     def page(self) -> str:
