@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,9 @@ def failure_breakdown(m: DataFrame, error: str = "error_class") -> DataFrame:
 
 def slow_urls(m: DataFrame, k: int, elapsed: str = "elapsed_ms", tiebreak: str = "url") -> DataFrame:
     return m.orderBy(F.col(elapsed).desc(), tiebreak).limit(k)
+
+
+def observed(m: DataFrame, name: str = "fetch") -> tuple[DataFrame, Observation]:
+    """``m`` itself, and counts of attempts and failures that are known once it has run, at no extra pass."""
+    seen = Observation(name)
+    return m.observe(seen, F.count("*").alias("attempts"), F.sum((~F.col("ok")).cast("long")).alias("failures"), F.max("elapsed_ms").alias("slowest_ms")), seen

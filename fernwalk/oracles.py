@@ -156,5 +156,5 @@ def oracles() -> dict[str, str]:
         "slow_urls": f"SELECT url, phase, elapsed_ms FROM {ATTEMPTS} ORDER BY elapsed_ms DESC, url LIMIT {q.SLOWEST}",
         "ok_results": f"SELECT url, phase FROM {ATTEMPTS} WHERE ok",
         "json_field": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
-        "rank_fusion": "WITH u AS (SELECT user_id, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY user_id), r AS (SELECT user_id, row_number() OVER (ORDER BY n DESC, user_id) AS rk FROM u UNION ALL SELECT user_id, row_number() OVER (ORDER BY v DESC, user_id) FROM u) SELECT user_id, round(sum(1e0 / (60 + rk)), 9) AS score FROM r GROUP BY user_id",
+        "rank_fusion": f"SELECT user_id, round(sum(1e0 / (60 + rk)), 9) AS score FROM (SELECT user_id, row_number() OVER (PARTITION BY event_type ORDER BY v DESC, user_id) AS rk FROM (SELECT event_type, user_id, round(sum(value), 2) AS v FROM events GROUP BY ALL)) WHERE rk <= {q.FUSED} GROUP BY user_id",
     }

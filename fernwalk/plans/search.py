@@ -27,6 +27,11 @@ def compress(pages: DataFrame, terms: list[str], budget: int = BUDGET, lam: floa
     """
     kept = drop_blocked(pages, blocked)
     texts = kept.select(F.col("page_id").alias("doc_id"), extract_article(F.col("html")).alias("text"))
+    return compress_texts(texts, terms, budget, lam, shortest, strategy)
+
+
+def compress_texts(texts: DataFrame, terms: list[str], budget: int = BUDGET, lam: float = LAMBDA, shortest: int = 1, strategy: str = "prefix") -> DataFrame:
+    """The same for ``texts(doc_id, text)``, whose ids give their order."""
     rows = min_length(dedup_across_pages(sentences(texts), ["doc_id", "pos"]), shortest)
     scored = combine(rows, bm25(rows, terms, ["doc_id", "pos"]), centrality(rows), lam)
     return select_within_budget(scored, budget, strategy).select("doc_id", "pos", "s", "score")

@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TERMS = ("the", "eau", "erth", "der")
 TEST_BLOCKED = ("spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net", "cheap-pills.example.com", "cheap-pills.example.org", "cheap-pills.example.net")
 TEST_ROUTES = (("ththth.example.net", "api_a"), ("thther.example.org", "api_b"), ("therha.example.com", "snippet"))
-SENTENCES_KEPT, CENTRAL_KEPT, SLOWEST = 3, 3, 20
+SENTENCES_KEPT, CENTRAL_KEPT, SLOWEST, FUSED = 3, 3, 20, 50
 
 QUERY_TEXTS = (("q1", "北斎の絵"), ("q2", "葛飾北斎"), ("q3", "한국 요리"), ("q4", "погода завтра"), ("q5", "طقس الغد"), ("q6", "อากาศ"), ("q7", "best paintings"), ("q8", ""), ("q9", "Tokyo の天気"))
 FLAG_SETS = (("none", []), ("sci", ["sci"]), ("med", ["med"]), ("tech", ["tech"]), ("sci_med", ["sci", "med"]), ("all", ["sci", "med", "tech"]))
@@ -225,12 +225,10 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Users ranked by events and by value, fused."""
-    users = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))
-    from pyspark.sql import Window
-
-    ranked = [users.select("user_id", F.row_number().over(Window.orderBy(F.col(c).desc(), "user_id")).alias("rk")) for c in ("n", "v")]
-    return merge.rank_fusion(*ranked, item="user_id")
+    """The first users of each event type by their values, fused over the types."""
+    users = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 2).alias("v"))
+    ranked = merge.top_per_source(users, F.col("v").desc(), F.col("user_id"), FUSED, ("event_type",))
+    return merge.rank_fusion(ranked, item="user_id")
 
 
 ALL: tuple[Query, ...] = (

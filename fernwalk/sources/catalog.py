@@ -14,9 +14,9 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 def resolve_sources(queries: DataFrame, table: DataFrame | None = None, base: tuple[str, ...] = ()) -> DataFrame:
     """``(query_id, source)``, each once, for ``queries(query_id, flags)``; ``base`` are asked for every query."""
-    table = catalog(queries.sparkSession) if table is None else table
+    table = F.broadcast(catalog(queries.sparkSession)) if table is None else table
     asked = queries.select("query_id", F.explode("flags").alias("flag"))
-    out = asked.join(F.broadcast(table), "flag").select("query_id", "source")
+    out = asked.join(table, "flag").select("query_id", "source")
     if base:
         out = out.union(queries.select("query_id", F.explode(F.array(*map(F.lit, base))).alias("source")))
     return out.distinct()

@@ -44,7 +44,7 @@ class _Ask(InputPartition):
 
 
 class SearchSource(DataSource):
-    """``format("fernwalk_search")`` with options ``queries`` (JSON list of id and text), ``sources``, ``n`` and ``fetch``."""
+    """``format("fernwalk_search")`` with options ``asks`` (JSON list of query id, text and source), ``n`` and ``fetch``."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,7 +62,7 @@ class _SearchReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Ask(i, t, s) for i, t in json.loads(self.options["queries"]) for s in self.options["sources"].split(",")]
+        return [_Ask(*ask) for ask in json.loads(self.options["asks"])]
 
     def read(self, partition: _Ask) -> Iterator[tuple]:
         module, _, name = self.options.get("fetch", "fernwalk.sources.connectors:http_fetch").partition(":")
@@ -73,13 +73,18 @@ class _SearchReader(DataSourceReader):
             yield partition.query_id, partition.source, None, type(e).__name__
 
 
-def read_payloads(spark: SparkSession, queries: list[tuple[str, str]], sources: list[str], n: int = 5, fetch: str | None = None) -> DataFrame:
-    """``(query_id, source, payload, error_class)``; an attempt that failed has no payload and tells why."""
+def ask(spark: SparkSession, asks: list[tuple[str, str, str]], n: int = 5, fetch: str | None = None) -> DataFrame:
+    """``(query_id, source, payload, error_class)`` for each query id, text and source; an attempt that failed has no payload and tells why."""
     spark.dataSource.register(SearchSource)
-    reader = spark.read.format("fernwalk_search").option("queries", json.dumps(queries)).option("sources", ",".join(sources)).option("n", str(n))
+    reader = spark.read.format("fernwalk_search").option("asks", json.dumps(asks)).option("n", str(n))
     return (reader.option("fetch", fetch) if fetch else reader).load()
 
 
+def read_payloads(spark: SparkSession, queries: list[tuple[str, str]], sources: list[str], n: int = 5, fetch: str | None = None) -> DataFrame:
+    """Every query asked of every source."""
+    return ask(spark, [(i, t, s) for i, t in queries for s in sources], n, fetch)
+
+
 def read_source(spark: SparkSession, name: str, queries: list[tuple[str, str]], n: int = 5, fetch: str | None = None) -> DataFrame:
     """Decoded results of one source."""
     return decode_results(read_payloads(spark, queries, [name], n, fetch).select("query_id", "payload"), name)

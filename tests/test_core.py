@@ -222,6 +222,44 @@ def test_fetch_routes_decodes_and_falls_back(spark):
     assert {r.url: r.error_class for r in fetchers.fetch(results, raw).collect()}["https://e.example/2"] == "timeout"
 
 
+def gathered(source, query, n):
+    if source == "arxiv" or source == "web" and query == "rare":
+        return "<feed></feed>" if source == "arxiv" else json.dumps({"results": []})
+    if source == "github":
+        return json.dumps({"items": [{"html_url": f"https://github.com/a/{i}", "full_name": f"a/{i}", "description": "fox tools", "stargazers_count": i} for i in range(9)]})
+    if source in ("web", "web_fallback", "news", "discussions"):
+        host = "www.forbes.com" if source == "news" else f"{source.replace('_', '-')}.example"
+        return json.dumps({"results": [{"url": f"https://{host}/{i}", "title": "t", "snippet": "A fox snippet."} for i in range(8)]})
+    return json.dumps(PAYLOADS[source])
+
+
+def test_gathering_and_answering(spark):
+    from fernwalk.plans.gather import answer, gather, sources_of, with_regions
+
+    got = gather(spark, [("q1", "fox", ["tech"]), ("q2", "rare", ["sci"])], fetch="tests.test_core:gathered")
+    counts = {(r.query_id, r.source): r["count"] for r in got.groupBy("query_id", "source").count().collect()}
+    assert counts == {
+        ("q1", "web"): 8, ("q1", "discussions"): 5, ("q1", "hackernews"): 1, ("q1", "stackoverflow"): 1, ("q1", "devto"): 1, ("q1", "github"): 5,
+        ("q2", "web_fallback"): 8, ("q2", "discussions"): 5, ("q2", "openalex"): 1, ("q2", "semanticscholar"): 1,
+    }
+    assert [r.url[-1] for r in got.where("source = 'github'").orderBy("rk").collect()] == list("87654")
+    assert [r.url for r in got.where("source = 'openalex'").collect()] == ["o"]
+    assert sources_of(["sci", "med"]).count("openalex") == 1
+    raw = spark.createDataFrame([("https://web.example/0", "<article><p>The fox runs. It rains.</p></article>", None, 1), ("https://web.example/1", "<article><p>The fox runs. More foxes.</p></article>", None, 1)], "url string, raw string, error_class string, elapsed_ms int")
+    said = {(r.url, r.s) for r in answer(got.where("query_id = 'q1'"), raw, "fox").collect()}
+    assert ("https://web.example/0", "The fox runs") in said
+    assert ("https://web.example/1", "The fox runs") not in said
+    asked = with_regions(spark.createDataFrame([("q", "日本の絵")], "query_id string, text string")).first()
+    assert (asked.lang, asked.region) == ("ja", "jp-jp")
+
+
+def test_observed_counts_come_with_the_run(spark):
+    df = spark.createDataFrame([(True, 1), (False, 9)], "ok boolean, elapsed_ms int")
+    same, seen = observe.observed(df, "attempts_seen")
+    assert same.count() == 2
+    assert seen.get == {"attempts": 2, "failures": 1, "slowest_ms": 9}
+
+
 def test_pdfs_are_skipped_without_an_extractor(spark):
     df = spark.createDataFrame([("u", "application/pdf", bytearray(b"%PDF")), ("v", "text/html", bytearray(b"")), ("w", None, None)], "url string, content_type string, content binary")
     assert [r.url for r in filters.skip_pdf(df, False).collect()] == ["v", "w"]
