@@ -40,7 +40,7 @@ STEM_LENGTHS = range(4, 11)
 #: Stems need this many toxic rows, and the share of toxic rows among those that have them.
 STEM_ROWS, STEM_SHARE, MAX_STEMS = 5, 0.8, 200
 #: Words known to hold no term that a task remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 HOLD_OUT = 5
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -241,34 +241,43 @@ def features(words: list[str], hits: list[tuple[int, int, int]], terms: list[Ter
     ]
 
 
+def _starts(text: str) -> set[str]:
+    """Beginnings of a text's words."""
+    words = {_EDGE.sub("", w) for w in set(tokens(text))}
+    return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
+
+
 def learn_stems(rows: list[tuple[str, int]]) -> list[Term]:
     """Beginnings of words that toxic rows have and others don't, chosen one after another.
 
-    Each is chosen for the toxic rows that have no term yet.
+    Each is chosen for the toxic rows that have no term yet. Only beginnings that
+    enough toxic rows have are counted in the others, so little is held.
     """
     seed = Matcher([Term(t, False, 1.0) for t in SEED_TERMS])
+    plain = [text for text, label in rows if label and not any(edits == 0 for _, edits, _ in seed.hits(tokens(text)))]
+    bad = Counter()
+    for text in plain:
+        bad.update(_starts(text))
+    wanted = {s for s, n in bad.items() if n >= STEM_ROWS}
     bad, good, left = Counter(), Counter(), []
+    for text in plain:
+        left.append(_starts(text) & wanted)
+        bad.update(left[-1])
     for text, label in rows:
-        words = {_EDGE.sub("", w) for w in set(tokens(text))}
-        starts = {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
         if not label:
-            good.update(starts)
-        elif not any(seed.lexicon.match(w) == (0, t) for w in words for t in range(len(SEED_TERMS))):
-            bad.update(starts)
-            left.append(starts)
+            good.update(_starts(text) & wanted)
     out: list[Term] = []
     open_ = Counter(bad)
     for _ in range(MAX_STEMS):
         best, gain = None, 0.0
         for s, n in open_.items():
-            if n >= STEM_ROWS and (bad[s] + 0.0) / (bad[s] + good[s]) >= STEM_SHARE:
+            if n >= STEM_ROWS and bad[s] / (bad[s] + good[s]) >= STEM_SHARE:
                 g = n - 3 * good[s] - 0.01 * len(s)
                 if g > gain or g == gain and best is not None and s < best:
                     best, gain = s, g
         if best is None:
             break
-        share = (bad[best] + 0.5) / (bad[best] + good[best] + 1.0)
-        out.append(Term(best, True, share))
+        out.append(Term(best, True, (bad[best] + 0.5) / (bad[best] + good[best] + 1.0)))
         rest = []
         for starts in left:
             if best in starts:
@@ -320,20 +329,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model(tuple(terms), {}, (3.0, 3.0, 1.0, -1.0, 0.0, 0.0, 1.0, 0.0, 0.0), -4.0)
     terms += learn_stems(rows)
     matcher = Matcher(terms)
-    found = [(w := tokens(text), matcher.hits(w), label) for text, label in rows]
     good, bad = Counter(), Counter()
-    for words, hits, label in found:
-        forms = {words[i] for i, edits, _ in hits if edits}
-        (bad if label else good).update(forms)
-    x = []
-    for words, hits, label in found:
+    for text, label in rows:
+        words = tokens(text)
+        (bad if label else good).update({words[i] for i, edits, _ in matcher.hits(words) if edits})
+    x, y = [], []
+    for n, (text, label) in enumerate(rows):
+        words = tokens(text)
+        hits = matcher.hits(words)
         # A row's own label mustn't speak for its forms.
         own = {words[i] for i, edits, _ in hits if edits}
-        trust = {f: _trust(bad[f] - (label == 1), good[f] - (label == 0)) for f in own}
-        x.append(features(words, hits, terms, trust))
-    y = [label for _, _, label in found]
-    # The labelled rows spell their insults well; toxic ones are shown again with insults misspelled.
-    for n, (words, hits, label) in enumerate(found):
+        x.append(features(words, hits, terms, {f: _trust(bad[f] - (label == 1), good[f] - (label == 0)) for f in own}))
+        y.append(label)
+        # The labelled rows spell their insults well; toxic ones are shown again with insults misspelled.
         if label and (wrong := {i: t for i, edits, t in hits if not edits and not terms[t].stem and edits_allowed(terms[t].text)}):
             again = [misspelled(w, terms[wrong[i]].text, n) if i in wrong else w for i, w in enumerate(words)]
             x.append(features(again, matcher.hits(again), terms, {}))
