@@ -60,6 +60,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow holds of those before is given back each time, as workers live for many stages."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def map_columns(
     df: DataFrame,
     start: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
@@ -73,7 +81,7 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in freed(batches):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 got = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
@@ -91,7 +99,7 @@ def filter_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 yield part.filter(pa.array(work(part.column(at).to_pylist()), pa.bool_()))
@@ -105,7 +113,7 @@ def rewrite_text(df: DataFrame, column: str, start: Callable[[], Callable[[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 arrays = list(part.columns)
