@@ -15,8 +15,6 @@ KEY = "AKIA" + "ABCDEFGH12345678"
 def plain_base(text):
     """The contract's patterns, written without any shortcut."""
     out = []
-    letters = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password")
-    assert letters
     either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     name = "|".join([*(either(w) for w in ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
     for m in re.finditer(rf"({name})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
