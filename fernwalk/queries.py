@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernwalk.constants import BLOCKED, DEFAULT_METHOD, FLAG_SOURCES
+from fernwalk.constants import BLOCKED
 from fernwalk.functions import html as H
 from fernwalk.functions import text as T
 from fernwalk.functions.urls import host
@@ -185,8 +185,7 @@ def cjk_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cjk_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    words = _rows(spark, CJK_TEXTS, "id int, t string").select("id", F.posexplode(T.cjk_words(F.col("t"))).alias("pos", "term"))
-    return words
+    return _rows(spark, CJK_TEXTS, "id int, t string").select("id", F.posexplode(T.cjk_words(F.col("t"))).alias("pos", "term"))
 
 
 def flag_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -249,5 +248,3 @@ def oracle_sql() -> dict[str, str]:
 
     return oracles()
 
-
-__all__ = ["DEFAULT_METHOD", "FLAG_SOURCES", "oracle_sql", "queries"]
