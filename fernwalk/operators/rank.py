@@ -25,27 +25,24 @@ def _bm25(tf: Column, df: Column, n: Column, length: Column, average: Column, k1
 def bm25(rows: DataFrame, terms: list[str], keys: list[str], text: str = "s", k1: float = K1, b: float = B) -> DataFrame:
     """``keys`` and ``bm25`` of the rows that hold a term; each row of ``rows`` is a unit of the corpus."""
     terms = sorted({t.lower() for t in terms})
-    times = lambda term: F.size(F.filter("w", lambda x: x == term))
+    times = lambda term: F.size(F.filter("hits", lambda x: x == term))
     tokens = rows.select(*keys, T.words(F.col(text)).alias("w"))
-    counted = tokens.select(
-        *keys,
-        F.size("w").alias("len"),
-        *(times(t).alias(f"tf{i}") for i, t in enumerate(terms)),
-    ).where("len > 0")
+    # One pass over the words keeps the few that are asked for; the counts are taken from those.
+    asked = tokens.select(*keys, F.size("w").alias("len"), F.filter("w", lambda x: x.isin(terms)).alias("hits"))
+    counted = asked.select(*keys, "len", *(times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(
-        F.count("*").cast("double").alias("n"),
-        F.avg("len").alias("average"),
+        F.count_if(F.col("len") > 0).cast("double").alias("n"),
+        F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("average"),
         *(F.sum((F.col(f"tf{i}") > 0).cast("long")).cast("double").alias(f"df{i}") for i in range(len(terms))),
     )
-    scored = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))
-    parts = [
-        F.when(F.col(f"tf{i}") > 0, _bm25(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("len"), F.col("average"), k1, b)).otherwise(0.0)
-        for i in range(len(terms))
-    ]
     total = F.lit(0.0)
-    for p in parts:
-        total = total + p
-    return scored.select(*keys, F.round(total, PART_PLACES).alias("bm25"))
+    for i in range(len(terms)):
+        part = _bm25(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("len"), F.col("average"), k1, b)
+        total = total + F.when(F.col(f"tf{i}") > 0, part).otherwise(0.0)
+    # A row holds a term exactly if its sum is above zero. Asked of the sum, the filter stays above the
+    # join; below it, words would be matched again to answer it.
+    scored = counted.crossJoin(F.broadcast(stats)).select(*keys, total.alias("bm25")).where("bm25 > 0")
+    return scored.select(*keys, F.round("bm25", PART_PLACES).alias("bm25"))
 
 
 def centrality(rows: DataFrame, method: str = "centroid") -> DataFrame:
