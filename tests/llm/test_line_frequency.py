@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fernwalk.llm import line_frequency as L
+from fernwalk.llm import queries
+from tests import parity
 from tests.llm.conftest import clash, rows
 
 DOCS = "doc_id long, text string, source string"
@@ -88,3 +90,19 @@ def test_odd_rows(spark, odd, none):
 def test_the_plan_holds_no_python(odd):
     plan = L.quality(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_removed_lines_are_the_sqls(spark, tmp_path, monkeypatch):
+    """Hosts in which the number binds, the share binds, and neither can be reached, with lines at and past each limit."""
+    own = " ".join(f"w{j}" for j in range(24))
+    data = [(i, ("Seen  at THE limit\n" * (i < 100) + "seen past the limit\n" * (i < 101)) * 9 + f"{own} u{i}", "a") for i in range(150)]
+    data += [(1000 + i, "seen past the limit\n" + own, None if i % 2 else "b") for i in range(90)]
+    data += [(10_000 + i, "one in two hundred\n" * (i < 102) + "more than that share\n" * (i < 103) + f"u{i}", "c") for i in range(20_400)]
+    spark.createDataFrame(data, DOCS).write.parquet(str(tmp_path / "made"))
+    spark.read.parquet(str(tmp_path / "made")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    monkeypatch.setattr(parity, "SF", tmp_path)
+    parity.same_rows(spark, queries.queries()["op4_line_frequency"], queries.oracle_sql()["op4_line_frequency"])
+    removed = {r.doc_id: r.n_removed_words for r in L.quality(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    assert [removed[0], removed[100], removed[101], removed[1000], removed[10_000], removed[10_102]] == [36, 36, 0, 0, 4, 4]
+    assert sum(removed.values()) == 101 * 36 + 103 * 4
