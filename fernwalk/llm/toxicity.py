@@ -1,8 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
-The lexicon holds general insults and stems learned from labelled rows. Its trie
-is intersected with a Levenshtein automaton, state by state as words need it, so
-misspelled terms are found too. Hits are weighed by the window around them:
+The lexicon holds general insults, and stems and whole words learned from labelled
+rows. Its trie is intersected with a Levenshtein automaton, state by state as words
+need it, so misspelled terms are found too, learned ones like the others. Hits are weighed by the window around them:
 whether they stand in quotes or after words that report speech, and how many
 others are near. A logistic regression over these makes the score.
 """
@@ -36,11 +36,15 @@ SAMPLE_ROWS = 3000
 REACH = 25
 #: Terms with so many letters may be misspelled by one edit; shorter ones may not.
 EDIT_LETTERS = 5
+#: Terms with so many letters may be misspelled by two edits.
+TWO_EDIT_LETTERS = 8
 STEM_LENGTHS = range(4, 11)
 #: Stems need this many toxic rows, and the share of toxic rows among those that have them.
 STEM_ROWS, STEM_SHARE, MAX_STEMS = 5, 0.8, 200
 #: Words known to hold no term that a task remembers.
 MEMORY = 150_000
+#: States of the automaton that a task remembers.
+STATES = 50_000
 HOLD_OUT = 5
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -55,92 +59,120 @@ class Term:
 
 
 def edits_allowed(term: str) -> int:
-    return int(len(term) >= EDIT_LETTERS)
+    return int(len(term) >= EDIT_LETTERS) + int(len(term) >= TWO_EDIT_LETTERS)
+
+
+def stem_edits(stem: str) -> int:
+    """Edits within a stem: one fewer than a term of that length has, as any ending follows."""
+    return max(0, edits_allowed(stem) - 1)
+
+
+def spare_edits(term: Term) -> int:
+    return stem_edits(term.text) if term.stem else edits_allowed(term.text)
 
 
 class FuzzyLexicon:
     """The trie of the terms, walked together with a Levenshtein automaton.
 
-    A state of the product is a set of (trie node, edits spent); states and their
-    moves are made when a word first needs them and kept. Stems accept any ending
-    and no edits; terms accept words within their edits.
+    A state of the product is a set of (trie node, edits spent, letter awaited);
+    states and their moves are made when a word first needs them and kept. Stems
+    accept any ending after a beginning within their edits; terms accept words
+    within theirs. With ``swaps``, two neighbouring letters that changed places
+    are one edit: after the second of them the first is awaited.
     """
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: list[Term], swaps: bool = False):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[int | None] = [None]
+        self.ends: list[list[int]] = [[]]
         self.deepest: list[int] = [0]
-        self.stem_below: list[bool] = [False]
-        self.terms = terms
+        self.terms, self.swaps = terms, swaps
+        self.spare = [spare_edits(t) for t in terms]
         for i, t in enumerate(terms):
-            node, spare = 0, 0 if t.stem else edits_allowed(t.text)
+            node, spare = 0, self.spare[i]
             self.deepest[0] = max(self.deepest[0], spare)
             for c in t.text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
                     self.deepest.append(0)
                 node = self.children[node][c]
                 self.deepest[node] = max(self.deepest[node], spare)
-            self.ends[node] = i
+            self.ends[node].append(i)
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
-        self.first = self._state({(0, 0)})
+        self.stems: list[tuple[int, int] | None] = []
+        self.first = self._state({(0, 0, "")})
 
-    def _close(self, pairs: set[tuple[int, int]]) -> frozenset:
-        """With letters of the term left out, and no pair that another beats."""
-        todo, best = list(pairs), {}
+    def _close(self, held: set[tuple[int, int, str]]) -> frozenset:
+        """With letters of the term left out, and nothing that another beats."""
+        todo, best = list(held), {}
         while todo:
-            node, spent = todo.pop()
-            if best.get(node, 9) <= spent:
+            node, spent, awaited = todo.pop()
+            if best.get((node, awaited), 9) <= spent:
                 continue
-            best[node] = spent
-            todo += [(n, spent + 1) for n in self.children[node].values() if spent < self.deepest[n]]
-        return frozenset(best.items())
+            best[node, awaited] = spent
+            if not awaited:
+                todo += [(n, spent + 1, "") for n in self.children[node].values() if spent < self.deepest[n]]
+        return frozenset((node, spent, awaited) for (node, awaited), spent in best.items())
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        held = self._close(pairs)
+    def _state(self, reached: set[tuple[int, int, str]]) -> int:
+        held = self._close(reached)
         if held not in self.ids:
             self.ids[held] = len(self.sets)
             self.sets.append(held)
             self.moves.append({})
-            done = []
-            for node, spent in held:
-                i = self.ends[node]
-                if i is not None and spent <= (0 if self.terms[i].stem else edits_allowed(self.terms[i].text)):
-                    done.append((spent, i))
-            self.accepts.append(min(done) if done else None)
+            done = [(spent, i) for node, spent, awaited in held if not awaited for i in self.ends[node] if spent <= self.spare[i]]
+            self.accepts.append(min(done, default=None))
+            self.stems.append(min((d for d in done if self.terms[d[1]].stem), default=None))
         return self.ids[held]
 
     def _move(self, state: int, c: str) -> int:
         out = set()
-        for node, spent in self.sets[state]:
+        for node, spent, awaited in self.sets[state]:
+            if awaited:
+                if awaited == c:
+                    out.add((node, spent, ""))
+                continue
             if (n := self.children[node].get(c)) is not None and spent <= self.deepest[n]:
-                out.add((n, spent))
+                out.add((n, spent, ""))
             if spent < self.deepest[node]:
-                out.add((node, spent + 1))
-                out.update((n, spent + 1) for n in self.children[node].values() if spent < self.deepest[n])
+                out.add((node, spent + 1, ""))
+                for a, n in self.children[node].items():
+                    if spent < self.deepest[n]:
+                        out.add((n, spent + 1, ""))
+                        if self.swaps and a != c and (m := self.children[n].get(c)) is not None and spent < self.deepest[m]:
+                            out.add((m, spent + 1, a))
         to = self._state(out) if out else -1
         self.moves[state][c] = to
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """The term that a word holds and the edits spent, fewest first."""
-        state, stem, moves = self.first, None, self.moves
+        """The term that a word holds and the edits spent: a stem without edits, or else the fewest."""
+        if len(self.sets) > STATES:
+            self._forget()
+        state, stem = self.first, None
         for c in word:
-            to = moves[state].get(c)
+            to = self.moves[state].get(c)
             if to is None:
                 to = self._move(state, c)
             if to < 0:
                 return stem
             state = to
-            if (a := self.accepts[state]) is not None and a[0] == 0 and self.terms[a[1]].stem:
-                stem = (0, a[1])
+            if (a := self.stems[state]) is not None and (stem is None or a[0] < stem[0] or a[0] == stem[0] == 0):
+                stem = a
         found = self.accepts[state]
-        return found if stem is None else stem
+        return found if stem is None or found is not None and found[0] < stem[0] else stem
+
+
+def form(word: str) -> str:
+    """A word without the signs around it."""
+    return _EDGE.sub("", word)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -151,12 +183,12 @@ class Matcher:
     """Hits of a lexicon in texts; it remembers words that hold no term."""
 
     def __init__(self, terms: list[Term]):
-        self.lexicon = FuzzyLexicon(terms)
+        self.lexicon = FuzzyLexicon(terms, swaps=True)
         self.clean: set[str] = set()
         self.known: dict[str, tuple[int, int]] = {}
 
     def word(self, raw: str) -> tuple[int, int] | None:
-        core = _EDGE.sub("", raw)
+        core = form(raw)
         if found := self.lexicon.match(core):
             return found
         parts = _INNER.split(core)
@@ -204,8 +236,8 @@ FEATURES = 9
 def features(words: list[str], hits: list[tuple[int, int, int]], terms: list[Term], trust: dict[str, float]) -> list[float]:
     """Sums over hits, apart for those spoken and those quoted, and the fullest window.
 
-    ``trust``: how far a misspelled form is a term, by the labelled rows; 1 for
-    one that they don't have.
+    ``trust``: how far a misspelled form is a term, by the labelled rows; for
+    one that they don't have 1, or a half if it is two edits away.
     """
     if not hits:
         return [0.0] * FEATURES
@@ -214,7 +246,7 @@ def features(words: list[str], hits: list[tuple[int, int, int]], terms: list[Ter
     spoken: list[tuple[int, float]] = []
     names = set()
     for i, edits, t in hits:
-        weight = terms[t].weight * (trust.get(words[i], 1.0) if edits else 1.0)
+        weight = terms[t].weight * (trust.get(form(words[i]), 1.0 / edits) if edits else 1.0)
         if i in marks or any(words[j].strip(".,;:!?\"“”«»'") in CUES for j in range(max(0, i - 4), i)):
             told += weight
             continue
@@ -243,7 +275,7 @@ def features(words: list[str], hits: list[tuple[int, int, int]], terms: list[Ter
 
 def _starts(text: str) -> set[str]:
     """Beginnings of a text's words."""
-    words = {_EDGE.sub("", w) for w in set(tokens(text))}
+    words = {form(w) for w in set(tokens(text))}
     return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
 
 
@@ -289,6 +321,24 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[Term]:
     return out
 
 
+def learn_words(rows: list[tuple[str, int]], stems: list[Term]) -> list[Term]:
+    """Whole words of toxic rows that begin with a stem, so that their misspellings are found.
+
+    Without edits such a word is its stem's; words too short for edits add nothing.
+    """
+    weight = {t.text: t.weight for t in stems}
+    starts = tuple(weight)
+    bad, good = Counter(), Counter()
+    for text, label in rows:
+        words = {form(w) for w in set(tokens(text))}
+        (bad if label else good).update(w for w in words if w.startswith(starts) and edits_allowed(w) and not _INNER.search(w))
+    return [
+        Term(w, False, max(weight[w[:k]] for k in STEM_LENGTHS if w[:k] in weight))
+        for w, n in sorted(bad.items())
+        if w not in weight and w not in SEED_TERMS and n / (n + good[w]) >= STEM_SHARE
+    ]
+
+
 @dataclass(frozen=True)
 class Model:
     terms: tuple[Term, ...]
@@ -327,25 +377,27 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     terms = [Term(t, False, 1.0) for t in SEED_TERMS]
     if len({label for _, label in rows}) < 2:
         return Model(tuple(terms), {}, (3.0, 3.0, 1.0, -1.0, 0.0, 0.0, 1.0, 0.0, 0.0), -4.0)
-    terms += learn_stems(rows)
+    terms += (stems := learn_stems(rows))
+    terms += learn_words(rows, stems)
     matcher = Matcher(terms)
     good, bad = Counter(), Counter()
     for text, label in rows:
         words = tokens(text)
-        (bad if label else good).update({words[i] for i, edits, _ in matcher.hits(words) if edits})
+        (bad if label else good).update({form(words[i]) for i, edits, _ in matcher.hits(words) if edits})
     x, y = [], []
     for n, (text, label) in enumerate(rows):
         words = tokens(text)
         hits = matcher.hits(words)
         # A row's own label mustn't speak for its forms.
-        own = {words[i] for i, edits, _ in hits if edits}
+        own = {form(words[i]) for i, edits, _ in hits if edits}
         x.append(features(words, hits, terms, {f: _trust(bad[f] - (label == 1), good[f] - (label == 0)) for f in own}))
         y.append(label)
-        # The labelled rows spell their insults well; toxic ones are shown again with insults misspelled.
-        if label and (wrong := {i: t for i, edits, t in hits if not edits and not terms[t].stem and edits_allowed(terms[t].text)}):
+        # The labelled rows spell their terms well; toxic ones are shown again with terms misspelled.
+        if label and (wrong := {i: t for i, edits, t in hits if not edits}):
             again = [misspelled(w, terms[wrong[i]].text, n) if i in wrong else w for i, w in enumerate(words)]
-            x.append(features(again, matcher.hits(again), terms, {}))
-            y.append(1)
+            if found := matcher.hits(again):
+                x.append(features(again, found, terms, {}))
+                y.append(1)
     w, bias = fit_logistic(np.array(x), np.array(y, float))
     trust = {f: _trust(bad[f], good[f]) for f in good.keys() | bad.keys()}
     return Model(tuple(terms), trust, tuple(map(float, w)), bias)

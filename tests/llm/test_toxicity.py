@@ -33,6 +33,43 @@ def test_the_automaton_accepts_what_is_near_enough(word):
     assert got == want
 
 
+def swap_distance(a, b):
+    """Levenshtein's distance in which neighbours that changed places are one edit."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+LEARNED = [X.Term(t, False, 1.0) for t in ("abcab", "abcaabcb", "cabcab")] + [X.Term(t, True, 1.0) for t in ("bcacbaca", "bab")]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text("abc", max_size=11), st.sampled_from(LEARNED).flatmap(lambda t: st.permutations(t.text[:4]).map(lambda p: "".join(p) + t.text[4:]))))
+def test_swaps_are_one_edit_and_stems_have_edits(word):
+    got = X.FuzzyLexicon(LEARNED, swaps=True).match(word)
+    least = {}
+    for i, t in enumerate(LEARNED):
+        parts = [word[:k] for k in range(len(word) + 1)] if t.stem else [word]
+        if (d := min(swap_distance(p, t.text) for p in parts)) <= X.spare_edits(t):
+            least[i] = d
+    assert (got is None) == (not least)
+    if got:
+        assert got[0] == least[got[1]] == min(least.values())
+
+
+def test_the_states_that_are_kept_are_bounded(monkeypatch):
+    words = ["abcab", "acbab", "xbcacbaca", "bcacbcaab", "zzzz", "bacbac"] * 3
+    want = [X.FuzzyLexicon(LEARNED, swaps=True).match(w) for w in words]
+    monkeypatch.setattr(X, "STATES", 3)
+    lexicon = X.FuzzyLexicon(LEARNED, swaps=True)
+    assert [lexicon.match(w) for w in words] == want
+    assert len(lexicon.sets) <= 3 + 10
+
+
 def made(n, seed):
     """Plain rows, toxic ones with insults, and toxic ones of another language with a stem that labels alone tell."""
     r = random.Random(seed)
@@ -70,6 +107,25 @@ def test_misspelled_insults_count_and_quoted_ones_dont(model):
     assert score(plain + " you idiot and moron so stupid") >= 0.5
 
 
+@pytest.mark.parametrize("term", ["grobian", "unverschämt"])
+def test_misspelled_learned_terms_count(term):
+    rows = [(t.replace("zworf", term + " "), y) for t, y in made(1200, 1)]
+    score = X._scorer(X.fit(rows))
+    plain = made(40, 3)[1][0]
+    assert score(plain) < 0.5
+    wrong = (term[:3] + "x" + term[4:], term[:3] + term[4:], term[:3] + term[2:], term[:2] + term[3] + term[2] + term[4:], "x" + term[1:])
+    for w in (term, *wrong):
+        assert score(f"{plain} {w} and {w} {plain}") >= 0.5, w
+
+
+def test_swapped_letters_and_two_edits_count(model):
+    m = X.Matcher(list(model.terms))
+    found = {w: m.word(w) for w in ("idoit", "stuipd", "w0rthl3ss", "d1sgust1ng", "lovely")}
+    assert {w: f and (f[0], model.terms[f[1]].text) for w, f in found.items()} == {
+        "idoit": (1, "idiot"), "stuipd": (1, "stupid"), "w0rthl3ss": (2, "worthless"), "d1sgust1ng": (2, "disgusting"), "lovely": None,
+    }
+
+
 def test_quotes_must_close():
     assert X.quoted_positions('a "b c" d'.split()) == {1, 2}
     assert X.quoted_positions('a "b c d'.split()) == set()
