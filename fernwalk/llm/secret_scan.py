@@ -27,8 +27,9 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "literal")
 
 _LINE = re.compile(r"[^\n]*[:=][^\n]*")
-_LEX = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|:=|=>|[=!<>]=|[:=+]|[^\s\"':=+,;(){}\[\]<>|]+|\S")
+_LEX = re.compile(r"\$\{\w+\}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|:=|=>|[=!<>]=|[:=+]|[^\s\"':=+,;(){}\[\]<>|]+|\S")
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*")
+_REFERENCE = re.compile(r"\$(?:(\w+)|\{(\w+)\})")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|^\$|^<|^%")
 
@@ -37,8 +38,10 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("signing", "key"): 1.0, ("encryption", "key"): 1.0, ("client", "key"): 0.8, ("connection", "string"): 0.8}
 #: A literal of this score or more is a secret.
 THRESHOLD = 0.5
-#: Names followed from one to the next.
-MAX_STEPS = 16
+
+
+#: Literals of this length aren't stronger for being longer.
+FULL = 12
 
 
 @dataclass(frozen=True)
@@ -78,7 +81,7 @@ def value_score(value: str, quoted: bool) -> float:
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     if not mixed and (not quoted or " " in value):
         return 0.0
-    return min(1.0, bits / 3.0) * min(1.0, n / 12) * (1.0 if mixed else 0.6)
+    return min(1.0, bits / 3.0) * min(1.0, n / FULL) * (1.0 if mixed else 0.6)
 
 
 def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, bool]]]]:
@@ -99,7 +102,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, bool]]]]
                 if len(word) >= 2 and word[0] in "\"'":
                     terms.append(("literal", word[1:-1], start + 1, True))
                 elif re.match(r"[\w$/]", word):
-                    terms.append(("name" if _NAME.fullmatch(word) else "literal", word, start, False))
+                    terms.append(("name" if _NAME.fullmatch(word) or _REFERENCE.fullmatch(word) else "literal", word, start, False))
                 else:
                     break
                 i += 1
@@ -111,35 +114,80 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, bool]]]]
     return out
 
 
+def referred(term: tuple[str, str, int, bool]) -> tuple[str, bool] | None:
+    """The name that a term stands for and whether it is written as a reference: NAME, $NAME, ${NAME} or one of the latter in quotes."""
+    kind, word, _, _ = term
+    if m := _REFERENCE.fullmatch(word):
+        return m[1] or m[2], True
+    return (word, False) if kind == "name" else None
+
+
+def constants(pairs: list[tuple[str, list[tuple[str, str, int, bool]]]]) -> dict[tuple[str, bool], list[tuple[str, str, int, bool]]]:
+    """The literals that names used for sensitive ones stand for, by the name and whether it is written as a reference.
+
+    A name's constant is its first assignment that leads to literals alone, through
+    names and concatenations of any depth. Unquoted words are literals only where a
+    reference leads to them; elsewhere they are names. Sensitive names are followed
+    if they are given another name, not for literals of their own.
+    """
+    given: dict[str, list[list]] = {}
+    for name, terms in pairs:
+        if name_score(name) == 0 or len(terms) == 1 and (to := referred(terms[0])) and to[0] != name:
+            given.setdefault(name, []).append(terms)
+    known: dict[tuple[str, bool], list | None] = {}
+    for wanted in {k for name, terms in pairs if name_score(name) for t in terms if (k := referred(t)) and k[0] in given}:
+        # Depth first without recursion; a key that is being resolved is in the stack once.
+        stack, busy = [wanted], {wanted}
+        while stack:
+            key = stack[-1]
+            if key in known:
+                busy.discard(stack.pop())
+                continue
+            need = (k for terms in given[key[0]] for t in terms if (k := _next(t, key)) and k[0] in given and k not in known and k not in busy)
+            if first := next(need, None):
+                stack.append(first)
+                busy.add(first)
+            else:
+                known[key] = next((x for terms in given[key[0]] if (x := _literals(terms, key, known))), None)
+    return {k: v for k, v in known.items() if v}
+
+
+def _next(term: tuple, key: tuple[str, bool]) -> tuple[str, bool] | None:
+    to = referred(term)
+    return to and (to[0], to[1] or key[1])
+
+
+def _literals(terms: list[tuple], key: tuple[str, bool], known: dict) -> list[tuple] | None:
+    """The literals of the terms; one that stands more than FULL times among them is told FULL times, so doublings stay small."""
+    out, times = [], Counter()
+    for term in terms:
+        to = _next(term, key)
+        if to and known.get(to):
+            for x in known[to]:
+                times[x] += 1
+                if times[x] <= FULL:
+                    out.append(x)
+        elif not _REFERENCE.fullmatch(term[1]) and (term[3] or key[1]):
+            out.append(term)
+        else:
+            return None
+    return out
+
+
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
     pairs = assignments(text)
-    constants: dict[str, list] = {}
-    for name, terms in pairs:
-        if name_score(name) == 0 and all(k == "literal" and q for k, _, _, q in terms):
-            constants.setdefault(name, terms)
-    aliases = {name: terms[0][1] for name, terms in pairs if len(terms) == 1 and terms[0][0] == "name"}
-
-    def resolve(name: str) -> list | None:
-        for _ in range(MAX_STEPS):
-            if name in constants:
-                return constants[name]
-            if name not in aliases:
-                return None
-            name = aliases[name]
-        return None
-
+    known = constants(pairs)
     found: set[Span] = set()
     for name, terms in pairs:
         sensitive = name_score(name)
         if not sensitive:
             continue
         pieces = []
-        for kind, word, start, quoted in terms:
-            known = resolve(word) if kind == "name" else None
-            pieces += known or [(kind, word, start, quoted)]
+        for term in terms:
+            pieces += known.get(referred(term), [term])
         joined = "".join(p[1] for p in pieces)
         if sensitive * value_score(joined, any(p[3] for p in pieces)) >= THRESHOLD:
             found.update(Span("literal", s, s + len(w), s) for _, w, s, _ in pieces if w)

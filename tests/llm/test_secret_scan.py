@@ -80,3 +80,24 @@ def test_redacting_keeps_rows_and_columns(spark, odd, none):
     assert S.redact_secrets(none).collect() == []
     df = spark.createDataFrame([(1, f"x token={HEX40} y", 99)], "doc_id long, text string, n_chars long")
     assert rows(S.redact_secrets(df)) == [(1, "x token=[REDACTED] y", 20)]
+
+
+def reached(text):
+    return sorted(text[s.start : s.end] for s in S.literal_spans(text))
+
+
+def test_constants_go_through_names_concatenations_and_references():
+    assert reached("a = 'AKx9vB2m'\nb = a + 'Q7rT5w'\npassword = b") == ["AKx9vB2m", "Q7rT5w"]
+    assert reached("BASE=AKx9vB2mQ7rT5w\npassword=$BASE") == ["AKx9vB2mQ7rT5w"]
+    assert reached("BASE=AKx9vB2mQ7rT5w\npassword=${BASE}") == ["AKx9vB2mQ7rT5w"]
+    assert reached('BASE=AKx9vB2mQ7rT5w\nCOPY=$BASE\npassword="${COPY}"') == ["AKx9vB2mQ7rT5w"]
+    assert reached("x = y\nx = 'AKx9vB2mQ7rT5w'\npassword = x") == ["AKx9vB2mQ7rT5w"]
+
+
+def test_chains_of_any_length_and_circles():
+    chain = "n0 = 'AKx9vB2mQ7rT5w'\n" + "".join(f"n{i + 1} = n{i}\n" for i in range(3000))
+    assert reached(chain + "password = n3000") == ["AKx9vB2mQ7rT5w"]
+    assert reached("a = b\nb = a\npassword = a") == []
+    assert reached("a = a + b\npassword = a") == []
+    doubled = "n0 = 'AKx9vB2mQ7rT5w'\n" + "".join(f"n{i + 1} = n{i} + n{i}\n" for i in range(60))
+    assert reached(doubled + "password = n60") == ["AKx9vB2mQ7rT5w"]
