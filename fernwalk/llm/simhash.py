@@ -123,20 +123,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
-
-    Of rows that repeat that id one stays. Rows whose id is null stay, as nothing
-    tells them apart.
-    """
-    found = cut(near_duplicates(docs, id_col, text_col).select(id_col, "component_id").where(F.col(id_col).isNotNull()))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(checked_broadcast(gone), id_col, "left_anti").select(*docs.columns)
-    again = cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col))
-    if again.isEmpty():
-        return left
-    hint = checked_broadcast(again)
-    once = left.join(hint, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return left.join(hint, id_col, "left_anti").select(*docs.columns).union(once)

@@ -6,7 +6,7 @@ import pytest
 
 from fernwalk.llm import toxicity as X
 from fernwalk.llm.common import table
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_groups import plain_groups
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +57,7 @@ def test_stages_and_run(spark, folder):
     clean = {i for i in range(400) if i % 5} | {900, 901, None}
     assert set(kept["toxicity"]) == clean
     left = {i: r for i, r in kept["toxicity"].items() if i is not None}
-    groups = plain_components({i: plain_fingerprint(r.text) for i, r in left.items()})
+    groups = plain_groups({i: r.text for i, r in left.items()})
     assert set(kept["simhash_dedup"]) == {i for i, c in groups.items() if i == c} | {None}
     assert {6, 7, 901} & set(kept["simhash_dedup"]) == set()
     assert set(kept["decontamination"]) == set(kept["simhash_dedup"]) - {1, 2}

@@ -101,14 +101,6 @@ def test_odd_rows(spark, odd, none):
     assert S.near_duplicates(none).collect() == []
 
 
-def test_one_of_each_group_stays(spark, odd, none):
-    kept = S.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 4, 5, 7, None], key=repr)
-    assert S.drop_near_duplicates(none).collect() == []
-    assert S.drop_near_duplicates(clash(odd)).columns == clash(odd).columns
-
-
 def test_null_ids_alone_have_no_component(spark):
     df = spark.createDataFrame([(None, "one two three four")], "doc_id long, text string")
     assert [r.component_id for r in S.near_duplicates(df).collect()] == [None]
