@@ -14,30 +14,22 @@ import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
-from fernwalk.llm.html_blocks import Block, blocks
+from fernwalk.llm.html_blocks import PATH_DIMS, Block, blocks
 
-PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 512, 48, 12, 16
-#: Ancestors whose names count by their distance from the block.
-NEAR = 3
+WORD_DIMS, MEASURES, HIDDEN = 48, 12, 16
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 2400, 8, 32, 7
+WEIGHTS = Path(__file__).with_name("block_weights.npz")
 #: Blocks, padding included, that one step of the network holds.
 STEP_BLOCKS = 4096
 
 
-@lru_cache(maxsize=65536)
-def path_places(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Places of a path in the hashed vector: tags, tags by distance, and the words of classes and ids."""
-    out = set()
-    for far, name in enumerate(reversed(path)):
-        tag, *words = name.split(".")
-        out.add(zlib.crc32(f"t {tag}".encode()) % PATH_DIMS)
-        out.update(zlib.crc32(f"c {w}".encode()) % PATH_DIMS for w in words)
-        if far < NEAR:
-            out.add(zlib.crc32(f"{far} {tag}".encode()) % PATH_DIMS)
-    return tuple(sorted(out))
+def path_places(places: int) -> list[int]:
+    """The places that are set in a hashed path."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(places.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little")).tolist()
 
 
 @lru_cache(maxsize=200_000)
@@ -56,7 +48,7 @@ def text_rows(page: Sequence[Block]) -> np.ndarray:
         out[i, WORD_DIMS:] = (
             math.log1p(n) / 6, math.log1p(len(words)) / 4, b.link_chars / n, float(b.link_chars >= n - 1),
             float(b.text[-1] in ".!?:;…\"”»"), float(n < 30), float(n > 120), i / max(1, len(page) - 1),
-            n / longest, float("©" in b.text), math.log1p(len(b.path)) / 3, 1.0,
+            n / longest, float("©" in b.text), math.log1p(b.depth) / 3, 1.0,
         )
     np.minimum(out[:, :WORD_DIMS], 2.0, out=out[:, :WORD_DIMS])
     return out
@@ -134,12 +126,12 @@ def label_pages(pages: Sequence[Sequence[Block]], w: Weights, known: dict) -> li
         lengths = np.array([len(pages[i]) for i in group])
         z = np.zeros((len(group), lengths.max(), 8 * HIDDEN), np.float32)
         for row, i in enumerate(group):
-            for b in pages[i]:
-                if b.path not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[b.path] = w.path[list(path_places(b.path))].sum(0) + w.bias
-            z[row, : len(pages[i])] = np.stack([known[b.path] if b.path in known else w.path[list(path_places(b.path))].sum(0) + w.bias for b in pages[i]])
+            if len(known) > 50_000:
+                known.clear()
+            for k, b in enumerate(pages[i]):
+                if (adds := known.get(b.places)) is None:
+                    known[b.places] = adds = w.path[path_places(b.places)].sum(0) + w.bias
+                z[row, k] = adds
             z[row, : len(pages[i])] += text_rows(pages[i]) @ w.text
         forward = _recur(z[:, :, : 4 * HIDDEN], w.back[0])
         backward = _turned(_recur(_turned(z[:, :, 4 * HIDDEN :], lengths), w.back[1]), lengths)
@@ -204,7 +196,8 @@ class _PageMaker:
             self.made.append(self.r.choice((" | ", " ", " &middot; ")).join(f"<a href='/{self.word()}'>{self.words(1, 2)}</a>" for _ in range(n)))
 
     def text(self, kind: str, least: int, most: int, mark: bool) -> None:
-        self.style = self.odd if mark or self.r.random() < 0.3 else None
+        r = self.r
+        self.style = self.odd if mark or r.random() < 0.3 else None
         s = self.sentence(least, most)
         for _ in range(self.r.choice((0, 0, 1, 2, 4)) if most > 12 else 0):
             s += " " + self.sentence(3, 25)
@@ -228,7 +221,7 @@ class _PageMaker:
         elif kind == "nav":
             self.links(r.randint(3, 12))
         elif kind == "notice":
-            self.text(r.choice(("p", "div")), 5, 25, False)
+            self.text(r.choice(("p", "div", "noscript")), 5, 25, False)
         elif kind == "ad":
             self.made.append(self.sentence(2, 14)) if r.random() < 0.6 else self.text("p", 3, 15, False)
         elif kind == "side":
@@ -258,7 +251,9 @@ class _PageMaker:
 
     def article(self) -> None:
         r = self.r
-        ends = [self.open(x) for x in (["div.wrapper"] if r.random() < 0.2 else []) + [r.choice(CONTENT)] + (["div"] if r.random() < 0.2 else [])]
+        around = (["div.wrapper"] if r.random() < 0.2 else []) + [r.choice(CONTENT)] + (["div"] if r.random() < 0.2 else [])
+        # Some articles stand in the body itself, some in parts for readers without scripts.
+        ends = [self.open(x) for x in ([] if r.random() < 0.12 else ["noscript", *around] if r.random() < 0.02 else ["object"] if r.random() < 0.01 else around)]
         if r.random() < 0.85:
             # The article's own header holds its title, which stays.
             top = self.open(r.choice(("header", "div.title", "div.entry.header", "hgroup"))) if r.random() < 0.2 else ""
@@ -297,8 +292,20 @@ class _PageMaker:
                 self.clutter(kind)
         self.made += reversed(ends)
 
+    def plain(self, between: str) -> str:
+        """A page without blocks: its text is the article."""
+        self.style = self.odd
+        return self.MARK + between.join(self.sentence(2, 20) for _ in range(self.r.randint(1, 12)))
+
     def page(self) -> str:
         r = self.r
+        kind = r.random()
+        if kind < 0.03:
+            return self.plain(r.choice((" ", "\n", "<br>")))
+        if kind < 0.08:
+            self.made.append(r.choice(("", "<html><body>", "<body>")))
+            self.article()
+            return "".join(self.made)
         self.made.append(f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style></head><body>")
         wrapped = self.open(r.choice(("div", "div.container", "div.wrap", "div.page"))) if r.random() < 0.4 else ""
         for kind, chance in (("notice", 0.3), ("header", 0.55), ("nav", 0.75), ("ad", 0.5), ("form", 0.25), ("side", 0.25)):
@@ -317,14 +324,14 @@ def training_page(seed: int) -> tuple[list[Block], np.ndarray]:
     made = blocks(_PageMaker(seed).page())
     mark = _PageMaker.MARK
     labels = np.array([mark in b.text for b in made], np.float64)
-    return [Block(b.path, b.text.replace(mark, "") or "x", b.link_chars) for b in made], labels
+    return [Block(b.places, b.depth, b.text.replace(mark, "") or "x", b.link_chars) for b in made], labels
 
 
 def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Weights:
     """Weights fitted by Adam on made-up pages; the same arguments give the same weights."""
     rng = np.random.default_rng(seed)
     data = [training_page(seed * 1_000_003 + i) for i in range(pages)]
-    data = [(text_rows(b), [path_places(x.path) for x in b], y) for b, y in data if b]
+    data = [(text_rows(b), [path_places(x.places) for x in b], y) for b, y in data if b]
     span = lambda n, *shape: rng.normal(0, 1 / math.sqrt(n), shape)
     par = {
         "path": span(12, PATH_DIMS, 8 * HIDDEN) * 0.5, "text": span(WORD_DIMS + MEASURES, WORD_DIMS + MEASURES, 8 * HIDDEN) * 0.5,
@@ -384,6 +391,19 @@ def _gradients(par: dict, group: list, rng: np.random.Generator) -> dict:
     }
 
 
-@lru_cache(maxsize=4)
-def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Weights:
-    return train(pages, epochs, seed)
+def save(w: Weights, path: Path = WEIGHTS) -> None:
+    """Weights in half precision, with what they were trained by."""
+    half = {"path": w.path, "text": w.text, "f": w.back[0], "b": w.back[1], "bias": w.bias, "out": w.out, "out_bias": np.array([w.out_bias])}
+    np.savez_compressed(path, trained_by=np.array([TRAIN_PAGES, EPOCHS, BATCH, SEED]), **{k: v.astype(np.float16) for k, v in half.items()})
+
+
+@lru_cache(maxsize=1)
+def trained() -> Weights:
+    """The weights beside this module; ``python -m fernwalk.llm.block_labeller`` trains them anew."""
+    with np.load(WEIGHTS) as held:
+        f32 = {k: held[k].astype(np.float32) for k in held.files if k != "trained_by"}
+    return Weights(f32["path"], f32["text"], (f32["f"], f32["b"]), f32["bias"], f32["out"], float(f32["out_bias"][0]))
+
+
+if __name__ == "__main__":
+    save(train())
