@@ -1,9 +1,11 @@
 """Secret scans: assignment-aware lexing of source and configuration text.
 
-Base patterns find well-known shapes. Beside them, lines that hold an assignment
-are lexed into name-literal pairs, constants are propagated through names and
-concatenations, and each literal is scored by the sensitivity of the name that
-it reaches and by its own strength.
+Base patterns find well-known shapes. Beside them, texts are lexed into
+name-literal pairs: assignments of source code, subscripts and typed names among
+them, keys of JSON and YAML with its blocks, elements of XML. Constants are
+propagated through names and concatenations in the order of the text, and each
+literal is scored by the sensitivity of the name that it reaches and by its own
+strength.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +31,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "literal")
 
-_LINE = re.compile(r"[^\n]*[:=][^\n]*")
-_LEX = re.compile(r"\$\{\w+\}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|:=|=>|[=!<>]=|[:=+]|[^\s\"':=+,;(){}\[\]<>|]+|\S")
+#: Tokens but for strings, which begin at a quote: line ends, joined lines, references, operators, brackets, bare words.
+_LEX = re.compile(r"\\\n|\n|\"\"\"|'''|[\"']|\$\{\w+\}|:=|=>|\+=|[=!<>]=|[:=+()\[\]]|[^\s\"':=+,;(){}\[\]<>|]+|[^\s]")
+_CLOSE = {q: re.compile(rf"(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"}
+#: The rest of a YAML line whose value is the block below.
+_BLOCK = re.compile(r"\x20*[|>][-+0-9]*\x20*(?:\n|\Z)")
+_XML = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
+_XML_PAIR = re.compile(r"\b(?:key|name)\s*=\s*\"([^\"<>]*)\"\s+value\s*=\s*\"([^\"<>]*)\"", re.I)
+#: A part of each sensitive name; a text without any holds no secret of the method.
+_MAYBE = re.compile(r"passw|pwd|passphrase|secret|token|apikey|credential|bearer|pass|auth|key|string", re.I)
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*")
 _REFERENCE = re.compile(r"\$(?:(\w+)|\{(\w+)\})")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -42,6 +54,8 @@ THRESHOLD = 0.5
 
 #: Literals of this length aren't stronger for being longer.
 FULL = 12
+#: Literals of fewer characters are too weak to be told from words; with 0 every literal of a sensitive name is taken.
+LEAST = 8
 
 
 @dataclass(frozen=True)
@@ -64,6 +78,7 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+@lru_cache(maxsize=65536)
 def name_score(name: str) -> float:
     parts = {p.lower() for p in _PARTS.findall(name)}
     return max(
@@ -72,135 +87,314 @@ def name_score(name: str) -> float:
     )
 
 
-def value_score(value: str, quoted: bool) -> float:
-    """Strength of a literal: length, entropy, and whether letters and digits mix."""
-    if len(value) < 8 or _PLACEHOLDER.search(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    if not mixed and (not quoted or " " in value):
-        return 0.0
-    return min(1.0, bits / 3.0) * min(1.0, n / FULL) * (1.0 if mixed else 0.6)
+class Term(NamedTuple):
+    """A part of what is assigned: a literal or a name, and where its text stands."""
 
+    kind: str
+    text: str
+    start: int
+    end: int
+    quoted: bool
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, bool]]]]:
-    """Names and the terms assigned to them: literal or name, the text, where it starts, whether quoted."""
-    out = []
-    for line in _LINE.finditer(text):
-        at = line.start()
-        lexed = [(m[0], at + m.start()) for m in _LEX.finditer(line[0])]
-        i, n = 1, len(lexed)
-        while i < n:
-            if lexed[i][0] not in ("=", ":", ":=", "=>"):
-                i += 1
-                continue
-            target = lexed[i - 1][0].strip("\"'")
-            terms, i = [], i + 1
-            while i < n:
-                word, start = lexed[i]
-                if len(word) >= 2 and word[0] in "\"'":
-                    terms.append(("literal", word[1:-1], start + 1, True))
-                elif re.match(r"[\w$/]", word):
-                    terms.append(("name" if _NAME.fullmatch(word) or _REFERENCE.fullmatch(word) else "literal", word, start, False))
-                else:
+
+Pair = tuple[str, list[Term]]
+
+
+class Value:
+    """Literals put together: a literal, or values side by side, which are shared and never copied."""
+
+    __slots__ = ("chars", "parts", "quoted", "term", "told", "weak")
+
+    def __init__(self, term: Term | None, parts: tuple[Value, ...] = ()):
+        self.term, self.parts, self.told = term, parts, False
+        if term:
+            self.chars, self.quoted, self.weak = Counter(term.text), term.quoted, bool(_PLACEHOLDER.search(term.text))
+        else:
+            self.chars = Counter()
+            for p in parts:
+                self.chars.update(p.chars)
+            self.quoted, self.weak = any(p.quoted for p in parts), any(p.weak for p in parts)
+
+    def strength(self, least: int = LEAST) -> float:
+        """By length, entropy, and whether letters and digits mix; nothing that reads like a placeholder."""
+        n = sum(self.chars.values())
+        if least == 0:
+            return float(n > 0)
+        if n < least or self.weak:
+            return 0.0
+        bits = -sum(c / n * math.log2(c / n) for c in self.chars.values())
+        mixed = any(c.isdigit() for c in self.chars) and any(c.isalpha() for c in self.chars)
+        if not mixed and (not self.quoted or " " in self.chars):
+            return 0.0
+        return min(1.0, bits / 3.0) * min(1.0, n / FULL) * (1.0 if mixed else 0.6)
+
+    def tell(self, found: list[Span]) -> None:
+        """Adds the spans of all literals that weren't told before."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                todo += v.parts
+                if v.term and v.term.end > v.term.start:
+                    found.append(Span("literal", v.term.start, v.term.end, v.term.start))
+
+
+def lex(text: str) -> list[Term]:
+    """Tokens of the whole text; the kind is ``op``, ``word``, ``string``, or ``triple`` for quotes that may begin a long string."""
+    out: list[Term] = []
+    at, n = 0, len(text)
+    # A quote that isn't closed on its line closes none of the line's later ones either.
+    open_until = {'"': -1, "'": -1}
+    while at < n and (m := _LEX.search(text, at)):
+        word, start, at = m[0], m.start(), m.end()
+        if word == "\\\n":
+            continue
+        if word in ('"', "'"):
+            if start >= open_until[word]:
+                if close := _CLOSE[word].match(text, at):
+                    out.append(Term("string", text[at : close.end() - 1], at, close.end() - 1, True))
+                    at = close.end()
+                    continue
+                end = text.find("\n", at)
+                open_until[word] = n if end < 0 else end
+            out.append(Term("op", word, start, at, False))
+        elif word in ('"""', "'''"):
+            out.append(Term("triple", word, start, at, False))
+        elif len(word) > 1 and word not in OPERATORS or word.isalnum() or word in "_$/":
+            out.append(Term("word", word, start, at, False))
+        else:
+            out.append(Term("op", word, start, at, False))
+    return out
+
+
+OPERATORS = frozenset((":=", "=>", "+=", "==", "!=", "<=", ">="))
+
+
+class _Parser:
+    def __init__(self, text: str):
+        self.text, self.tokens = text, lex(text)
+        self.unclosed: set[str] = set()
+
+    def target(self, i: int) -> str | None:
+        """The name that token ``i`` ends: a word, a quoted key, or a subscript by a quoted key."""
+        if i >= 0 and self.tokens[i].text == "]" and i >= 2 and self.tokens[i - 1].kind == "string" and self.tokens[i - 2].text == "[":
+            i -= 1
+        if i < 0 or self.tokens[i].kind not in ("word", "string"):
+            return None
+        name = self.tokens[i].text
+        return name if _NAME.fullmatch(name) else None
+
+    def block(self, i: int) -> tuple[Term | None, int]:
+        """The lines below a YAML key that are indented deeper, if operator ``i`` begins such a block, and the token after them."""
+        op, text = self.tokens[i], self.text
+        m = _BLOCK.match(text, op.end) if op.text == ":" else None
+        if not m:
+            return None, i
+        line = text.rfind("\n", 0, op.start) + 1
+        depth = len(text[line : op.start]) - len(text[line : op.start].lstrip(" -"))
+        at, first, last, kept = m.end(), -1, -1, []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            row = text[at:end]
+            if row.strip():
+                if len(row) - len(row.lstrip(" ")) <= depth:
                     break
+                kept.append(row.strip())
+                first = at + len(row) - len(row.lstrip()) if first < 0 else first
+                last = at + len(row.rstrip())
+            at = end + 1
+        while i < len(self.tokens) and self.tokens[i].start < at:
+            i += 1
+        return (Term("literal", "".join(kept), first, last, True) if kept else None), i
+
+    def term(self, i: int) -> tuple[Term | None, int]:
+        """The term that begins at token ``i``, and the token after it."""
+        t = self.tokens[i]
+        if t.kind == "string":
+            return Term("literal", t.text, t.start, t.end, True), i + 1
+        if t.kind == "triple":
+            end = -1 if t.text in self.unclosed else self.text.find(t.text, t.end)
+            if end < 0:
+                self.unclosed.add(t.text)
+                return None, i + 1
+            i += 1
+            while i < len(self.tokens) and self.tokens[i].start < end + 3:
                 i += 1
-                if i >= n or lexed[i][0] != "+":
+            return Term("literal", self.text[t.end : end], t.end, end, True), i
+        if t.kind != "word" or not re.match(r"[\w$/]", t.text):
+            return None, i
+        if i + 3 < len(self.tokens) and self.tokens[i + 1].text == "[" and self.tokens[i + 3].text == "]" and self.tokens[i + 2].kind == "string":
+            return Term("name", self.tokens[i + 2].text, t.start, self.tokens[i + 3].end, False), i + 4
+        return Term("name" if _NAME.fullmatch(t.text) or _REFERENCE.fullmatch(t.text) else "literal", t.text, t.start, t.end, False), i + 1
+
+    def terms(self, i: int) -> tuple[list[Term], int]:
+        """Terms from token ``i`` on that are joined by ``+`` or by standing side by side as strings, through brackets and line ends within."""
+        out: list[Term] = []
+        tokens, depth, plus = self.tokens, 0, True
+        while i < len(tokens):
+            word, kind = tokens[i].text, tokens[i].kind
+            if kind == "op":
+                if word == "(" and plus:
+                    depth += 1
+                elif word == ")" and depth:
+                    depth -= 1
+                elif word == "+" and out and not plus:
+                    plus = True
+                elif word != "\n" or not depth and not (plus and out):
                     break
                 i += 1
-            if terms and _NAME.fullmatch(target):
-                out.append((target, terms))
+                continue
+            if not plus and not (out[-1].quoted and kind in ("string", "triple")):
+                break
+            found, after = self.term(i)
+            if found is None:
+                break
+            out.append(found)
+            i, plus = after, False
+        return out, i
+
+    def pairs(self) -> list[Pair]:
+        """Names and the terms assigned to them, in the order of the text."""
+        out: list[Pair] = []
+        tokens, i = self.tokens, 0
+        while i < len(tokens):
+            op = tokens[i]
+            if op.kind != "op" or op.text not in ("=", ":", ":=", "=>", "+="):
+                i += 1
+                continue
+            name = self.target(i - 1)
+            held, after = self.block(i)
+            if held:
+                terms, i = [held], after
+            else:
+                terms, after = self.terms(i + 1)
+                # A type between the name and what is assigned: NAME: TYPE = VALUE.
+                if op.text == ":" and len(terms) == 1 and terms[0].kind == "name" and after < len(tokens) and tokens[after].text == "=":
+                    terms, after = self.terms(after + 1)
+                i = max(after, i + 1)
+            if name and terms:
+                if op.text == "+=":
+                    terms = [Term("name", name, op.start, op.start, False), *terms]
+                out.append((name, terms))
+        return out
+
+
+def assignments(text: str) -> list[Pair]:
+    """Name-literal pairs of source code and of configuration, XML among it, in the order of the text."""
+    out = _Parser(text).pairs()
+    if "<" in text and ">" in text:
+        for pattern in (_XML, _XML_PAIR):
+            for m in pattern.finditer(text):
+                inner = m[2].strip()
+                if inner and _NAME.fullmatch(m[1]):
+                    start = m.start(2) + len(m[2]) - len(m[2].lstrip())
+                    out.append((m[1], [Term("literal", inner, start, start + len(inner), True)]))
+        out.sort(key=lambda pair: pair[1][-1].start)
     return out
 
 
-def referred(term: tuple[str, str, int, bool]) -> tuple[str, bool] | None:
+Key = tuple[str, bool]
+
+
+def referred(term: Term) -> Key | None:
     """The name that a term stands for and whether it is written as a reference: NAME, $NAME, ${NAME} or one of the latter in quotes."""
-    kind, word, _, _ = term
-    if m := _REFERENCE.fullmatch(word):
+    if m := _REFERENCE.fullmatch(term.text):
         return m[1] or m[2], True
-    return (word, False) if kind == "name" else None
+    return (term.text, False) if term.kind == "name" else None
 
 
-def constants(pairs: list[tuple[str, list[tuple[str, str, int, bool]]]]) -> dict[tuple[str, bool], list[tuple[str, str, int, bool]]]:
-    """The literals that names used for sensitive ones stand for, by the name and whether it is written as a reference.
+def constants(pairs: list[Pair]) -> dict[Key, Value]:
+    """The values that names stand for somewhere in the text, for uses that come before the names are set.
 
     A name's constant is its first assignment that leads to literals alone, through
-    names and concatenations of any depth. Unquoted words are literals only where a
-    reference leads to them; elsewhere they are names. Sensitive names are followed
-    if they are given another name, not for literals of their own.
+    names and concatenations of any depth.
     """
-    given: dict[str, list[list]] = {}
+    given: dict[str, list[list[Term]]] = {}
     for name, terms in pairs:
-        if name_score(name) == 0 or len(terms) == 1 and (to := referred(terms[0])) and to[0] != name:
-            given.setdefault(name, []).append(terms)
-    known: dict[tuple[str, bool], list | None] = {}
+        given.setdefault(name, []).append(terms)
+    known: dict[Key, Value | None] = {}
     for wanted in {k for name, terms in pairs if name_score(name) for t in terms if (k := referred(t)) and k[0] in given}:
         # Depth first without recursion; a key that is being resolved is in the stack once.
-        stack, busy = [wanted], {wanted}
+        stack, busy = [(wanted, _needs(wanted, given))], {wanted}
         while stack:
-            key = stack[-1]
-            if key in known:
-                busy.discard(stack.pop())
-                continue
-            need = (k for terms in given[key[0]] for t in terms if (k := _next(t, key)) and k[0] in given and k not in known and k not in busy)
-            if first := next(need, None):
-                stack.append(first)
+            key, needs = stack[-1]
+            if key not in known and (first := next((k for k in needs if k not in known and k not in busy), None)):
+                stack.append((first, _needs(first, given)))
                 busy.add(first)
-            else:
-                known[key] = next((x for terms in given[key[0]] if (x := _literals(terms, key, known))), None)
+                continue
+            if key not in known:
+                known[key] = next((x for terms in given[key[0]] if (x := joined(terms, key[1], known.get))), None)
+            busy.discard(stack.pop()[0])
     return {k: v for k, v in known.items() if v}
 
 
-def _next(term: tuple, key: tuple[str, bool]) -> tuple[str, bool] | None:
+def _needs(key: Key, given: dict[str, list[list[Term]]]) -> Iterator[Key]:
+    return (k for terms in given[key[0]] for t in terms if (k := _next(t, key[1])) and k[0] in given)
+
+
+def _next(term: Term, reference: bool) -> Key | None:
     to = referred(term)
-    return to and (to[0], to[1] or key[1])
+    return to and (to[0], to[1] or reference)
+
 
+def joined(terms: list[Term], reference: bool, value: Callable[[Key], Value | None], loose: bool = False) -> Value | None:
+    """The value that the terms make up, None if one of them isn't known.
 
-def _literals(terms: list[tuple], key: tuple[str, bool], known: dict) -> list[tuple] | None:
-    """The literals of the terms; one that stands more than FULL times among them is told FULL times, so doublings stay small."""
-    out, times = [], Counter()
+    Unquoted words are literals only where a reference leads to them; elsewhere they
+    are names. ``loose`` takes them, and unknown names, by their own text.
+    """
+    parts = []
     for term in terms:
-        to = _next(term, key)
-        if to and known.get(to):
-            for x in known[to]:
-                times[x] += 1
-                if times[x] <= FULL:
-                    out.append(x)
-        elif not _REFERENCE.fullmatch(term[1]) and (term[3] or key[1]):
-            out.append(term)
+        to = _next(term, reference)
+        if to and (held := value(to)):
+            parts.append(held)
+        elif loose or not _REFERENCE.fullmatch(term.text) and (term.quoted or reference):
+            parts.append(Value(term))
         else:
             return None
-    return out
+    return parts[0] if len(parts) == 1 else Value(None, tuple(parts))
 
 
-def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through constants."""
-    if "=" not in text and ":" not in text:
+def literal_spans(text: str, least: int = LEAST) -> list[Span]:
+    """Literals that reach a sensitive name, directly or through constants.
+
+    A name stands for what was last assigned to it before the place where it is
+    used; if nothing known was, for its first constant in the rest of the text.
+    """
+    if "=" not in text and ":" not in text and "</" not in text or not _MAYBE.search(text):
         return []
     pairs = assignments(text)
-    known = constants(pairs)
-    found: set[Span] = set()
+    if not any(name_score(name) for name, _ in pairs):
+        return []
+    ahead = constants(pairs)
+    now: dict[Key, Value] = {}
+    found: list[Span] = []
     for name, terms in pairs:
-        sensitive = name_score(name)
-        if not sensitive:
-            continue
-        pieces = []
-        for term in terms:
-            pieces += known.get(referred(term), [term])
-        joined = "".join(p[1] for p in pieces)
-        if sensitive * value_score(joined, any(p[3] for p in pieces)) >= THRESHOLD:
-            found.update(Span("literal", s, s + len(w), s) for _, w, s, _ in pieces if w)
-    return list(found)
+        if sensitive := name_score(name):
+            value = joined(terms, False, lambda key: now.get(key) or ahead.get(key), loose=True)
+            if sensitive * value.strength(least) >= THRESHOLD:
+                value.tell(found)
+        for reference in (False, True):
+            if held := joined(terms, reference, now.get):
+                now[name, reference] = held
+    return list(dict.fromkeys(found))
 
 
-def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str | None, least: int = LEAST) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: a literal inside a base span isn't told again."""
     text = text or ""
-    base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
     key = lambda s: (s.start, KINDS.index(s.kind), s.end)
-    return sorted(base, key=key), sorted(base + more, key=key)
+    base = sorted(base_spans(text), key=key)
+    more, at, reach = [], 0, -1
+    for s in sorted(literal_spans(text, least), key=key):
+        while at < len(base) and base[at].start <= s.start:
+            reach = max(reach, base[at].end)
+            at += 1
+        if s.end > reach:
+            more.append(s)
+    return base, sorted(base + more, key=key)
 
 
 def as_text(spans: list[Span]) -> str:
@@ -221,10 +415,12 @@ def redact(text: str | None, mark: str = "[REDACTED]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``(id, n_assign, n_access, n_hex, base_spans, spans, n_literal)``, one row for each row of ``docs``.
 
-    Spans are ``kind:start:end`` in code points. A null or empty text has none.
+    Spans are ``kind:start:end`` in code points. Literals of fewer than ``least``
+    characters are left out; with 0 all that reach a sensitive name are told,
+    however weak. A null or empty text has none.
     Repeated rows and null ids stay, other columns are ignored, and an empty table
     gives an empty result.
     """
@@ -234,7 +430,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = {k: [] for k in (id_col, "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_literal")}
             out[id_col] = rows[id_col]
             for text in rows[text_col]:
-                base, spans = scan_text(text)
+                base, spans = scan_text(text, least)
                 for k in ("assign", "access", "hex"):
                     out[f"n_{k}"].append(sum(s.kind == k for s in base))
                 out["base_spans"].append(as_text(base))

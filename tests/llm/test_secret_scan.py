@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,3 +103,64 @@ def test_chains_of_any_length_and_circles():
     assert reached("a = a + b\npassword = a") == []
     doubled = "n0 = 'AKx9vB2mQ7rT5w'\n" + "".join(f"n{i + 1} = n{i} + n{i}\n" for i in range(60))
     assert reached(doubled + "password = n60") == ["AKx9vB2mQ7rT5w"]
+
+
+def test_forms_of_assignments():
+    one = ["AKx9vB2mQ7rT5w"]
+    for text in (
+        'os.environ["DB_PASSWORD"] = "{}"', "config['db_pwd']='{}'", 'pwd: str = "{}"', "let pwd: string = '{}';", "db_pwd := \"{}\"", "{{'pwd' => '{}'}}", "<pwd>{}</pwd>", '<pwd kind="x">\n  {}\n</pwd>',
+        '<add key="db_pwd" value="{}"/>', 'pwd = """{}"""', "pwd = '''{}'''", "pwd: |\n  {}\nother: x", "- pwd: >-\n    {}", 'pwd = (\n  "{}"\n)', 'x = {{"base": 1}}\nbase["k"] = "{}"\npwd = base["k"]', "pwd = \\\n '{}'",
+    ):
+        assert reached(text.format(one[0])) == one, text
+    for text in ('pwd = "AKx9vB2m" "Q7rT5w"', 'pwd = ("AKx9vB2m"\n       "Q7rT5w")', 'pwd = "AKx9vB2m" +\n "Q7rT5w"', 'pwd = "AKx9vB2m"\npwd += "Q7rT5w"', "a = 'AKx9vB2m'\na += 'Q7rT5w'\npwd = a"):
+        assert reached(text) == ["AKx9vB2m", "Q7rT5w"], text
+    assert reached("key:\n  pwd: |\n    AKx9vB2m\n\n    Q7rT5w\n  y: z") == ["AKx9vB2m\n\n    Q7rT5w"]
+    assert reached('pwd = """never closed\nx = 1') == reached("pwd: |\nx: 1") == reached("<pwd></pwd>") == reached('x["pwd"]["y"') == []
+
+
+def test_a_name_stands_for_what_was_last_assigned():
+    assert reached("a = 'AKx9vB2mQ7rT5w'\na = 'Zk3v9QpL0xY7wT2m'\npwd = a") == ["Zk3v9QpL0xY7wT2m"]
+    assert reached("a = 'AKx9vB2mQ7rT5w'\npwd = a\na = 'Zk3v9QpL0xY7wT2m'") == ["AKx9vB2mQ7rT5w"]
+    assert reached("pwd = a\na = b\nb = 'Zk3v9QpL0xY7wT2m'") == ["Zk3v9QpL0xY7wT2m"]
+
+
+def test_short_literals_on_demand():
+    assert [S.as_text(S.scan_text("pwd = 'abc'", k)[1]) for k in (8, 0)] == ["", "literal:7:10"]
+    assert S.as_text(S.scan_text("pwd = x\nx = 'a'", 0)[1]) == "literal:13:14"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcd"), st.lists(st.one_of(st.sampled_from("abcd"), st.integers(0, 30)), min_size=1, max_size=3)), min_size=1, max_size=12))
+def test_propagation_is_that_of_running_the_program(program):
+    """Against an evaluation line by line, for programs in which names are set before they are used."""
+    lines, env, at = [], {}, 0
+    for name, terms in program:
+        terms = [t for t in terms if isinstance(t, int) or t in env] or [0]
+        parts, value = [], []
+        for t in terms:
+            if isinstance(t, int):
+                literal = f"L{t}q{len(lines)}w{len(parts)}zX9"
+                parts.append(f"'{literal}'")
+                value.append(literal)
+            else:
+                parts.append(t)
+                value += env[t]
+        env[name] = value
+        lines.append(f"{name} = {' + '.join(parts)}")
+    for name, value in env.items():
+        text = "\n".join([*lines, f"db_pwd = {name}"])
+        assert reached(text) == sorted(set(value))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="pwd=:+'\"\\\n ()[]<>/|a1$_{}#", max_size=60))
+def test_any_text_gives_spans_within_it(text):
+    for s in S.scan_text("pwd" + text, 0)[1]:
+        assert 0 <= s.start < s.end <= len(text) + 3
+
+
+@pytest.mark.parametrize("line", ["x" * 10**6 + ":pwd", "pwd:" * 80_000, '\\"' * 500_000 + "pwd=", "pwd = 'a' + " * 30_000, '"""' * 300_000 + "pwd=1", "<pwd>" * 200_000, "pwd: |\n" * 120_000, "a = a + a\n" * 40_000 + "pwd = a", "token=abcdefgh1 " * 30_000, "pwd(" * 250_000 + "=", " " * 10**6 + "pwd=1"])
+def test_long_lines_cost_no_more_than_others(line):
+    begun = time.process_time()
+    S.scan_text(line)
+    assert time.process_time() - begun < 6
