@@ -3,24 +3,29 @@
 An item that may stand in a text with k edits is split into k + 1 pieces, one of
 which must stand unchanged. An Aho-Corasick automaton finds the pieces of all
 items; around each hit Myers' bit-parallel algorithm gives the edit distance.
+
+The items never come to the driver: they are written as shards of bounded size to
+the shared folder, and a task reads the shard that it searches for.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
 
 import ahocorasick
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwalk.llm.common import filter_rows, map_columns
+from fernwalk.llm.common import cut, filter_rows, map_columns, shared_folder
 
 #: Edits allowed for each hundred characters of an item.
 EDITS_PER_100 = 8
-#: Items with fewer characters than this say too little to be looked for.
-MIN_CHARS = 24
-#: Characters of items that one pass over the texts looks for; more items take more passes.
+#: Items with fewer characters than this must stand unchanged and as whole words.
+WHOLE_WORDS = 24
+#: Characters of the items of a shard; each shard takes a pass over the texts.
 BLOCK_CHARS = 4_000_000
 
 _GAPS = re.compile(r"[\W_]+")
@@ -32,7 +37,7 @@ def normalise(text: str | None) -> str:
 
 
 def budget(item: str, per_100: int = EDITS_PER_100) -> int:
-    return len(item) * per_100 // 100
+    return len(item) * per_100 // 100 if len(item) >= WHOLE_WORDS else 0
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -95,15 +100,21 @@ class Matcher:
         flat = normalise(text)
         if not flat or not self.items:
             return {}
+        found: dict = {}
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, places) in self.hits.iter(flat):
             for item, offset in places:
-                _, pattern, edits = self.items[item]
+                key, pattern, edits = self.items[item]
                 start = end + 1 - length - offset
+                if len(pattern.item) < WHOLE_WORDS:
+                    if flat[start - 1 : start] in ("", " ") and flat[end + 1 : end + 2] in ("", " "):
+                        found[key] = 0
+                    continue
                 windows.setdefault(item, []).append((max(0, start - edits), start + len(pattern.item) + edits))
-        found = {}
         for item, spans in windows.items():
             key, pattern, edits = self.items[item]
+            if found.get(key) == 0:
+                continue
             if pattern.item in flat:
                 found[key] = 0
                 continue
@@ -111,7 +122,7 @@ class Matcher:
             for a, b in joined(spans):
                 least = min(least, pattern.best(flat[a:b]))
             if least <= edits:
-                found[key] = least
+                found[key] = min(least, found.get(key, least))
         return found
 
 
@@ -126,21 +137,32 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int, min_chars: int) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size; the driver holds one at a time."""
-    held, size = [], 0
-    rows = benchmark.select(id_col, text_col).where(F.length(text_col) >= min_chars).dropDuplicates().toLocalIterator()
-    for key, text in rows:
-        item = normalise(text)
-        if len(item) < min_chars:
-            continue
-        held.append((key, item))
-        size += len(item)
-        if size >= block_chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> list[str]:
+    """Names of files that every task can open, each with some of the items that hold a word.
+
+    Each pair of id and normalised text is there once. The files lie in the shared
+    folder; Spark hands them to the executors, also to those that come later.
+    """
+    spark = benchmark.sparkSession
+    start = lambda: lambda rows: {"id": rows["id"], "item": [normalise(t) for t in rows["item"]]}
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    named = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("item"))
+    items = cut(map_columns(named, start, f"id {kind}, item string").where("item <> ''").distinct())
+    chars = items.agg(F.sum(F.length("item"))).first()[0]
+    if not chars:
+        return []
+    folder = f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}"
+    items.repartition(-(-chars // block_chars), F.xxhash64("item")).write.parquet(folder)
+    files = sorted(spark.read.parquet(folder).inputFiles())
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rsplit("/", 1)[1] for f in files]
+
+
+def load(shard: str, per_100: int) -> Matcher:
+    """The matcher of a shard, in a task."""
+    held = pq.read_table(SparkFiles.get(shard))
+    return Matcher(list(zip(held["id"].to_pylist(), held["item"].to_pylist(), strict=True)), per_100)
 
 
 def find_leaks(
@@ -148,7 +170,6 @@ def find_leaks(
     benchmark: DataFrame,
     per_100: int = EDITS_PER_100,
     block_chars: int = BLOCK_CHARS,
-    min_chars: int = MIN_CHARS,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -156,35 +177,47 @@ def find_leaks(
     """``(doc_id, item_id, distance)`` for every document and item that stands in it within its budget of edits.
 
     Texts are compared in lower case, by their words. A null or empty text holds
-    nothing; items of fewer than ``min_chars`` characters aren't looked for.
-    Repeated rows are each told; ids may be null. Other columns are ignored, and
+    nothing, and an item without a word stands nowhere; one of fewer than
+    WHOLE_WORDS characters must stand unchanged, as whole words. Where an item's id
+    repeats, with the same text or others, the least distance is told once. Repeated
+    rows of ``docs`` are each told; ids may be null. Other columns are ignored, and
     an empty table on either side gives an empty result.
     """
     doc_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, distance int"
+    schema = f"doc_id {doc_kind}, tag long, item_id {item_kind}, distance int"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     out = None
-    for block in blocks(benchmark, item_col, "text", block_chars, min_chars):
+    names = shards(benchmark, item_col, "text", block_chars)
+    for number, name in enumerate(names):
 
-        def start(block=block):
-            matcher = Matcher(block, per_100)
+        def start(name=name):
+            matcher = load(name, per_100)
 
             def work(rows):
-                found = [(d, i, n) for d, t in zip(rows[id_col], rows[text_col], strict=True) for i, n in matcher.find(t).items()]
-                return {"doc_id": [x[0] for x in found], "item_id": [x[1] for x in found], "distance": [x[2] for x in found]}
+                found = [(d, g, i, n) for d, g, t in zip(rows["doc_id"], rows["tag"], rows["text"], strict=True) for i, n in matcher.find(t).items()]
+                return {k: [x[j] for x in found] for j, k in enumerate(("doc_id", "tag", "item_id", "distance"))}
 
             return work
 
-        part = map_columns(docs.select(id_col, text_col), start, schema)
+        part = map_columns(rows, start, schema).withColumn("shard", F.lit(number))
         out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", per_100: int = EDITS_PER_100, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without those in which an item stands; nothing is shuffled."""
-    for block in blocks(benchmark, item_col, "text", block_chars, min_chars):
-
-        def start(block=block):
-            matcher = Matcher(block, per_100)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema).drop("tag")
+    if len(names) > 1:
+        # Texts of one id may lie in several shards; a row that repeats is told as often as it stands there.
+        keys = ["doc_id", "tag", "item_id"]
+        each = out.groupBy(*keys, "shard").agg(F.min("distance").alias("distance"), F.count("*").cast("int").alias("times"))
+        least = each.groupBy(*keys).agg(F.min("distance").alias("distance"), F.max("times").alias("times"))
+        out = least.select("doc_id", "item_id", F.explode(F.array_repeat("distance", F.col("times"))).alias("distance"))
+    return out.select("doc_id", "item_id", "distance")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", per_100: int = EDITS_PER_100, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without those in which an item stands; nothing of them is shuffled."""
+    for name in shards(benchmark, item_col, "text", block_chars):
+
+        def start(name=name):
+            matcher = load(name, per_100)
             return lambda texts: [not matcher.find(t) for t in texts]
 
         docs = filter_rows(docs, text_col, start)

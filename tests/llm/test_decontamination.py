@@ -57,9 +57,48 @@ def test_blocks_and_stage(spark):
         "doc_id long, text string",
     )
     got = rows(D.find_leaks(docs, bench))
-    assert got == sorted([(1, 1, 0), (2, 2, 3), (6, None, 0), (6, None, 0)], key=repr)
+    assert got == sorted([(1, 1, 0), (2, 2, 3), (4, 3, 0), (6, None, 0), (6, None, 0)], key=repr)
     assert rows(D.find_leaks(docs, bench, block_chars=1)) == got
-    assert [r.doc_id for r in D.drop_leaks(docs, bench, block_chars=1).orderBy("doc_id").collect()] == [3, 4, 5]
+    assert [r.doc_id for r in D.drop_leaks(docs, bench, block_chars=1).orderBy("doc_id").collect()] == [3, 5]
+
+
+def plain_leaks(docs, items):
+    """Every item in every text, by the table of distances; short ones by words."""
+    out = []
+    for d, text in docs:
+        flat, least = D.normalise(text), {}
+        for i, item in items:
+            item = D.normalise(item)
+            if not item:
+                continue
+            if len(item) < D.WHOLE_WORDS:
+                n = 0 if f" {item} " in f" {flat} " else 1
+            else:
+                n = plain_distance(item, flat)
+            if n <= D.budget(item):
+                least[i] = min(n, least.get(i, n))
+        out += [(d, i, n) for i, n in least.items()]
+    return sorted(out, key=repr)
+
+
+def test_repeated_ids_and_short_items_against_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+    items = [(r.choice((1, 2, 3, None)), " ".join(word() for _ in range(r.choice((1, 1, 2, 3, 8, 20))))) for _ in range(30)] + [(4, "... !"), (5, ""), (6, None)]
+    items += items[:5]
+    docs = []
+    for i in range(40):
+        text = " ".join(word() for _ in range(25))
+        for _ in range(r.randint(0, 3)):
+            item = r.choice(items[:30])[1]
+            text += " " + edited(r, item, r.randint(0, 2)) + " " + word()
+        docs.append((i if i % 7 else None, text))
+    docs += docs[:6]
+    bench, corpus = spark.createDataFrame(items, BENCH), spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain_leaks(docs, items)
+    assert len(want) > 30
+    for block_chars in (10**6, 60, 1):
+        assert rows(D.find_leaks(corpus, bench, block_chars=block_chars)) == want
 
 
 def test_odd_rows(spark, odd, none):
