@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from fernwalk.llm.common import SPACE, checked_broadcast, cut
 
-#: A line is removed if it is in more documents of its host than this, and in more than one in MAX_SHARE of them.
-MAX_DOCS, MAX_SHARE = 100, 200
-#: Lines with fewer words are too short to tell boilerplate.
-MIN_LINE_WORDS = 3
-#: A document is depleted if it keeps less than this percentage of its words.
+#: A line is removed if it is in this many documents of its host at least, and either in more than one in MAX_SHARE of them
+#: or in more than MAX_DOCS, whatever the size of the host.
+MIN_DOCS, MAX_SHARE, MAX_DOCS = 3, 20, 10_000
+#: A document is depleted if it keeps less than this percentage of its words, or fewer words than the base rules want.
 KEEP_PERCENT = 50
 #: Base rules: least number of words, words of a window, most per cent of words in repeated windows.
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
@@ -29,14 +28,17 @@ def _lines(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(_WORD)))
 
 
+def _host_key(host: Column) -> Column:
+    return F.xxhash64(F.coalesce(host.cast("string"), F.lit("")), host.isNull())
+
+
 def _keys(lines: Column, host: Column) -> Column:
-    """A key of host and normalised line, and the line's words, for each line that is long enough."""
+    """A key of host and normalised line, and the line's words, for each line."""
     flat = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), _GAP, " ")))
-    counted = F.transform(
+    return F.transform(
         flat,
         lambda x: F.struct(F.xxhash64(F.coalesce(host.cast("string"), F.lit("")), host.isNull(), x).alias("key"), F.size(F.split(x, " ")).alias("n")),
     )
-    return F.filter(counted, lambda x: x["n"] >= MIN_LINE_WORDS)
 
 
 def _with_windows(df: DataFrame, hashes: str) -> DataFrame:
@@ -57,7 +59,7 @@ def _paired(hashes: str, step: int) -> Column:
 
 
 def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines)``, a row for each of ``docs``.
+    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, host, lines)``, a row for each of ``docs``.
 
     Windows are compared by 64-bit hashes within one text. Only texts in which
     two are equal have them sorted.
@@ -76,6 +78,7 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        _host_key(F.col("_host")).alias("host"),
         _keys(F.col("_lines"), F.col("_host")).alias("lines"),
         F.when(F.size("_words") >= WINDOW, F.transform("_words", lambda w: F.xxhash64(w))).alias("_h"),
     )
@@ -90,43 +93,43 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     gaps = F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     covered = F.when(F.col("_p").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x))
-    return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "lines")
+    return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "host", "lines")
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE) -> DataFrame:
-    """``(key)`` of the lines that stand in more than ``max_docs`` rows of one host and in more than one in ``max_share`` of its rows.
+def frequent_lines(base: DataFrame, min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``(key)`` of the lines of ``base(host, lines)`` that stand in too many rows of their host.
 
-    A row counts a line once. The share keeps a line of a large host from being
-    taken for boilerplate only because the host is large.
+    A row counts a line once. The share acts alike on small and large hosts; the
+    number keeps a large host from having lines in any number of documents.
     """
-    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.col(host_col).isNull())
-    keys = F.array_distinct(F.transform(_keys(_lines(text_col), F.col(host_col)), lambda x: x["key"]))
     often = (
-        docs.select(host.alias("host"), F.explode(keys).alias("key"))
+        base.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
         .groupBy("key")
         .agg(F.count("*").alias("rows"), F.min("host").alias("host"))
-        .where(F.col("rows") > max_docs)
+        .where(F.col("rows") >= min_docs)
     )
-    hosts = docs.groupBy(host.alias("host")).agg(F.count("*").alias("all"))
-    return often.join(hosts, "host").where(F.col("rows") * max_share > F.col("all")).select("key")
+    hosts = base.groupBy("host").agg(F.count("*").alias("all"))
+    return often.join(hosts, "host").where((F.col("rows") * max_share > F.col("all")) | (F.col("rows") > max_docs)).select("key")
 
 
-def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: int = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality(
+    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+) -> DataFrame:
     """Base counts, ``base_failed``, ``n_removed_words`` and ``kept``, one row for each row of ``docs``.
 
     Every row is a document of its own, so repeated rows are counted and judged
     each. Null and empty texts have no words and fail. Null hosts are one host.
     Null ids stay, other columns are ignored, and an empty table gives an empty
-    result.
+    result. Texts are read once; keys and counts go to the shared folder.
     """
-    frequent = checked_broadcast(cut(frequent_lines(docs, text_col, host_col, max_docs, max_share))).withColumn("hit", F.lit(1))
-    base = base_columns(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id())
-    own = [c for c in base.columns if c != "lines"]
-    lines = base.select(*own, F.explode_outer("lines").alias("line")).select(*own, "line.key", "line.n")
-    removed = F.coalesce(F.sum(F.when(F.col("hit").isNotNull(), F.col("n"))), F.lit(0)).cast("long")
-    judged = lines.join(frequent, "key", "left").groupBy(*own).agg(removed.alias("n_removed_words"))
+    base = cut(base_columns(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()))
+    frequent = checked_broadcast(cut(frequent_lines(base, min_docs, max_share, max_docs)))
+    lines = base.select("_row", F.explode("lines").alias("line")).select("_row", "line.key", "line.n")
+    removed = lines.join(frequent, "key").groupBy("_row").agg(F.sum("n").cast("long").alias("_n"))
+    judged = base.drop("lines", "host").join(removed, "_row", "left").withColumn("n_removed_words", F.coalesce("_n", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    enough = 100 * (F.col("n_words") - F.col("n_removed_words")) >= KEEP_PERCENT * F.col("n_words")
+    left = F.col("n_words") - F.col("n_removed_words")
+    enough = (100 * left >= KEEP_PERCENT * F.col("n_words")) & (left >= MIN_WORDS)
     return judged.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & enough).alias("kept"), "n_removed_words",

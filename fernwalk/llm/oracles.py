@@ -32,16 +32,16 @@ dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY
 win AS (SELECT r, i, array_to_string(w[i : i + {L.WINDOW - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {L.WINDOW - 2})) AS i FROM d WHERE len(w) >= {L.WINDOW})),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {L.WINDOW})) AS p FROM again) GROUP BY r),
-long AS (SELECT r, source, y, len(string_split(y, ' ')) AS n FROM line WHERE len(string_split(y, ' ')) >= {L.MIN_LINE_WORDS}),
+long AS (SELECT r, source, y, len(string_split(y, ' ')) AS n FROM line),
 host AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-often AS (SELECT source, y FROM (SELECT source, y, count(DISTINCT r) AS c FROM long GROUP BY source, y) o WHERE c > {L.MAX_DOCS}
-    AND {L.MAX_SHARE} * c > (SELECT max(docs) FROM host h WHERE h.source IS NOT DISTINCT FROM o.source)),
+often AS (SELECT source, y FROM (SELECT source, y, count(DISTINCT r) AS c FROM long GROUP BY source, y) o WHERE c >= {L.MIN_DOCS}
+    AND (c > {L.MAX_DOCS} OR {L.MAX_SHARE} * c > (SELECT max(docs) FROM host h WHERE h.source IS NOT DISTINCT FROM o.source))),
 gone AS (SELECT r, sum(n) AS n_removed FROM long l JOIN often o ON l.y = o.y AND l.source IS NOT DISTINCT FROM o.source GROUP BY r),
 a AS (SELECT n.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_removed,
     n_words < {L.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {L.MAX_REPEATED} * n_words AS base_failed
     FROM n LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_removed) >= {L.KEEP_PERCENT} * n_words AS kept, CAST(n_removed AS BIGINT) AS n_removed_words FROM a"""
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_removed) >= {L.KEEP_PERCENT} * n_words AND n_words - n_removed >= {L.MIN_WORDS} AS kept, CAST(n_removed AS BIGINT) AS n_removed_words FROM a"""
 
 OP6 = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+')) AS BIGINT) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {M.HASH_BITS // 4}) AS h FROM documents),

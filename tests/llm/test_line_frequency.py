@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import importlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fernwalk.llm import line_frequency as L
-from fernwalk.llm import queries
+from fernwalk.llm import oracles
+from fernwalk.llm.common import table
 from tests import parity
 from tests.llm.conftest import clash, rows
 
@@ -45,38 +49,45 @@ def test_base_counts_are_the_contracts(spark):
 
 
 def test_lines_in_many_documents_go(spark):
-    own = "\n".join(" ".join(f"w{k}{j}" for j in range(12)) for k in range(4))
-    data = [(i, f"Shared  LINE of the\thost\n{own} u{i}", "a") for i in range(6)]
+    own = lambda i: "\n".join(" ".join(f"w{i}{k}{j}" for j in range(12)) for k in range(4))
+    data = [(i, f"Shared  LINE of the\thost\n{own(i)}\nShare", "a") for i in range(6)]
     data += [(10 + i, "shared line of the host\n" * 9 + f"just one own line here u{i}", "a") for i in range(3)]
-    data += [(20, "shared line of the host\n" + own, "b"), (21, own + "\nu1 u2 u3 u4", None)]
-    got = {r.doc_id: r for r in L.quality(spark.createDataFrame(data, DOCS), max_docs=8).collect()}
-    assert got[0].n_removed_words == 5
+    data += [(20, "shared line of the host\n" + own(20), "b"), (21, own(21) + "\nu1 u2 u3 u4", None)]
+    df = spark.createDataFrame(data, DOCS)
+    got = {r.doc_id: r for r in L.quality(df, min_docs=6, max_share=2).collect()}
+    assert got[0].n_removed_words == 6
     assert got[0].kept
     assert got[10].n_removed_words == 45
     assert not got[10].kept
     assert got[20].n_removed_words == got[21].n_removed_words == 0
-    got = L.quality(spark.createDataFrame(data, DOCS), max_docs=9).collect()
-    assert {r.n_removed_words for r in got} == {0}
+    assert {r.n_removed_words for r in L.quality(df, min_docs=10, max_share=2).collect()} == {0}
+    assert {r.n_removed_words for r in L.quality(df, min_docs=7, max_share=2).collect()} == {0, 5, 45}
+
+
+def frequent(df, **limits):
+    return L.frequent_lines(L.base_columns(df), **limits).collect()
 
 
-def test_a_large_host_needs_a_larger_number(spark):
+def test_share_and_number(spark):
     data = [(i, "one two three four\n" * (i < 30) + f"own words {i} " * 20, "a") for i in range(400)]
     df = spark.createDataFrame(data, DOCS)
-    assert L.frequent_lines(df, max_docs=20, max_share=10).collect() == []
-    assert len(L.frequent_lines(df, max_docs=20, max_share=14).collect()) == 1
+    assert frequent(df, max_share=13) == []
+    assert len(frequent(df, max_share=14)) == 1
+    assert frequent(df, max_share=1, max_docs=30) == []
+    assert len(frequent(df, max_share=1, max_docs=29)) == 1
 
 
 def test_a_row_counts_a_line_once(spark):
     df = spark.createDataFrame([(1, "one two three\n" * 50, "a")], DOCS)
-    assert L.frequent_lines(df, max_docs=1).collect() == []
+    assert frequent(df, min_docs=2) == []
 
 
 def test_many_frequent_lines_are_joined_without_broadcast(spark, monkeypatch):
     data = [(i, "one two three four\n" + f"own words {i} " * 20, f"s{i % 2}") for i in range(40)]
     df = spark.createDataFrame(data, DOCS)
-    want = rows(L.quality(df, max_docs=5))
+    want = rows(L.quality(df))
     monkeypatch.setattr(L, "checked_broadcast", lambda x: x)
-    assert rows(L.quality(df, max_docs=5)) == want
+    assert rows(L.quality(df)) == want
     assert {r[-1] for r in want} == {4}
 
 
@@ -93,16 +104,31 @@ def test_the_plan_holds_no_python(odd):
 
 
 def test_removed_lines_are_the_sqls(spark, tmp_path, monkeypatch):
-    """Hosts in which the number binds, the share binds, and neither can be reached, with lines at and past each limit."""
+    """Hosts in which the least number, the share, and the largest number decide, with lines at and past each limit."""
+    monkeypatch.setattr(L, "MAX_DOCS", 200)
     own = " ".join(f"w{j}" for j in range(24))
-    data = [(i, ("Seen  at THE limit\n" * (i < 100) + "seen past the limit\n" * (i < 101)) * 9 + f"{own} u{i}", "a") for i in range(150)]
-    data += [(1000 + i, "seen past the limit\n" + own, None if i % 2 else "b") for i in range(90)]
-    data += [(10_000 + i, "one in two hundred\n" * (i < 102) + "more than that share\n" * (i < 103) + f"u{i}", "c") for i in range(20_400)]
+    data = [(i, ("Seen  in two\n" * (i < 2) + "seen in three\n" * (i < 3)) * 9 + f"{own} u{i}", "a") for i in range(5)]
+    data += [(1000 + i, "one in twenty\n" * (i < 5) + "more than that\nShare\n" * (i < 6) + f"{own} {i}", None if i % 2 else "b") for i in range(200)]
+    data += [(10_000 + i, "as many as may be\n" * (i < 200) + "one more\n" * (i < 201) + f"u{i}", "c") for i in range(5000)]
     spark.createDataFrame(data, DOCS).write.parquet(str(tmp_path / "made"))
     spark.read.parquet(str(tmp_path / "made")).coalesce(1).write.parquet(str(tmp_path / "one"))
     next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
     monkeypatch.setattr(parity, "SF", tmp_path)
-    parity.same_rows(spark, queries.queries()["op4_line_frequency"], queries.oracle_sql()["op4_line_frequency"])
-    removed = {r.doc_id: r.n_removed_words for r in L.quality(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
-    assert [removed[0], removed[100], removed[101], removed[1000], removed[10_000], removed[10_102]] == [36, 36, 0, 0, 4, 4]
-    assert sum(removed.values()) == 101 * 36 + 103 * 4
+    sql = importlib.reload(oracles).OP4
+    parity.same_rows(spark, lambda s, d: L.quality(table(s, d, "documents"), max_docs=200), sql)
+    removed = {r.doc_id: r.n_removed_words for r in L.quality(spark.read.parquet(str(tmp_path / "documents.parquet")), max_docs=200).collect()}
+    assert [removed[0], removed[2], removed[3], removed[10_000], removed[10_200], removed[10_201]] == [27, 27, 0, 2, 2, 0]
+    monkeypatch.undo()
+    importlib.reload(oracles)
+
+
+@parity.needs_data
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_lines_are_removed_from_the_tables(spark, scale):
+    """The method acts on small hosts too, and leaves most documents alone."""
+    got = L.quality(table(spark, f"/root/testdata/{scale}", "documents")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("n_removed_words") > 0).alias("hit"), F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("depleted")
+    ).first()
+    assert got.hit > 0
+    assert got.depleted < got.n / 10
+    assert got.depleted > 0 or scale == "sf0.001"
