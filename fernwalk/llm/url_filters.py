@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwalk.llm.common import LOWER, UPPER, ascii_lower, map_columns
+from fernwalk.llm.common import LOWER, UPPER, ascii_lower, checked_broadcast, map_columns
 
 TOKEN = re.compile(r"[a-z0-9]+")
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -46,6 +47,10 @@ class PatternRule:
     def regex(self) -> str:
         return "".join({"*": ".*", "^": "(?:[^a-z0-9]|^|$)"}.get(c, re.escape(c)) for c in self.pattern)
 
+    def parts(self) -> tuple[re.Pattern, ...]:
+        """What stands between the ``*``, in order. Each is looked for behind the one before, so no text is read twice."""
+        return tuple(re.compile(PatternRule(self.action, x).regex(), re.DOTALL) for x in self.pattern.split("*") if x)
+
     def tokens(self) -> list[str]:
         """Literal tokens that stand as whole tokens in every URL that matches."""
         out = []
@@ -63,21 +68,30 @@ HOST_RULES = (
     HostRule("block", "example.com", "/de/"),
     HostRule("allow", "org", "/fr/"),
 )
-#: Rules of the method for what no host rule decides. An allow rule beats a block rule.
-PATTERN_RULES = (
-    PatternRule("block", "^spam-farm^"),
-    PatternRule("block", "^cheap-pills^"),
-    PatternRule("block", "^casino-win^"),
-    PatternRule("block", "^free-bets^"),
-    PatternRule("block", "^ads-track^"),
-    PatternRule("block", "^adult-x^"),
-    PatternRule("block", "^adserver^"),
-    PatternRule("block", "^doubleclick^"),
-    PatternRule("block", "/banner/*.gif^"),
-    PatternRule("block", "^online-casino^"),
-    PatternRule("block", "^phishing^"),
-    PatternRule("allow", "/responsible-gambling/*"),
+#: Rules of the method for what no host rule decides. An allow rule beats a block rule. Another list comes from a table by ``rules_of``.
+PATTERN_RULES = tuple(
+    PatternRule(action, pattern)
+    for action, patterns in {
+        "block": "^ads^ ^adserver^ ^adclick^ ^doubleclick^ ^popunder^ /banner/*.gif^ /banners/*^ ^tracker^ ^clicktrack^ ?utm_pop= "
+        "^casino^ ^online-casino^ ^poker^ ^free-bets^ ^betting^ ^slots^ ^lottery-win^ ^pills^ ^viagra^ ^payday-loan^ ^replica-watches^ "
+        "^spam^ ^linkfarm^ ^phishing^ ^malware^ ^warez^ ^keygen^ ^porn^ ^xxx^ ^adult^ ^escort^",
+        "allow": "/responsible-gambling/* ^anti-spam^ ^adult-education^ /security/*^phishing^ /security/*^malware^",
+    }.items()
+    for pattern in patterns.split()
 )
+#: Rules that a table may hold; they are the setting of a run, and each task holds them.
+MOST_RULES = 1_000_000
+
+
+def rules_of(table: DataFrame) -> tuple[PatternRule, ...]:
+    """The distinct rules of ``table(action, pattern)``; rows with another action or without a pattern are refused."""
+    rows = table.select("action", F.lower("pattern").alias("pattern")).distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    for r in rows:
+        if r.action not in ("block", "allow") or not r.pattern:
+            raise ValueError(f"not a rule: {r.action} {r.pattern}")
+    return tuple(sorted((PatternRule(*r) for r in rows), key=lambda r: (r.pattern, r.action)))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -98,14 +112,24 @@ def host_rule(host: str, path: str, rules: dict[str, list[HostRule]]) -> HostRul
     return max(found, key=lambda r: len(r.name), default=None)
 
 
+def stands(parts: tuple[re.Pattern, ...], text: str) -> bool:
+    at = 0
+    for p in parts:
+        m = p.search(text, at)
+        if not m:
+            return False
+        at = m.end()
+    return True
+
+
 class RuleIndex:
     """Pattern rules by their rarest token. ``counts``: in how many URLs a token stands."""
 
     def __init__(self, rules: tuple[PatternRule, ...], counts: dict[str, int]):
-        self.by_token: dict[str, list[tuple[re.Pattern, str]]] = {}
-        self.always: list[tuple[re.Pattern, str]] = []
+        self.by_token: dict[str, list[tuple[tuple[re.Pattern, ...], str]]] = {}
+        self.always: list[tuple[tuple[re.Pattern, ...], str]] = []
         for r in rules:
-            entry = (re.compile(r.regex(), re.DOTALL), r.action)
+            entry = (r.parts(), r.action)
             if tokens := r.tokens():
                 rarest = min(tokens, key=lambda t: (counts.get(t, 0), t))
                 self.by_token.setdefault(rarest, []).append(entry)
@@ -116,24 +140,20 @@ class RuleIndex:
         text = (url or "").translate(_FOLD)
         hit = set()
         for token in set(TOKEN.findall(text)) & self.by_token.keys():
-            hit.update(action for pattern, action in self.by_token[token] if pattern.search(text))
-        hit.update(action for pattern, action in self.always if pattern.search(text))
+            hit.update(action for parts, action in self.by_token[token] if stands(parts, text))
+        hit.update(action for parts, action in self.always if stands(parts, text))
         return "block" if hit == {"block"} else "allow"
 
 
 def token_counts(urls: DataFrame, rules: tuple[PatternRule, ...], url: str = "url") -> dict[str, int]:
     """URLs that hold each token of the rules; the driver gets one number a rule token."""
     wanted = sorted({t for r in rules for t in r.tokens()})
+    if not wanted:
+        return {}
+    known = urls.sparkSession.createDataFrame(pa.table({"token": wanted}))
     tokens = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col(url)), F.lit("([a-z0-9]+)")))
-    rows = (
-        urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("token"))
-        .groupBy("token")
-        .count()
-        .collect()
-        if wanted
-        else []
-    )
-    return {r["token"]: r["count"] for r in rows}
+    found = urls.select(F.explode(tokens).alias("token")).join(checked_broadcast(known), "token", "left_semi")
+    return {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
 
 
 def judge_urls(

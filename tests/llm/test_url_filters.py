@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +47,26 @@ def test_a_rule_stands_under_its_rarest_token():
     assert U.PatternRule("block", "*ads^x*").tokens() == []
 
 
+def test_thousands_of_rules_from_a_table(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 4)))
+    patterns = [(r.choice(["block"] * 60 + ["allow"]), r.choice(("^{}^", "/{}/*", "^{}-{}^", "{}*{}", "*{}^", "?{}=")).format(word(), word())) for _ in range(4000)]
+    rules = U.rules_of(spark.createDataFrame([*patterns, *patterns[:9]], "action string, pattern string"))
+    assert {(x.action, x.pattern) for x in rules} == set(patterns)
+    urls = [(i, f"http://{word()}.{word()}.Example/{word()}/{word()}-{word()}?{word()}={word()}") for i in range(300)] + [(300, "http://h.x/" + "ab-cd/" * 20_000 + "end")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = {x.page_id: x.verdict for x in U.judge_urls(df, (), rules).collect()}
+    compiled = [(re.compile(x.regex(), re.S), x.action) for x in rules]
+    assert len(got) == 301
+    for i, url in urls[:300]:
+        every = {action for pattern, action in compiled if pattern.search(url.lower())}
+        assert got[i] == ("block" if every == {"block"} else "allow")
+    assert set(got.values()) == {"block", "allow"}
+    for bad in (("drop", "^x^"), ("block", ""), ("block", None)):
+        with pytest.raises(ValueError, match="not a rule"):
+            U.rules_of(spark.createDataFrame([bad], "action string, pattern string"))
+
+
 def test_odd_rows(spark):
     data = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.net"), (5, "http://a.net/"), (5, "http://a.net/"), (None, "https://x.example.net/en/1"), (7, "http://spam-farm.example.org/fr/1"), (8, "http://spam-farm.example.org/en/1")]
     df = spark.createDataFrame([(i, u, "h", "r", "v") for i, u in data], "page_id long, url string, host string, rule string, verdict string")
