@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from fernwalk.llm.common import LOWER, UPPER, map_columns
+from fernwalk.llm.license_texts import TEXTS
 
 #: Every byte that ends a word becomes a space, A-Z become a-z; bytes from 0x80 stay.
 _TOKENS = bytes(
@@ -23,8 +24,8 @@ _TOKENS = bytes(
 #: Phrases and labels of the contract.
 PHRASES = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
 
-#: Public license notices, as templates.
-TEMPLATES = {
+#: Public license notices and grants that stand by themselves, and whole texts, as templates.
+TEMPLATES = TEXTS | {
     "mit-notice": "released under the mit license",
     "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy of <<var:1-8>> "
@@ -54,6 +55,10 @@ TEMPLATES = {
 }
 
 
+def tokens(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_TOKENS).split()
+
+
 @dataclass
 class Automaton:
     """``step[state]``: the token each state waits for and what follows; None waits for any token."""
@@ -95,21 +100,24 @@ class Automaton:
 def compile_template(label: str, text: str) -> Automaton:
     """Leading optional regions aren't needed to accept, so a template must begin with a mandatory token."""
     a, opened, need = Automaton(label), [], 0
-    for part in re.findall(r"<<[^<>]*>>|[^\s<>]+", text):
+    marks = [(m[0],) if m[0].startswith("<<") else tokens(m[0]) for m in re.finditer(r"<<[^<>]*>>|[^<>]+", text)]
+    for part in (x for xs in marks for x in xs):
         here = len(a.step)
         if part == "<<optional>>":
             opened.append(here)
         elif part == "<</optional>>":
             a.skip.setdefault(opened.pop(), []).append(here)
-        elif m := re.fullmatch(r"<<var:(\d+)-(\d+)>>", part):
+        elif isinstance(part, str) and (m := re.fullmatch(r"<<var:(\d+)-(\d+)>>", part)):
             least, most = int(m[1]), int(m[2])
             for i in range(most):
                 a.step.append((None, here + i + 1))
                 a.need.append(need)
                 if i >= least:
                     a.skip.setdefault(here + i, []).append(here + most)
+        elif isinstance(part, str):
+            raise ValueError(f"{label}: unknown markup {part}")
         else:
-            a.step.append((part.encode(), here + 1))
+            a.step.append((part, here + 1))
             a.need.append(need)
             need += not opened
     if opened or not a.step or a.step[0][0] is None or 0 in a.skip:

@@ -62,6 +62,52 @@ def test_notices_of_the_tables():
     assert 0 < near["score"] < 1
 
 
+def plain_accepts(parts, words):
+    """By trying every way through the regions."""
+
+    def ways(i, at):
+        if i == len(parts):
+            return True
+        kind, value = parts[i]
+        if kind == "word":
+            return at < len(words) and words[at] == value and ways(i + 1, at + 1)
+        if kind == "var":
+            return any(ways(i + 1, at + n) for n in range(value[0], value[1] + 1) if at + n <= len(words))
+        return ways(i + 1, at) or (words[at : at + len(value)] == value and ways(i + 1, at + len(value)))
+
+    return any(ways(0, at) for at in range(len(words)))
+
+
+WORD = st.sampled_from("abc")
+PART = st.one_of(
+    WORD.map(lambda w: ("word", w)), st.tuples(st.integers(0, 2), st.integers(0, 2)).map(lambda x: ("var", (x[0], x[0] + x[1]))), st.lists(WORD, min_size=1, max_size=3).map(lambda ws: ("optional", ws))
+)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(PART, max_size=6), st.lists(WORD, max_size=10))
+def test_acceptance_against_brute_force(parts, words):
+    parts = [("word", "a"), *parts]
+    show = {"word": lambda v: v, "var": lambda v: f"<<var:{v[0]}-{v[1]}>>", "optional": lambda v: f"<<optional>>{' '.join(v)}<</optional>>"}
+    assert accepts(" ".join(show[k](v) for k, v in parts), " ".join(words)) == plain_accepts(parts, words)
+
+
+def test_whole_texts():
+    """Each text is accepted with its regions filled in or left out, wherever it stands, and with one word changed it isn't."""
+    scan = L.LicenseScanner(L.TEXTS).scan
+    for label, template in L.TEXTS.items():
+        full = re.sub(r"<<var:(\d+)-\d+>>", lambda m: " ".join(["Acme"] * max(1, int(m[1]))), template)
+        bare = re.sub(r"(?s)<<optional>>.*?<</optional>>", "", full)
+        full = re.sub(r"<</?optional>>", " ", full)
+        for text in (full, bare, "* " + full.replace("\n", "\n * "), f"Copyright 2020 Acme\n\n{bare}\n\nint main"):
+            found = scan(text)
+            assert label in found["labels"].split(","), label
+            assert found["score"] == 1.0
+        words = bare.split()
+        words[len(words) // 2] = "zebra"
+        assert label not in scan(" ".join(words))["labels"].split(","), label
+
+
 def test_odd_rows(spark, odd, none):
     got = rows(L.scan_licenses(odd))
     assert got == rows(L.scan_licenses(clash(odd)))
