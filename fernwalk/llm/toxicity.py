@@ -28,8 +28,8 @@ CUES = frozenset(
     "said says called wrote quoted quote word term sagte schrieb nannte wort zitat dit écrit appelé mot citation dijo escribió llamó palabra cita".split()
 )
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
-#: Quotes over more words than this aren't taken for quotes.
-LONGEST_QUOTE = 60
+#: A hit so many words from the nearer edge of its quote counts as quoted; farther in, less so by the distance.
+QUOTE_REACH = 30
 #: Rows of each label that the model is fitted on at most, the first by a hash of their ids.
 SAMPLE_ROWS = 3000
 #: Words on either side of a hit that make its window.
@@ -215,17 +215,17 @@ class Matcher:
         return [(i, *self.known[w]) for i, w in enumerate(words) if w in self.known] if some else []
 
 
-def quoted_positions(words: list[str]) -> set[int]:
-    """Words inside quotes that are closed within the text."""
-    out, opened = set(), None
+def quoted_positions(words: list[str]) -> dict[int, float]:
+    """How far each word inside quotes that are closed within the text is quoted: wholly near an edge, less deep within."""
+    out, opened = {}, None
     for i, w in enumerate(words):
         for c in w:
             if opened is None:
                 if c in QUOTES:
                     opened = (QUOTES[c], i)
             elif c == opened[0]:
-                if i - opened[1] <= LONGEST_QUOTE:
-                    out.update(range(opened[1], i + 1))
+                first = opened[1]
+                out.update((k, min(1.0, QUOTE_REACH / max(1, min(k - first, i - k)))) for k in range(first, i + 1))
                 opened = None
     return out
 
@@ -247,9 +247,11 @@ def features(words: list[str], hits: list[tuple[int, int, int]], terms: list[Ter
     names = set()
     for i, edits, t in hits:
         weight = terms[t].weight * (trust.get(form(words[i]), 1.0 / edits) if edits else 1.0)
-        if i in marks or any(words[j].strip(".,;:!?\"“”«»'") in CUES for j in range(max(0, i - 4), i)):
-            told += weight
+        share = 1.0 if any(words[j].strip(".,;:!?\"“”«»'") in CUES for j in range(max(0, i - 4), i)) else marks.get(i, 0.0)
+        told += weight * share
+        if share == 1.0:
             continue
+        weight *= 1 - share
         if edits:
             fuzzy += weight
         elif terms[t].stem:

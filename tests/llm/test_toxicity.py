@@ -127,8 +127,13 @@ def test_swapped_letters_and_two_edits_count(model):
 
 
 def test_quotes_must_close():
-    assert X.quoted_positions('a "b c" d'.split()) == {1, 2}
-    assert X.quoted_positions('a "b c d'.split()) == set()
+    assert X.quoted_positions('a "b c" d'.split()) == {1: 1.0, 2: 1.0}
+    assert X.quoted_positions('a "b c d'.split()) == {}
+    long = X.quoted_positions(['"a', *["b"] * 199, 'c"'])
+    assert len(long) == 201
+    assert long[0] == long[30] == long[170] == long[200] == 1.0
+    assert long[60] == 0.5
+    assert long[100] == 0.3
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
