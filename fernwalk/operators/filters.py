@@ -17,14 +17,16 @@ def drop_blocked(df: DataFrame, domains: tuple[str, ...] | list[str] = BLOCKED,
 def drop_blocked_by_table(df: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
     """As ``drop_blocked``, for a list too long to be written into the plan.
 
-    ``domains(domain)`` is joined on the domains above each host, so it is an equi
-    join of any size; Spark picks how by the measured sizes.
+    The distinct hosts are joined with ``domains(domain)`` on the domains above each,
+    and the rows with the few that are blocked; rows with their columns are only
+    shuffled if those are many.
     """
-    key = F.monotonically_increasing_id()
-    marked = df.withColumn("_key", key)
-    above = marked.select("_key", F.explode(suffixes(host(F.col(url)))).alias("domain"))
-    hit = above.join(domains.select("domain").distinct(), "domain", "left_semi").select("_key").distinct()
-    return marked.join(hit, "_key", "left_anti").drop("_key")
+    at = F.col("_row")[url]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    hosts = rows.select(host(at).alias("_host")).where("_host IS NOT NULL").distinct()
+    above = hosts.select("_host", F.explode(suffixes(F.col("_host"))).alias("domain"))
+    hit = above.join(domains.select("domain").distinct(), "domain", "left_semi").select("_host").distinct()
+    return rows.withColumn("_host", host(at)).join(hit, "_host", "left_anti").select("_row.*")
 
 
 def ok_only(df: DataFrame) -> DataFrame:
