@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow.parquet as pq
@@ -19,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwalk.llm.common import cut, filter_rows, map_columns, shared_folder
+from fernwalk.llm.common import filter_rows, map_columns, shared_folder
 
 #: Edits allowed for each hundred characters of an item.
 EDITS_PER_100 = 8
@@ -140,29 +141,30 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> list[str]:
     """Names of files that every task can open, each with some of the items that hold a word.
 
-    Each pair of id and normalised text is there once. The files lie in the shared
-    folder; Spark hands them to the executors, also to those that come later.
+    The files lie in the shared folder; Spark hands them to the executors, also to
+    those that come later.
     """
     spark = benchmark.sparkSession
     start = lambda: lambda rows: {"id": rows["id"], "item": [normalise(t) for t in rows["item"]]}
     kind = benchmark.schema[id_col].dataType.simpleString()
     named = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("item"))
-    items = cut(map_columns(named, start, f"id {kind}, item string").where("item <> ''").distinct())
+    items = map_columns(named, start, f"id {kind}, item string").where("item <> ''")
     chars = items.agg(F.sum(F.length("item"))).first()[0]
     if not chars:
         return []
     folder = f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}"
-    items.repartition(-(-chars // block_chars), F.xxhash64("item")).write.parquet(folder)
+    items.repartition(-(-chars // block_chars)).write.parquet(folder)
     files = sorted(spark.read.parquet(folder).inputFiles())
     for f in files:
         spark.sparkContext.addFile(f)
     return [f.rsplit("/", 1)[1] for f in files]
 
 
+@lru_cache(maxsize=1)
 def load(shard: str, per_100: int) -> Matcher:
-    """The matcher of a shard, in a task."""
+    """The matcher of a shard, in a task; a worker's next tasks use it again."""
     held = pq.read_table(SparkFiles.get(shard))
-    return Matcher(list(zip(held["id"].to_pylist(), held["item"].to_pylist(), strict=True)), per_100)
+    return Matcher(list(dict.fromkeys(zip(held["id"].to_pylist(), held["item"].to_pylist(), strict=True))), per_100)
 
 
 def find_leaks(
