@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fernwalk.functions.text import decode_entities
 
-ARTICLE = r"(?s)<article>(.*?)</article>"
+ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article>"
 #: Content that is never text; scripts go before tags, as they may hold some in strings.
-UNSEEN = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-BREAKS = r"</?(?:p|br|h1|h2|h3|li|ul|ol|div|tr)[^>]*>"
+UNSEEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+BREAKS = r"(?i)</?(?:p|br|h1|h2|h3|li|ul|ol|div|tr)(?:[\s/][^>]*)?>"
 TAG = r"<[^>]+>"
 
 

@@ -72,13 +72,13 @@ def _decode(text: str) -> str:
     return text
 
 
-ARTICLE = "nullif(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '')"
+ARTICLE = "nullif(regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*?)</article>', 1), '')"
 
 
 def _body() -> str:
     out = f"coalesce({ARTICLE}, html)"
-    out = f"regexp_replace({out}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g')"
-    out = f"regexp_replace({out}, '</?(?:p|br|h1|h2|h3|li|ul|ol|div|tr)[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?(?:p|br|h1|h2|h3|li|ul|ol|div|tr)(?:[\\s/][^>]*)?>', chr(10), 'g')"
     return f"trim({_decode(f"regexp_replace({out}, '<[^>]+>', '', 'g')")})"
 
 
@@ -137,20 +137,20 @@ def oracles() -> dict[str, str]:
             SELECT doc_id, pos, s, score FROM (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS used FROM sc) WHERE used <= {BUDGET}""",
         "top5_per_source": "SELECT * FROM (SELECT source, doc_id, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rk FROM documents) WHERE rk <= 5",
         "top50_results": "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50",
-        "source_union": "SELECT doc_id, 'web' AS kind, n_chars FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, 'bonus', NULL FROM documents WHERE source = 'src1'",
-        "fallback_source": "WITH p AS (SELECT doc_id, lang AS query_id, source FROM documents WHERE source = 'src1' AND lang <> 'en') SELECT doc_id, query_id, source FROM p UNION ALL SELECT doc_id, lang, source FROM documents WHERE source = 'src2' AND lang NOT IN (SELECT query_id FROM p)",
-        "fallback_whole": "SELECT doc_id, source FROM documents WHERE source = 'none' UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src3' AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'none')",
+        "source_union": "SELECT doc_id, 'web' AS kind, n_chars FROM documents WHERE source IS NOT DISTINCT FROM 'src0' UNION ALL SELECT doc_id, 'bonus', NULL FROM documents WHERE source IS DISTINCT FROM 'src0'",
+        "fallback_source": "WITH t AS (SELECT doc_id, lang AS query_id, source, coalesce(source = 'src1' AND lang <> 'en', false) AS first FROM documents), p AS (SELECT * FROM t WHERE first) SELECT doc_id, query_id, source FROM p UNION ALL SELECT doc_id, query_id, source FROM t WHERE NOT first AND NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = t.query_id)",
+        "fallback_whole": "SELECT doc_id, source FROM documents WHERE source = 'none' UNION ALL SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'none' AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'none')",
         "per_url_fallback": "SELECT d.doc_id, coalesce(CASE WHEN lang = 'en' THEN n_chars END, CAST(quality AS BIGINT)) AS body FROM documents d LEFT JOIN labels l USING (doc_id)",
         "prefer_open_access": f"SELECT id, coalesce(oa_url, url) AS url FROM {_values(q.OPEN_ACCESS, 'id, url, oa_url')}",
-        "entity_decode": f"SELECT id, {_decode('t')} AS plain FROM {_values(q.ENTITY_TEXTS, 'id, t')}",
-        "citation_strip": rf"SELECT id, regexp_replace(t, '\[\d+\]', '', 'g') AS plain FROM {_values(q.WIKI_TEXTS, 'id, t')}",
+        "entity_decode": f"SELECT id, {_decode('t')} AS plain FROM (SELECT CAST(-id AS BIGINT) AS id, t FROM {_values(q.ENTITY_TEXTS, 'id, t')} UNION ALL SELECT page_id, html FROM pages)",
+        "citation_strip": rf"SELECT id, regexp_replace(t, '\[\d+\]', '', 'g') AS plain FROM (SELECT CAST(-id AS BIGINT) AS id, t FROM {_values(q.WIKI_TEXTS, 'id, t')} UNION ALL SELECT doc_id, text FROM documents)",
         "cjk_sentences": _sentences(f"(SELECT * FROM {_values(q.CJK_TEXTS, 'doc_id, text')})"),
         "cjk_bigrams": f"""SELECT id, CAST(i - 1 AS INTEGER) AS pos, terms[i] AS term FROM (SELECT id, terms, unnest(range(1, len(terms) + 1)) AS i FROM
             (SELECT id, flatten(list_transform({_words('t')}, lambda w: CASE WHEN regexp_matches(w, '{cjk}') THEN list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda k: substr(w, k, 2)) ELSE [w] END)) AS terms
             FROM {_values(q.CJK_TEXTS, 'id, t')}))""",
         "flag_sources": f"SELECT DISTINCT query_id, source FROM {_values([(i, f) for i, fs in q.FLAG_SETS for f in fs], 'query_id, flag')} JOIN (SELECT * FROM {_values(FLAG_SOURCES, 'flag, source')}) c USING (flag)",
         "query_language": f"SELECT query_id, lang, {region} AS region FROM (SELECT query_id, {_language('t')} AS lang FROM {_values(q.QUERY_TEXTS, 'query_id, t')})",
-        "conversation_language": f"SELECT conv_id, turn, {_language('text')} AS lang FROM conversations WHERE role = 'user'",
+        "conversation_language": f"SELECT conv_id, turn, role, {_language('text')} AS lang FROM conversations",
         "phase_p95": f"SELECT phase, count(*) AS n, round(avg(elapsed_ms), 4) AS avg_ms, max(elapsed_ms) AS max_ms, round(quantile_cont(elapsed_ms, 0.95), 4) AS p95_ms FROM {ATTEMPTS} GROUP BY phase",
         "failure_breakdown": f"SELECT coalesce(error_class, 'unknown') AS error_class, count(*) AS n FROM {ATTEMPTS} WHERE NOT ok GROUP BY ALL",
         "slow_urls": f"SELECT url, phase, elapsed_ms FROM {ATTEMPTS} ORDER BY elapsed_ms DESC, url LIMIT {q.SLOWEST}",

@@ -17,6 +17,9 @@ from fernwalk.sources.fetchers import fetch as fetch_pages
 #: Sources that are asked where another gave a query nothing.
 FALLBACKS = {"web": "web_fallback", "arxiv": "semanticscholar"}
 
+#: Sources whose results are told by their open-access address where they have one.
+OPEN_ACCESS_FIRST = ("openalex",)
+
 
 def sources_of(flags: list[str]) -> list[str]:
     """The sources of a query, each once."""
@@ -49,7 +52,9 @@ def gather(spark: SparkSession, queries: list[tuple[str, str, list[str]]], fetch
     for source, metric in ORDER_BY.items():
         key = key.when(F.col("source") == source, -F.coalesce(F.try_element_at("metrics", F.lit(metric)), F.lit(0.0)))
     key = F.coalesce(key, F.col("rank").cast("double"))
-    kept = drop_blocked(prefer_open_access(results), blocked)
+    # Open-access addresses stand for those of works; papers of other sources keep the page that their route knows.
+    open_works = F.when(F.col("source").isin(*OPEN_ACCESS_FIRST), F.col("oa_url"))
+    kept = drop_blocked(prefer_open_access(results.withColumn("_oa", open_works), oa_url="_oa").drop("_oa"), blocked)
     web = F.col("source").isin("web", "web_fallback")
     by = ("query_id", "source")
     return merge_sources(

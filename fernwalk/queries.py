@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernwalk import payload_queries
 from fernwalk.constants import BLOCKED
 from fernwalk.functions import html as H
 from fernwalk.functions import text as T
@@ -44,6 +45,11 @@ def _rows(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
+def _with_samples(spark: SparkSession, samples: tuple, rows: DataFrame) -> DataFrame:
+    """``(id, t)`` of all ``rows`` and, with ids below zero, of samples for what the tables lack."""
+    return _rows(spark, tuple((-i, t) for i, t in samples), "id long, t string").union(rows)
+
+
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, read as attempts to fetch: their type is the phase, ``error`` is a failure."""
     return table(spark, sf_dir, "events").select(
@@ -146,20 +152,21 @@ def top50_results(spark: SparkSession, d: str) -> DataFrame:
 
 def source_union(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    web = docs.where("source = 'src0'").select("doc_id", F.lit("web").alias("kind"), "n_chars")
-    bonus = docs.where("source = 'src1'").select("doc_id", F.lit("bonus").alias("kind"))
+    web = docs.where("source <=> 'src0'").select("doc_id", F.lit("web").alias("kind"), "n_chars")
+    bonus = docs.where("NOT source <=> 'src0'").select("doc_id", F.lit("bonus").alias("kind"))
     return merge.merge_sources(web, bonus)
 
 
 def fallback_source(spark: SparkSession, d: str) -> DataFrame:
-    """For each language: documents of one source, or of another where that has none."""
+    """For each language: documents of one source, or of all others where that has none; English is taken from it."""
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("query_id"), "source")
-    return merge.with_fallback(docs.where("source = 'src1' AND query_id <> 'en'"), docs.where("source = 'src2'"))
+    first = F.coalesce(F.expr("source = 'src1' AND query_id <> 'en'"), F.lit(False))
+    return merge.with_fallback(docs.where(first), docs.where(~first))
 
 
 def fallback_whole(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return merge.with_fallback(docs.where("source = 'none'"), docs.where("source = 'src3'"), None)
+    return merge.with_fallback(docs.where("source = 'none'"), docs.where("NOT source <=> 'none'"), None)
 
 
 def per_url_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -173,11 +180,13 @@ def prefer_open_access(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_decode(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, ENTITY_TEXTS, "id int, t string").select("id", T.decode_entities(F.col("t")).alias("plain"))
+    texts = _with_samples(spark, ENTITY_TEXTS, table(spark, d, "pages").select("page_id", "html"))
+    return texts.select("id", T.decode_entities(F.col("t")).alias("plain"))
 
 
 def citation_strip(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, WIKI_TEXTS, "id int, t string").select("id", T.strip_citations(F.col("t")).alias("plain"))
+    texts = _with_samples(spark, WIKI_TEXTS, table(spark, d, "documents").select("doc_id", "text"))
+    return texts.select("id", T.strip_citations(F.col("t")).alias("plain"))
 
 
 def cjk_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -198,9 +207,8 @@ def query_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversation_language(spark: SparkSession, d: str) -> DataFrame:
-    """User turns as queries."""
-    turns = table(spark, d, "conversations").where("role = 'user'")
-    return turns.select("conv_id", "turn", T.detect_language(F.col("text")).alias("lang"))
+    """Turns as queries."""
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", T.detect_language(F.col("text")).alias("lang"))
 
 
 def phase_p95(spark: SparkSession, d: str) -> DataFrame:
@@ -240,11 +248,11 @@ ALL: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | payload_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from fernwalk.oracles import oracles
+    from fernwalk import oracles, payload_oracles
 
-    return oracles()
+    return oracles.oracles() | payload_oracles.oracles()
 

@@ -2,13 +2,15 @@
 
 ``fetch`` names a function ``module:name`` that takes a source, a query and a
 number of results and returns the payload; it runs on the executors. The default
-asks the services' public addresses. Nothing here evades access control.
+asks the services' public addresses: one request each, PubMed's ids a second one
+for their records. Nothing here evades access control.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import re
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -20,6 +22,8 @@ from fernwalk.sources.decoders import decode_results
 
 #: Public addresses that need no key; ``{q}`` is the query, ``{n}`` the number of results.
 ENDPOINTS = {
+    "web": "https://html.duckduckgo.com/html/?q={q}",
+    "discussions": "https://html.duckduckgo.com/html/?q={q}%20site%3Areddit.com",
     "arxiv": "https://export.arxiv.org/api/query?search_query=all:{q}&max_results={n}&sortBy=relevance",
     "semanticscholar": "https://api.semanticscholar.org/graph/v1/paper/search?query={q}&limit={n}&fields=title,abstract,url,citationCount,openAccessPdf",
     "openalex": "https://api.openalex.org/works?search={q}&per-page={n}",
@@ -27,13 +31,29 @@ ENDPOINTS = {
     "europepmc": "https://www.ebi.ac.uk/europepmc/webservices/rest/search?query={q}&format=json&resultType=core&pageSize={n}&sort=CITED%20desc",
     "hackernews": "https://hn.algolia.com/api/v1/search?query={q}&tags=story&hitsPerPage={n}",
     "stackoverflow": "https://api.stackexchange.com/2.3/search/advanced?order=desc&sort=relevance&site=stackoverflow&filter=withbody&q={q}&pagesize={n}",
-    "devto": "https://dev.to/api/articles?tag={q}&per_page={n}",
+    "devto": "https://dev.to/api/articles?tags={q}&per_page={n}",
     "github": "https://api.github.com/search/repositories?q={q}&sort=stars&per_page={n}",
 }
+#: PubMed's records of the ids that a search gave.
+PUBMED_RECORDS = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi?db=pubmed&retmode=xml&id={ids}"
 
 
 def http_fetch(source: str, query: str, n: int) -> str:
-    url = ENDPOINTS[source].format(q=urllib.parse.quote(query), n=n)
+    payload = _get(address(source, query, n))
+    if source == "pubmed":
+        ids = json.loads(payload)["esearchresult"]["idlist"]
+        return _get(PUBMED_RECORDS.format(ids=",".join(ids))) if ids else payload
+    return payload
+
+
+def address(source: str, query: str, n: int) -> str:
+    """Where a source is asked. Dev.to is asked for articles with any of the query's words as a tag, as it has no search by text."""
+    if source == "devto":
+        query = ",".join(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
+    return ENDPOINTS[source].format(q=urllib.parse.quote(query), n=n)
+
+
+def _get(url: str) -> str:
     with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "fernwalk"}), timeout=30) as answer:
         return answer.read().decode("utf-8", "replace")
 

@@ -70,14 +70,26 @@ SHAPES = {
         "p.items", "h.html_url", "h.full_name", "h.description", metrics={"stars": "h.stargazers_count"},
     ),
 }
+#: Sources that search the web.
+WEB_SOURCES = ("web", "web_fallback", "news", "discussions")
 #: By what each source's hits are put in order before they are capped; the others keep their own order.
 ORDER_BY = {"europepmc": "citations", "github": "stars"}
 
 
 def decode_results(payloads: DataFrame, source: str) -> DataFrame:
-    """Records of RESULT_SCHEMA from ``payloads(query_id, payload)`` of one source. A payload that can't be read has none."""
+    """Records of RESULT_SCHEMA from ``payloads(query_id, payload)`` of one source. A payload that can't be read has none.
+
+    Payloads of web searches may also be result pages, those of PubMed records in XML.
+    """
     if source == "arxiv":
         return _decode_atom(payloads)
+    shaped = _decode_json(payloads, source)
+    if source in WEB_SOURCES:
+        return shaped.unionByName(_decode_result_page(payloads, source))
+    return shaped.unionByName(_decode_pubmed(payloads)) if source == "pubmed" else shaped
+
+
+def _decode_json(payloads: DataFrame, source: str) -> DataFrame:
     shape = SHAPES[source]
     # Some services answer with a bare list.
     text = F.when(F.startswith(F.ltrim("payload"), F.lit("[")), F.concat(F.lit('{"results":'), "payload", F.lit("}"))).otherwise(F.col("payload"))
@@ -96,14 +108,48 @@ def _metrics(named: dict[str, str]) -> Column:
     return F.create_map(*(x for k, v in named.items() for x in (F.lit(k), F.expr(v))))
 
 
+def _records(pieces: DataFrame, source: str, url: Column, title: Column, snippet: Column, oa_url: Column) -> DataFrame:
+    """Records of RESULT_SCHEMA from ``pieces(query_id, rank, e)``, whose ranks begin at 0."""
+    return pieces.select(
+        "query_id", F.lit(source).alias("source"), (F.col("rank") + 1).alias("rank"), url.alias("url"), title.alias("title"),
+        snippet.alias("snippet"), F.lit(None).cast("map<string,double>").alias("metrics"), oa_url.alias("oa_url"),
+    )
+
+
+def _plain(markup: Column) -> Column:
+    """Markup without tags, white space as one space, references decoded."""
+    return T.decode_entities(F.trim(F.regexp_replace(F.regexp_replace(markup, r"<[^>]+>", ""), r"\s+", " ")))
+
+
 def _decode_atom(payloads: DataFrame) -> DataFrame:
     entries = F.regexp_extract_all("payload", F.lit(r"(?s)<entry>.*?</entry>"), F.lit(0))
     rows = payloads.select("query_id", F.posexplode(entries).alias("rank", "e"))
     get = lambda tag: T.decode_entities(F.trim(F.regexp_replace(F.regexp_extract("e", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+", " ")))
-    return rows.select(
-        "query_id", F.lit("arxiv").alias("source"), (F.col("rank") + 1).alias("rank"), get("id").alias("url"), get("title").alias("title"),
-        get("summary").alias("snippet"), F.lit(None).cast("map<string,double>").alias("metrics"), get("id").alias("oa_url"),
-    )
+    return _records(rows, "arxiv", get("id"), get("title"), get("summary"), get("id"))
+
+
+def _decode_pubmed(payloads: DataFrame) -> DataFrame:
+    """Titles and abstracts of article records; the parts of an abstract are joined by a space."""
+    articles = F.regexp_extract_all("payload", F.lit(r"(?s)<PubmedArticle[ >].*?</PubmedArticle>"), F.lit(0))
+    rows = payloads.select("query_id", F.posexplode(articles).alias("rank", "e"))
+    number = F.regexp_extract("e", r"<PMID[^>]*>(\d+)</PMID>", 1)
+    title = F.regexp_extract("e", r"(?s)<ArticleTitle[^>]*>(.*?)</ArticleTitle>", 1)
+    parts = F.regexp_extract_all("e", F.lit(r"(?s)<AbstractText[^>]*>(.*?)</AbstractText>"), F.lit(1))
+    url = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), number, F.lit("/"))
+    abstract = F.nullif(_plain(F.array_join(parts, " ")), F.lit(""))
+    return _records(rows, "pubmed", url, _plain(title), abstract, F.lit(None).cast("string"))
+
+
+def _decode_result_page(payloads: DataFrame, source: str) -> DataFrame:
+    """Hits of a web search's page of results: links are taken out of their redirections, advertisements are left out."""
+    after = F.split("payload", 'class="result__a"')
+    rows = payloads.select("query_id", F.posexplode(F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0)))).alias("rank", "e"))
+    link = T.decode_entities(F.regexp_extract("e", r'href="([^"]*)"', 1))
+    target = F.regexp_extract(link, r"[?&]uddg=([^&]+)", 1)
+    url = F.when(target != "", F.try_url_decode(target)).otherwise(F.regexp_replace(link, "^//", "https://"))
+    title = _plain(F.regexp_extract("e", r"(?s)>(.*?)</a>", 1))
+    snippet = F.nullif(_plain(F.regexp_extract("e", r'(?s)class="result__snippet"[^>]*>(.*?)</a>', 1)), F.lit(""))
+    return _records(rows.where(~link.contains("duckduckgo.com/y.js")), source, url, title, snippet, F.lit(None).cast("string"))
 
 
 def decode_page(raw: Column, snippet: Column, method: Column) -> Column:

@@ -14,7 +14,7 @@ from fernwalk.functions.urls import host, suffixes
 from fernwalk.operators import compress, filters, merge, observe, rank, routing
 from fernwalk.operators import sentences as S
 from fernwalk.plans.search import query_terms, search
-from fernwalk.sources import decoders, fetchers
+from fernwalk.sources import connectors, decoders, fetchers, pages
 from fernwalk.sources.catalog import all_sources, resolve_sources
 from fernwalk.sources.connectors import read_payloads, read_source
 
@@ -222,6 +222,65 @@ def test_fetch_routes_decodes_and_falls_back(spark):
     assert {r.url: r.error_class for r in fetchers.fetch(results, raw).collect()}["https://e.example/2"] == "timeout"
 
 
+def fetched(address):
+    """What the page fetcher gets in these tests."""
+    if "down" in address and "web.archive.org" not in address:
+        raise TimeoutError
+    return f"<article><p>{address}</p></article>"
+
+
+def test_pages_are_fetched_by_route_and_from_the_archive(spark):
+    urls = ["https://a.example/1", "https://a.example/1", "https://a.example/down", "https://github.com/a/b", "https://reddit.com/r/x", None]
+    results = spark.createDataFrame([(u, "snip") for u in urls], "url string, snippet string")
+    for lanes in (1, 3):
+        raw = pages.fetch_raw(results, "tests.test_core:fetched", threads=2, lanes=lanes)
+        got = {r.url: r for r in raw.collect()}
+        assert sorted(got) == ["https://a.example/1", "https://a.example/down", "https://github.com/a/b"]
+        assert got["https://a.example/down"].error_class == "TimeoutError"
+        assert got["https://a.example/down"].raw is None
+        assert got["https://github.com/a/b"].raw == "<article><p>https://api.github.com/repos/a/b/readme</p></article>"
+    archive = pages.fetch_archive(raw, "tests.test_core:fetched")
+    bodies = {r.url: r.body.strip() for r in fetchers.fetch(results, raw, archive).where("ok").collect()}
+    assert bodies["https://a.example/1"] == "https://a.example/1"
+    assert bodies["https://a.example/down"] == "https://web.archive.org/web/2id_/https://a.example/down"
+    assert bodies["https://reddit.com/r/x"] == "snip"
+    assert pages.fetch_raw(results.limit(0), "tests.test_core:fetched").collect() == []
+    none = spark.createDataFrame([("u", None)], "url string, address string")
+    assert [r.error_class for r in pages.fetch_addresses(none, "tests.test_core:fetched").collect()] == ["no_address"]
+
+
+def test_addresses_of_searches():
+    assert connectors.address("devto", "Spark, the SQL spark!", 5) == "https://dev.to/api/articles?tags=spark%2Cthe%2Csql&per_page=5"
+    assert connectors.address("web", "a b&c", 5).endswith("?q=a%20b%26c")
+
+
+def test_pubmed_records_follow_the_ids(monkeypatch):
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return "<records>" if "efetch" in url else json.dumps({"esearchresult": {"idlist": ["1", "2"] if "fox" in url else []}})
+
+    monkeypatch.setattr(connectors, "_get", get)
+    assert connectors.http_fetch("pubmed", "fox", 5) == "<records>"
+    assert asked[1].endswith("id=1,2")
+    assert json.loads(connectors.http_fetch("pubmed", "none", 5)) == {"esearchresult": {"idlist": []}}
+    assert len(asked) == 3
+
+
+def test_open_access_is_preferred_for_works_only(spark):
+    from fernwalk.plans.gather import gather
+
+    got = gather(spark, [("q2", "rare", ["sci"])], fetch="tests.test_core:gathered").collect()
+    assert [r.url for r in got if r.source == "openalex"] == ["o"]
+    assert [(r.url, r.oa_url) for r in got if r.source == "semanticscholar"] == [("u", "p")]
+
+
+def test_article_marks_and_breaks(spark):
+    page = '<ARTICLE class="a"><P>x</P><SCRIPT>no</SCRIPT><link rel="x"><pre>code</pre><p class="b">y</article>'
+    assert one(spark, [page], H.extract_article)[0].strip().split("\n") == ["x", " code", "y"]
+
+
 def gathered(source, query, n):
     if source == "arxiv" or source == "web" and query == "rare":
         return "<feed></feed>" if source == "arxiv" else json.dumps({"results": []})
