@@ -39,18 +39,25 @@ def word_place(word: str) -> int:
 
 def text_rows(page: Sequence[Block]) -> np.ndarray:
     """Hashed words and measures, a row for each block."""
-    out = np.zeros((len(page), WORD_DIMS + MEASURES), np.float32)
     longest = max((len(b.text) for b in page), default=1)
+    places: list[int] = []
+    counts, measures = [], []
     for i, b in enumerate(page):
         words = b.text.lower().split()
-        np.add.at(out[i], [word_place(w) for w in words], 1.0 / math.sqrt(len(words)))
+        places += [i * WORD_DIMS + word_place(w) for w in words]
+        counts.append(len(words))
         n = len(b.text)
-        out[i, WORD_DIMS:] = (
+        measures.append((
             math.log1p(n) / 6, math.log1p(len(words)) / 4, b.link_chars / n, float(b.link_chars >= n - 1),
             float(b.text[-1] in ".!?:;…\"”»"), float(n < 30), float(n > 120), i / max(1, len(page) - 1),
             n / longest, float("©" in b.text), math.log1p(b.depth) / 3, 1.0,
-        )
-    np.minimum(out[:, :WORD_DIMS], 2.0, out=out[:, :WORD_DIMS])
+        ))
+    hashed = np.zeros(len(page) * WORD_DIMS, np.float32)
+    each = np.array([1.0 / math.sqrt(c) for c in counts])
+    np.add.at(hashed, np.array(places, np.intp), np.repeat(each, counts))
+    out = np.empty((len(page), WORD_DIMS + MEASURES), np.float32)
+    np.minimum(hashed.reshape(-1, WORD_DIMS), 2.0, out=out[:, :WORD_DIMS])
+    out[:, WORD_DIMS:] = np.array(measures, np.float32).reshape(-1, MEASURES)
     return out
 
 

@@ -97,7 +97,6 @@ class _Scanner:
         #: What doesn't occur any more.
         self.missing: set[str] = set()
         self.last_end = page.rfind(">")
-        self.folded: str | None = None
 
     def find(self, what: str, at: int) -> int:
         if what in self.missing:
@@ -112,13 +111,12 @@ class _Scanner:
         key = f"</{tag}"
         if key in self.missing:
             return -1
-        if self.folded is None:
-            # Only A-Z are folded, so that places stay the same.
-            self.folded = self.page.translate(_FOLD)
-        while (at := self.folded.find(key, at)) >= 0:
-            if self.folded[at + len(key) : at + len(key) + 1] in ("", ">", "/", " ", "\t", "\n", "\r", "\f"):
+        page, size = self.page, len(key)
+        while (at := page.find("</", at)) >= 0:
+            name = page[at + 2 : at + size]
+            if name.isascii() and name.lower() == tag and page[at + size : at + size + 1] in ("", ">", "/", " ", "\t", "\n", "\r", "\f"):
                 return at
-            at += len(key)
+            at += 2
         self.missing.add(key)
         return -1
 
@@ -251,9 +249,6 @@ class _Scanner:
         return self.out
 
 
-_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def blocks(page: str | None) -> list[Block]:
     """The blocks that hold text, in page order.
 
