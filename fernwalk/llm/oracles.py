@@ -76,4 +76,32 @@ WITH s AS (SELECT page_id, url, {_AZ.format("regexp_extract(coalesce(url, ''), '
 r AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.name}'" for r in _RULES)} END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.action}'" for r in _RULES)} WHEN ({_any("block")}) AND NOT ({_any("allow")}) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
-ORACLES: dict[str, str] = {"op1_warc_bundles": OP1, "op4_line_frequency": OP4, "op6_source_mixing": OP6, "op9_url_filters": OP9}
+_TERMS_OF = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".replace("{0}", _AZ.format("coalesce({0}, '')"))
+OP11 = f"""
+WITH q AS (SELECT row_number() OVER () AS item, item_id, unnest(list_distinct({_TERMS_OF.format("text")})) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_OF.format("text")} AS w FROM documents),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t CROSS JOIN s GROUP BY term, n),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(w) * n) // l) AS m FROM d CROSS JOIN s),
+x AS (SELECT item, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50"""
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS whole FROM t GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(whole) AS words FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY ALL),
+k AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS size, v.v, v.words, kept.whole
+    FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (size + v) AS p, 1 + (1000000000 * (whole + 1)) // (words + v) AS q FROM k),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+two AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+one AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM one))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES: dict[str, str] = {"op1_warc_bundles": OP1, "op4_line_frequency": OP4, "op6_source_mixing": OP6, "op9_url_filters": OP9, "op11_lexical_search": OP11, "op12_source_divergence": OP12}

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from fernwalk.llm.common import table
 from fernwalk.llm.decontamination import find_leaks
 from fernwalk.llm.html_extract import extract_text
+from fernwalk.llm.lexical_search import rank_documents
 from fernwalk.llm.license_templates import scan_licenses
 from fernwalk.llm.line_frequency import quality
+from fernwalk.llm.lsh_forest import near_duplicates as forest_near_duplicates
 from fernwalk.llm.mixing import mix
 from fernwalk.llm.secret_scan import find_secrets
 from fernwalk.llm.simhash import near_duplicates
+from fernwalk.llm.source_divergence import divergences
 from fernwalk.llm.toxicity import learn, score_toxicity
 from fernwalk.llm.url_filters import judge_urls
 from fernwalk.llm.warc import archive
@@ -71,6 +74,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_warc_bundles,
     op2_decontamination,
@@ -82,6 +97,9 @@ ALL = (
     op8_license_templates,
     op9_url_filters,
     op10_html_extract,
+    op11_lexical_search,
+    op12_source_divergence,
+    op13_lsh_forest,
 )
 
 
