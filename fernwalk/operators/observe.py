@@ -28,3 +28,26 @@ def observed(m: DataFrame, name: str = "fetch") -> tuple[DataFrame, Observation]
     """``m`` itself, and counts of attempts and failures that are known once it has run, at no extra pass."""
     seen = Observation(name)
     return m.observe(seen, F.count("*").alias("attempts"), F.sum((~F.col("ok")).cast("long")).alias("failures"), F.max("elapsed_ms").alias("slowest_ms")), seen
+
+
+#: Size of the quantile sketches; at this one a quantile's rank is off by 1.33 % at most, in 99 of 100 sketches.
+SKETCH, RANK_ERROR = 200, 0.0133
+
+
+def timing_sketches(m: DataFrame, by: list[str], elapsed: str = "elapsed_ms", size: int = SKETCH) -> DataFrame:
+    """``(*by, n, max_ms, sketch)``: timings as KLL sketches, whose size doesn't grow with the values, to be kept and merged."""
+    value = F.col(elapsed).cast("double")
+    return m.groupBy(*by).agg(F.count(value).alias("n"), F.max(value).alias("max_ms"), F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"))
+
+
+def merged_timing(sketches: DataFrame, by: list[str], share: float = 0.95, size: int = SKETCH) -> DataFrame:
+    """``(*by, n, max_ms, quantile_ms)`` from sketches of finer groups, such as those of days."""
+    whole = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.max("max_ms").alias("max_ms"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+    return whole.select(*by, "n", "max_ms", F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("quantile_ms"))
+
+
+def rank_of(m: DataFrame, quantiles: DataFrame, by: list[str], elapsed: str = "elapsed_ms") -> DataFrame:
+    """``(*by, below, upto)``: the shares of values below each ``quantile_ms``, and up to it."""
+    both = m.where(F.col(elapsed).isNotNull()).join(F.broadcast(quantiles.select(*by, "quantile_ms")), by)
+    value = F.col(elapsed).cast("double")
+    return both.groupBy(*by).agg(F.avg((value < F.col("quantile_ms")).cast("double")).alias("below"), F.avg((value <= F.col("quantile_ms")).cast("double")).alias("upto"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from fernwalk import queries as q
 from fernwalk.constants import B, BLOCKED, BUDGET, DEFAULT_METHOD, DEFAULT_REGION, EXACT_ROUTES, FLAG_SOURCES, K1, LAMBDA, REGIONS, ROUTES
+from fernwalk.functions import density as D
+from fernwalk.operators import abbreviations as AB
+from fernwalk.operators import lexrank as LR
 
 
 def _text(x) -> str:
@@ -66,6 +69,60 @@ def _centrality(rows: str) -> str:
         FROM cp JOIN cd USING (doc_id, term) JOIN cn USING (doc_id) GROUP BY doc_id, pos, norm)"""
 
 
+def _links() -> str:
+    """CTEs that end in ``near(doc_id, a, b, cosine)``; all pairs of a document's sentences that share a word are compared."""
+    return f"""
+    lp AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest({_words("s")}) AS term FROM sent) GROUP BY ALL),
+    ln_ AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM lp),
+    ld AS (SELECT term, count(DISTINCT doc_id) AS df FROM lp GROUP BY term),
+    lw AS (SELECT doc_id, pos, term, tf * ln(1 + n / df) AS w FROM lp JOIN ld USING (term) CROSS JOIN ln_),
+    lo AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+    lu AS (SELECT doc_id, pos, term, w / norm AS w FROM lw JOIN lo USING (doc_id, pos)),
+    near AS (SELECT x.doc_id, x.pos AS a, y.pos AS b, round(sum(x.w * y.w), 9) AS cosine FROM lu x JOIN lu y ON x.doc_id = y.doc_id AND x.term = y.term AND x.pos < y.pos
+        GROUP BY ALL HAVING round(sum(x.w * y.w), 9) >= {LR.SIMILAR})"""
+
+
+def _dense() -> str:
+    """Pages without the article's marks, by the run of tokens of the largest sum."""
+    clean = "regexp_replace(regexp_replace(html, '(?i)</?article[^>]*>', '', 'g'), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g')"
+    text = f"regexp_replace({clean}, '(?i)</?(?:p|br|h1|h2|h3|li|ul|ol|div|tr)(?:[\\s/][^>]*)?>', chr(10), 'g')"
+    whole = f"trim({_decode(f"regexp_replace({text.replace(clean, "dense")}, '<[^>]+>', '', 'g')")})"
+    return f"""WITH t AS (SELECT page_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT page_id, regexp_extract_all({clean}, '<[^>]*>|[^<]+|<') AS tokens FROM pages)),
+    w AS (SELECT page_id, tokens, i, CASE WHEN starts_with(tokens[i], '<') AND length(tokens[i]) > 1 THEN -{D.TAG_LOSS} ELSE {D.WORD_GAIN} * len(regexp_extract_all(tokens[i], '[^ \\t\\n\\r]+')) END AS w FROM t),
+    s AS (SELECT *, sum(w) OVER (PARTITION BY page_id ORDER BY i) AS upto FROM w),
+    z AS (SELECT *, least(0, coalesce(min(upto) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
+    e AS (SELECT page_id, any_value(tokens) AS tokens, arg_max(struct_pack(i := i, low := low), struct_pack(v := upto - low, j := -i)) AS x, max(upto - low) AS best FROM z GROUP BY page_id),
+    b AS (SELECT e.page_id, e.tokens, e.x.i AS last, coalesce(max(s.i), 0) + 1 AS first FROM e LEFT JOIN s ON s.page_id = e.page_id AND s.i < e.x.i AND s.upto = e.x.low WHERE best > 0 GROUP BY ALL)
+    SELECT p.page_id, CASE WHEN b.page_id IS NOT NULL THEN {whole} END AS body FROM pages p LEFT JOIN (SELECT *, array_to_string(tokens[first : last], '') AS dense FROM b) b USING (page_id)"""
+
+
+def _abbreviations() -> str:
+    """CTEs that end in ``ab(word, score)``."""
+    return f"""
+    tk AS (SELECT unnest(regexp_extract_all(lower(text), '(?:[\\p{{L}}\\p{{M}}]+\\.)*[\\p{{L}}\\p{{M}}]+\\.?')) AS token FROM documents),
+    cw AS (SELECT CASE WHEN ends_with(token, '.') THEN token[:-2] ELSE token END AS word, count(*) FILTER (ends_with(token, '.')) AS stopped, count(*) FILTER (NOT ends_with(token, '.')) AS bare FROM tk GROUP BY 1),
+    al AS (SELECT CAST(sum(stopped + bare) AS DOUBLE) AS n, CAST(sum(stopped) AS DOUBLE) AS stops FROM cw),
+    sc AS (SELECT word, round(-2 * (stopped * ln(stops / n) + CASE WHEN bare > 0 THEN bare * ln(1 - stops / n) ELSE 0e0 END - (stopped * ln({AB.ALWAYS}e0) + bare * ln(1 - {AB.ALWAYS}e0)))
+        * exp(-k) * (length(word) - k + 1) * pow(CAST(k AS DOUBLE), CAST(-bare AS DOUBLE)), 9) AS score FROM (SELECT *, length(replace(word, '.', '')) AS k FROM cw) CROSS JOIN al WHERE stopped > 0 AND stops < n),
+    ab AS (SELECT word, score FROM sc WHERE score >= {AB.LEAST})"""
+
+
+def _lexrank() -> str:
+    """The walk as a recursive query, step by step; a step's row holds the ranks of one document as a list by place."""
+    return f"""WITH RECURSIVE sent AS ({SENT}), {_links()},
+    both_ AS (SELECT doc_id, a AS src, b AS dst, cosine FROM near UNION ALL SELECT doc_id, b, a, cosine FROM near),
+    shared AS (SELECT doc_id, src, dst, cosine / (1 + sum(cosine) OVER (PARTITION BY doc_id, src)) AS share FROM both_),
+    node AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM sent),
+    own AS (SELECT node.doc_id, node.pos, node.n, node.i, 1 - coalesce(sum(share), 0) AS own FROM node LEFT JOIN shared ON shared.doc_id = node.doc_id AND src = pos GROUP BY ALL),
+    into_ AS (SELECT g.doc_id, g.dst, list(own.i ORDER BY own.i) AS froms, list(g.share ORDER BY own.i) AS shares FROM shared g JOIN own ON own.doc_id = g.doc_id AND own.pos = g.src GROUP BY ALL),
+    whole AS (SELECT own.doc_id, any_value(n) AS n, list(own ORDER BY i) AS own, list(coalesce(froms, []) ORDER BY i) AS froms, list(coalesce(shares, []) ORDER BY i) AS shares
+        FROM own LEFT JOIN into_ ON into_.doc_id = own.doc_id AND dst = pos GROUP BY own.doc_id),
+    walk AS (SELECT doc_id, 0 AS step, list_transform(range(n), lambda x: 1e0 / n) AS p FROM whole
+        UNION ALL SELECT doc_id, step + 1, list_transform(range(1, n + 1), lambda i: (1 - {LR.DAMPING}e0) / n + {LR.DAMPING}e0 * (own[i] * p[i]
+            + coalesce(list_sum(list_transform(range(1, len(froms[i]) + 1), lambda j: p[froms[i][j]] * shares[i][j])), 0e0))) FROM walk JOIN whole USING (doc_id) WHERE step < {LR.STEPS})
+    SELECT own.doc_id, own.pos, round(p[i], 9) AS lexrank FROM walk JOIN own USING (doc_id) WHERE step = {LR.STEPS}"""
+
+
 def _decode(text: str) -> str:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         text = f"replace({text}, {_text(a)}, {_text(b)})"
@@ -135,6 +192,26 @@ def oracles() -> dict[str, str]:
             {_bm25("sent", "doc_id, pos", "s")}, {_centrality("sent")},
             sc AS (SELECT sent.doc_id, sent.pos, s, round(coalesce(bm25, 0e0) + {LAMBDA}e0 * coalesce(centrality, 0e0), 6) AS score FROM sent LEFT JOIN bm USING (doc_id, pos) LEFT JOIN ce USING (doc_id, pos))
             SELECT doc_id, pos, s, score FROM (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS used FROM sc) WHERE used <= {BUDGET}""",
+        "batch_bm25_top5": f"""WITH qs AS (SELECT row_number() OVER () AS r, conv_id, turn, unnest(list_distinct({_words("text")})) AS term FROM conversations WHERE role = 'user'),
+            tok AS (SELECT doc_id, {_words("text")} AS w FROM documents), ln AS (SELECT doc_id, len(w) AS len FROM tok WHERE len(w) > 0),
+            st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS average FROM ln),
+            post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM qs) GROUP BY ALL),
+            dfs AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY term),
+            bm AS (SELECT r, conv_id, turn, doc_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * ({K1}e0 + 1) / (tf + {K1}e0 * (1 - {B}e0 + {B}e0 * len / average))), 6) AS bm25
+                FROM qs JOIN post USING (term) JOIN dfs USING (term) JOIN ln USING (doc_id) CROSS JOIN st GROUP BY ALL)
+            SELECT conv_id, turn, doc_id, bm25, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rk FROM bm) WHERE rk <= {q.BATCH_TOP}""",
+        "sentence_links": f"WITH sent AS ({SENT}), {_links()} SELECT * FROM near",
+        "sentence_lexrank": _lexrank(),
+        "char_references": f"SELECT page_id, {_decode("html").replace("' ')", "chr(160))")} AS plain FROM pages",
+        "density_extract": _dense(),
+        "learned_abbreviations": f"WITH {_abbreviations()} SELECT * FROM ab",
+        "stream_first_page": f"SELECT doc_id, pos, s FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)) ORDER BY doc_id, pos) AS n FROM ({SENT})) WHERE n = 1",
+        "event_sessions": """WITH e AS (SELECT user_id AS user, ts, event_type, value, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true) AS fresh FROM events),
+            s AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+            SELECT user, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 4) AS total_ms, max(value) AS longest_ms FROM s GROUP BY user, k""",
+        "phase_sketches": f"SELECT phase, count(*) AS n, max(elapsed_ms) AS max_ms, true AS within FROM {ATTEMPTS} GROUP BY phase",
+        "budget_total": f"SELECT doc_id, pos, CAST(used AS BIGINT) AS used FROM (SELECT doc_id, pos, sum(length(s)) OVER (ORDER BY score DESC, doc_id, pos ROWS UNBOUNDED PRECEDING) AS used FROM ({BY_LENGTH})) WHERE used <= {q.TOTAL_BUDGET}",
+        "running_spend": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM events",
         "top5_per_source": "SELECT * FROM (SELECT source, doc_id, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rk FROM documents) WHERE rk <= 5",
         "top50_results": "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50",
         "source_union": "SELECT doc_id, 'web' AS kind, n_chars FROM documents WHERE source IS NOT DISTINCT FROM 'src0' UNION ALL SELECT doc_id, 'bonus', NULL FROM documents WHERE source IS DISTINCT FROM 'src0'",

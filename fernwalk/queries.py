@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from fernwalk import payload_queries
 from fernwalk.constants import BLOCKED
+from fernwalk.functions import density, references
 from fernwalk.functions import html as H
 from fernwalk.functions import text as T
 from fernwalk.functions.urls import host
 from fernwalk.operators import compress as C
-from fernwalk.operators import filters, merge, observe, rank, routing
+from fernwalk.operators import abbreviations, filters, inverted, lexrank, merge, observe, rank, routing, running, segment
 from fernwalk.operators import sentences as S
 from fernwalk.plans import search as plan
 from fernwalk.session import table
 from fernwalk.sources.catalog import resolve_sources
+from fernwalk.storage import stored
+from fernwalk.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 TERMS = ("the", "eau", "erth", "der")
 TEST_BLOCKED = ("spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net", "cheap-pills.example.com", "cheap-pills.example.org", "cheap-pills.example.net")
 TEST_ROUTES = (("ththth.example.net", "api_a"), ("thther.example.org", "api_b"), ("therha.example.com", "snippet"))
-SENTENCES_KEPT, CENTRAL_KEPT, SLOWEST, FUSED = 3, 3, 20, 50
+SENTENCES_KEPT, CENTRAL_KEPT, SLOWEST, FUSED, BATCH_TOP = 3, 3, 20, 50, 5
+SESSION_GAP = "30 minutes"
+#: Characters that the sentences of all documents share.
+TOTAL_BUDGET = 100_000
 
 QUERY_TEXTS = (("q1", "北斎の絵"), ("q2", "葛飾北斎"), ("q3", "한국 요리"), ("q4", "погода завтра"), ("q5", "طقس الغد"), ("q6", "อากาศ"), ("q7", "best paintings"), ("q8", ""), ("q9", "Tokyo の天気"))
 FLAG_SETS = (("none", []), ("sci", ["sci"]), ("med", ["med"]), ("tech", ["tech"]), ("sci_med", ["sci", "med"]), ("all", ["sci", "med", "tech"]))
@@ -136,10 +142,85 @@ def budget_skip(spark: SparkSession, d: str) -> DataFrame:
     return C.select_within_budget(_by_length(spark, d), 400, "skip").select("doc_id", "pos")
 
 
+def batch_bm25_top5(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's turn as a query, against all documents."""
+    index = inverted.build_index(table(spark, d, "documents"))
+    return inverted.search_index(index, table(spark, d, "conversations").where("role = 'user'"), BATCH_TOP, ["conv_id", "turn"])
+
+
+def sentence_lexrank(spark: SparkSession, d: str) -> DataFrame:
+    return lexrank.lexrank(S.sentences(table(spark, d, "documents")))
+
+
+def sentence_links(spark: SparkSession, d: str) -> DataFrame:
+    return lexrank.links(S.sentences(table(spark, d, "documents")))
+
+
+def budget_total(spark: SparkSession, d: str) -> DataFrame:
+    """One budget over the sentences of all documents."""
+    return running.select_within_total(_by_length(spark, d), TOTAL_BUDGET).select("doc_id", "pos", F.col("used").cast("long").alias("used"))
+
+
+def running_spend(spark: SparkSession, d: str) -> DataFrame:
+    """What all events up to each one were worth, in cents, by time."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    return running.running_sum(table(spark, d, "events").select("event_id", "ts", "value"), cents, (("ts", False), ("event_id", False))).select("event_id", "used")
+
+
 def search_compress(spark: SparkSession, d: str) -> DataFrame:
     return plan.compress(table(spark, d, "pages"), list(TERMS), blocked=TEST_BLOCKED)
 
 
+def char_references(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", references.unescape(F.col("html")).alias("plain"))
+
+
+def density_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The densest run of pages whose article isn't marked: the marks are taken out first."""
+    html = F.regexp_replace("html", "(?i)</?article[^>]*>", "")
+    return table(spark, d, "pages").select("page_id", density.extract_dense(html).alias("body"))
+
+
+def learned_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    return abbreviations.learn_abbreviations(table(spark, d, "documents"))
+
+
+def sentence_split_learned(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abbreviations.split_learned(docs, abbreviations.words_of(abbreviations.learn_abbreviations(docs)))
+
+
+def segment_words(spark: SparkSession, d: str) -> DataFrame:
+    """Each document without its spaces, cut again: words of the text, words of the cut, and boundaries that agree."""
+    docs = table(spark, d, "documents")
+    told = docs.select("doc_id", T.words(F.col("text")).alias("own")).select("doc_id", "own", F.array_join("own", "").alias("text"))
+    cut = segment.cut_texts(told, segment.lexicon(docs))
+    ends = cut.select("doc_id", "own", "words", segment.ends("own").alias("a"), segment.ends("words").alias("b"))
+    return ends.select("doc_id", F.size("own").alias("n_words"), F.size("words").alias("n_cut"), F.size(F.array_intersect("a", "b")).alias("n_same"))
+
+
+def stream_first_page(spark: SparkSession, d: str) -> DataFrame:
+    """``cross_page_dedup`` by a stream of the documents' files."""
+    spark.conf.set(*streams.STATE_STORE)
+    docs = table(spark, d, "documents")
+    stream = streams.read_stream(spark, f"{d}/documents.parquet", docs.schema)
+    return streams.standing(streams.run_once(streams.first_page_stream(stream), streams.stream_folder(spark)))
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return streams.sessions(table(spark, d, "events"), SESSION_GAP, None)
+
+
+def phase_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of each day's values, merged by phase, and whether the p95 of each lies within the stated error of its rank."""
+    attempts = _attempts(spark, d).withColumn("day", F.col("url") % 30)
+    merged = stored(observe.merged_timing(observe.timing_sketches(attempts, ["phase", "day"]), ["phase"]))
+    error = observe.RANK_ERROR
+    ranks = observe.rank_of(attempts, merged, ["phase"])
+    within = (F.col("below") <= 0.95 + error) & (F.col("upto") >= 0.95 - error)
+    return merged.join(ranks, "phase").select("phase", "n", "max_ms", within.alias("within"))
+
+
 def top5_per_source(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
     return merge.top_per_source(docs, F.col("n_chars").desc(), F.col("doc_id"))
@@ -243,7 +324,9 @@ ALL: tuple[Query, ...] = (
     sentence_split, min_sentence_length, term_freq, bm25_docs, bm25_sentences_top3, sentence_centrality, cross_page_dedup, budget_prefix,
     budget_skip, search_compress, top5_per_source, top50_results, source_union, fallback_source, fallback_whole, per_url_fallback,
     prefer_open_access, entity_decode, citation_strip, cjk_sentences, cjk_bigrams, flag_sources, query_language, conversation_language,
-    phase_p95, failure_breakdown, slow_urls, ok_results, json_field, rank_fusion,
+    phase_p95, failure_breakdown, slow_urls, ok_results, json_field, rank_fusion, batch_bm25_top5, sentence_links, sentence_lexrank,
+    budget_total, running_spend, char_references, density_extract, learned_abbreviations, sentence_split_learned, segment_words,
+    stream_first_page, event_sessions, phase_sketches,
 )
 
 

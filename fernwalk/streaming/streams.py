@@ -1,11 +1,20 @@
-"""Sentences seen before, and timings by window, over streams."""
+"""Sentences seen before, timings by window and sessions, over streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fernwalk.functions import text as T
+from fernwalk.storage import shared_folder
+
+#: The store that keeps the state of ``first_page_stream``; a session that runs it must name it.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def dedup_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ts: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -35,3 +44,108 @@ def timing_stream(events: DataFrame, every: str = "1 day", delay: str = "1 hour"
         .agg(F.count("*").alias("n"), F.avg(elapsed).alias("avg_ms"), F.max(elapsed).alias("max_ms"))
         .select(F.col("window.start").alias("start"), "phase", "n", "avg_ms", "max_ms")
     )
+
+
+class _FirstPage(StatefulProcessor):
+    """Keeps the least page and place of one sentence, and takes back what it told before."""
+
+    def __init__(self, schema: str, forget_ms: int | None):
+        self.schema, self.forget_ms = schema, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", self.schema, self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        doc_id, pos, s = min((r.doc_id, r.pos, r.s) for r in rows)
+        if self.first.exists():
+            held = self.first.get()
+            if (held[0], held[1]) <= (doc_id, pos):
+                return
+            yield Row(op="drop", doc_id=held[0], pos=held[1], s=held[2])
+        self.first.update((doc_id, pos, s))
+        yield Row(op="add", doc_id=doc_id, pos=pos, s=s)
+
+    def close(self) -> None:
+        pass
+
+
+def first_page_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forget_ms: int | None = None) -> DataFrame:
+    """``(op, doc_id, pos, s)``: of equal sentences the one of the first page and place, whatever the order of arrival.
+
+    A sentence that comes later but belongs to an earlier page is added, and the one
+    told before is dropped. Added and not dropped is what
+    ``sentences.dedup_across_pages`` gives for all that arrived. The state is a row
+    for each distinct sentence; with ``forget_ms`` one that wasn't changed for so
+    long is forgotten. Rows without an id are left out.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(T.sentences(F.col(text_col))).alias("pos", "s"))
+    rows = rows.withColumn("s", F.trim("s")).where("s <> ''").withColumn("norm", F.lower("s"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    state = f"doc_id {kind}, pos int, s string"
+    mode = "none" if forget_ms is None else "processingTime"
+    return rows.groupBy("norm").transformWithState(_FirstPage(state, forget_ms), f"op string, {state}", "Update", mode)
+
+
+def standing(changes: DataFrame) -> DataFrame:
+    """``(doc_id, pos, s)``: what ``first_page_stream`` added and didn't drop."""
+    times = F.sum(F.when(F.col("op") == "add", 1).otherwise(-1))
+    return changes.groupBy("doc_id", "pos", "s").agg(times.alias("_n")).where("_n > 0").drop("_n")
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """All that is there now through the stream, as a table in ``folder``; what a run before has told isn't told again."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def read_stream(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
+    """The files below ``path``, or the one file that it is, as a stream, ``files`` of them in each batch."""
+    # Spark takes a path for a folder unless it is a pattern.
+    path = f"{path[:-1]}[{path[-1]}]"
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", str(files))).parquet(path)
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = "1 hour", ts: str = "ts", user: str = "user_id", phase: str = "event_type", elapsed: str = "value") -> DataFrame:
+    """``(user, start, end, n, failures, total_ms, longest_ms)`` of each run of a user's events less than ``gap`` apart.
+
+    Over a stream a session is told once the watermark, ``delay`` behind the latest
+    event, has passed its end; events that come later still are dropped and counted
+    in the progress of the query (``late_rows``). A table needs no ``delay``. Events
+    without a time or user are in no session.
+    """
+    rows = events.select(F.col(ts).cast("timestamp").alias("_ts"), F.col(user).alias("user"), F.col(phase).alias("_phase"), F.col(elapsed).alias("_elapsed"))
+    rows = rows.where("_ts IS NOT NULL AND user IS NOT NULL")
+    if delay is not None:
+        rows = rows.withWatermark("_ts", delay)
+    return (
+        rows.groupBy("user", F.session_window("_ts", gap).alias("_w"))
+        .agg(F.count("*").alias("n"), F.count_if(F.col("_phase") == "error").alias("failures"), F.round(F.sum("_elapsed"), 4).alias("total_ms"), F.max("_elapsed").alias("longest_ms"))
+        .select("user", F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n", "failures", "total_ms", "longest_ms")
+    )
+
+
+def late_rows(progress: list) -> int:
+    """Rows that came behind the watermark and were dropped, over all the batches of a query."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in json.loads(p.json)["stateOperators"])
+
+
+def replay(events: DataFrame, folder: str, slices: int, ts: str = "ts", lag: str = "0") -> int:
+    """Writes ``events`` to ``folder`` as they would arrive, in ``slices`` files one after the other; returns the files.
+
+    An event arrives ``lag`` seconds, an expression over its columns, after its
+    time, so that events with a lag stand behind later ones.
+    """
+    arrival = events.withColumn("_arrival", F.unix_micros(F.col(ts).cast("timestamp")) + F.expr(lag).cast("long") * 1_000_000)
+    first, last = arrival.agg(F.min("_arrival"), F.max("_arrival")).first()
+    width = (last - first) // slices + 1 if first is not None else 1
+    for i in range(slices if first is not None else 0):
+        part = arrival.where((F.col("_arrival") >= first + i * width) & (F.col("_arrival") < first + (i + 1) * width))
+        part.drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+    return slices
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's rows and checkpoint."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
