@@ -17,6 +17,21 @@ def _values(rows, names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows) + f") v({names})"
 
 
+def _pick(templates, number: str) -> str:
+    return f"([{', '.join(map(_text, templates))}])[{number} % {len(templates)} + 1]"
+
+
+def _below(urls) -> str:
+    return f"(SELECT page_id AS id, replace({_pick(urls, 'page_id')}, '@id', CAST(page_id AS VARCHAR)) AS url FROM pages)"
+
+
+def _written_in_scripts() -> str:
+    text = "text"
+    for i, c in enumerate(q.LATIN):
+        text = f"replace({text}, '{c}', substr({_pick(q.ALPHABETS, 'conv_id')}, {i + 1}, 1))"
+    return f"(SELECT conv_id * 10000 + turn AS id, role, CASE WHEN conv_id % 2 = 0 THEN replace(t, '.', '。') ELSE t END AS text FROM (SELECT *, {text} AS t FROM conversations))"
+
+
 HOST = r"nullif(lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@ ]*@)?([^/?#: ]+)(?::\d*)?(?:[/?#][^ ]*)?$', 1)), '')"
 
 
@@ -164,14 +179,13 @@ BY_LENGTH = f"SELECT doc_id, pos, s, CAST(len({_words('s')}) AS DOUBLE) AS score
 def oracles() -> dict[str, str]:
     cjk = r"^[\x{3040}-\x{30ff}\p{Han}\p{Hangul}]+$"
     region = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGIONS.items()) + f" ELSE '{DEFAULT_REGION}' END"
-    blocked_fixture = _values([(i, u) for i, u in q.BLOCKED_URLS], "id, url")
     return {
         "url_host": f"SELECT page_id, {_host('url')} AS host FROM pages",
         "blocklist_filter": PAGES_KEPT,
         "blocklist_table_filter": PAGES_KEPT,
-        "blocklist_domains": f"SELECT id, url FROM (SELECT id, url, {_host('url')} AS host FROM {blocked_fixture}) WHERE NOT coalesce({_within('host', BLOCKED)}, false)",
+        "blocklist_domains": f"SELECT id, url FROM (SELECT id, url, {_host('url')} AS host FROM {_below(q.BLOCKED_URLS)}) WHERE NOT coalesce({_within('host', BLOCKED)}, false)",
         "route_by_host": f"SELECT page_id, coalesce(method, '{DEFAULT_METHOD}') AS method FROM (SELECT page_id, {_host('url')} AS host FROM pages) LEFT JOIN {_values(q.TEST_ROUTES, 'host, method')} USING (host)",
-        "route_known_hosts": f"SELECT id, {_route_case()} AS method FROM (SELECT id, {_host('url')} AS h FROM {_values(q.ROUTED_URLS, 'id, url')})",
+        "route_known_hosts": f"SELECT id, {_route_case()} AS method FROM (SELECT id, {_host('url')} AS h FROM {_below(q.ROUTED_URLS)})",
         "article_extract": f"SELECT page_id, {ARTICLE} AS article FROM pages",
         "html_to_text": f"SELECT page_id, {_body()} AS body FROM pages",
         "sentence_split": SENT,
@@ -218,15 +232,15 @@ def oracles() -> dict[str, str]:
         "fallback_source": "WITH t AS (SELECT doc_id, lang AS query_id, source, coalesce(source = 'src1' AND lang <> 'en', false) AS first FROM documents), p AS (SELECT * FROM t WHERE first) SELECT doc_id, query_id, source FROM p UNION ALL SELECT doc_id, query_id, source FROM t WHERE NOT first AND NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = t.query_id)",
         "fallback_whole": "SELECT doc_id, source FROM documents WHERE source = 'none' UNION ALL SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'none' AND NOT EXISTS (SELECT 1 FROM documents WHERE source = 'none')",
         "per_url_fallback": "SELECT d.doc_id, coalesce(CASE WHEN lang = 'en' THEN n_chars END, CAST(quality AS BIGINT)) AS body FROM documents d LEFT JOIN labels l USING (doc_id)",
-        "prefer_open_access": f"SELECT id, coalesce(oa_url, url) AS url FROM {_values(q.OPEN_ACCESS, 'id, url, oa_url')}",
+        "prefer_open_access": "SELECT a.page_id AS id, coalesce(b.url, a.url) AS url FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1 AND a.page_id % 3 = 0",
         "entity_decode": f"SELECT id, {_decode('t')} AS plain FROM (SELECT CAST(-id AS BIGINT) AS id, t FROM {_values(q.ENTITY_TEXTS, 'id, t')} UNION ALL SELECT page_id, html FROM pages)",
         "citation_strip": rf"SELECT id, regexp_replace(t, '\[\d+\]', '', 'g') AS plain FROM (SELECT CAST(-id AS BIGINT) AS id, t FROM {_values(q.WIKI_TEXTS, 'id, t')} UNION ALL SELECT doc_id, text FROM documents)",
-        "cjk_sentences": _sentences(f"(SELECT * FROM {_values(q.CJK_TEXTS, 'doc_id, text')})"),
+        "cjk_sentences": _sentences(_written_in_scripts(), "id"),
         "cjk_bigrams": f"""SELECT id, CAST(i - 1 AS INTEGER) AS pos, terms[i] AS term FROM (SELECT id, terms, unnest(range(1, len(terms) + 1)) AS i FROM
-            (SELECT id, flatten(list_transform({_words('t')}, lambda w: CASE WHEN regexp_matches(w, '{cjk}') THEN list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda k: substr(w, k, 2)) ELSE [w] END)) AS terms
-            FROM {_values(q.CJK_TEXTS, 'id, t')}))""",
-        "flag_sources": f"SELECT DISTINCT query_id, source FROM {_values([(i, f) for i, fs in q.FLAG_SETS for f in fs], 'query_id, flag')} JOIN (SELECT * FROM {_values(FLAG_SOURCES, 'flag, source')}) c USING (flag)",
-        "query_language": f"SELECT query_id, lang, {region} AS region FROM (SELECT query_id, {_language('t')} AS lang FROM {_values(q.QUERY_TEXTS, 'query_id, t')})",
+            (SELECT id, flatten(list_transform({_words('text')}, lambda w: CASE WHEN regexp_matches(w, '{cjk}') THEN list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda k: substr(w, k, 2)) ELSE [w] END)) AS terms
+            FROM {_written_in_scripts()}))""",
+        "flag_sources": f"SELECT DISTINCT concat_ws(':', conv_id, turn, role) AS query_id, source FROM conversations JOIN {_values(q.FLAG_WORDS, 'flag, word')} ON contains(text, word) JOIN (SELECT * FROM {_values(FLAG_SOURCES, 'flag, source')}) c USING (flag)",
+        "query_language": f"SELECT id, lang, {region} AS region FROM (SELECT id, {_language('text')} AS lang FROM {_written_in_scripts()} WHERE role = 'user')",
         "conversation_language": f"SELECT conv_id, turn, role, {_language('text')} AS lang FROM conversations",
         "phase_p95": f"SELECT phase, count(*) AS n, round(avg(elapsed_ms), 4) AS avg_ms, max(elapsed_ms) AS max_ms, round(quantile_cont(elapsed_ms, 0.95), 4) AS p95_ms FROM {ATTEMPTS} GROUP BY phase",
         "failure_breakdown": f"SELECT coalesce(error_class, 'unknown') AS error_class, count(*) AS n FROM {ATTEMPTS} WHERE NOT ok GROUP BY ALL",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fernwalk import payload_queries as q
-from fernwalk.oracles import _decode, _host, _route_case, _values
+from fernwalk.oracles import _decode, _host, _pick, _route_case
 
 NONE = "CAST(NULL AS VARCHAR)"
 #: Of each JSON service the hits, and of a hit ``h`` the URL, title, snippet, open-access address and metrics.
@@ -24,8 +24,16 @@ def _plain(markup: str) -> str:
     return _decode(rf"trim(regexp_replace(regexp_replace({markup}, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))")
 
 
+def _filled(templates) -> str:
+    text = f"regexp_replace(coalesce(text, ''), '{q.UNSAFE}', ' ', 'g')"
+    out = _pick(templates, "doc_id")
+    for mark, value in (("@id", "CAST(doc_id AS VARCHAR)"), ("@n", "CAST(coalesce(n_chars, 0) AS VARCHAR)"), ("@title", f"regexp_extract({text}, '{q.TITLE}')"), ("@text", text)):
+        out = f"replace({out}, '{mark}', {value})"
+    return out
+
+
 def _hits(source: str, hits: str) -> str:
-    rows = _values(q.search_rows(source), "query_id, payload")
+    rows = f"(SELECT CAST(doc_id AS VARCHAR) AS query_id, {_filled(q.search_templates(source))} AS payload FROM documents)"
     return f"(SELECT query_id, unnest(hits) AS h, CAST(unnest(range(1, len(hits) + 1)) AS INTEGER) AS rank FROM (SELECT query_id, {hits} AS hits FROM {rows}))"
 
 
@@ -81,7 +89,7 @@ def _page(method: str) -> str:
         "europepmc": (joined("$.resultList.result[0].title", "$.resultList.result[0].abstractText"), {"citations": "$.resultList.result[0].citedByCount"}),
     }[method]
     out = "".join(f", CAST({at(p)} AS DOUBLE) AS {m}" for m, p in counts.items())
-    rows = _values(q.page_rows(method), "id, raw, snippet")
+    rows = f"(SELECT doc_id AS id, {_filled(q.page_templates(method))} AS raw, source AS snippet FROM documents)"
     return f"SELECT CAST(id AS BIGINT) AS id, nullif({body}, '') AS body{out} FROM (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM {rows})"
 
 
@@ -106,7 +114,8 @@ def oracles() -> dict[str, str]:
     out["decode_pubmed"] += f" UNION ALL {_pubmed()}"
     out["decode_arxiv"] = _atom("arxiv")
     routed = lambda rows: f"(SELECT *, {_route_case()} AS method FROM (SELECT *, {_host('url')} AS h FROM {rows}))"
-    out["pdf_skip"] = f"SELECT CAST(id AS BIGINT) AS id FROM {_values(q.CONTENT, 'id, content_type')} WHERE NOT coalesce(lower(content_type) LIKE '%pdf%', false)"
-    out["api_addresses"] = f"SELECT CAST(id AS BIGINT) AS id, {_address()} AS address FROM {routed(_values(q.PAGE_URLS, 'id, url'))}"
+    out["pdf_skip"] = f"SELECT CAST(id AS BIGINT) AS id FROM (SELECT page_id AS id, {_pick(q.CONTENT, 'page_id')} AS content_type FROM pages) WHERE NOT coalesce(lower(content_type) LIKE '%pdf%', false)"
+    urls = f"(SELECT page_id AS id, replace({_pick(q.PAGE_URLS, 'page_id')}, '@id', CAST(page_id AS VARCHAR)) AS url FROM pages)"
+    out["api_addresses"] = f"SELECT CAST(id AS BIGINT) AS id, {_address()} AS address FROM {routed(urls)}"
     out["page_addresses"] = f"SELECT page_id, {_address()} AS address, 'https://web.archive.org/web/2id_/' || url AS archive FROM {routed('pages')}"
     return out

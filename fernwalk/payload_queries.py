@@ -1,83 +1,100 @@
-"""Queries that decode what services and page interfaces answer, on sample payloads, as the tables hold none."""
+"""Queries that decode what services and page interfaces answer.
+
+The tables hold no such answers, so Spark makes one of each document: a template of the
+service's answer, chosen by the document's id, filled with its id, title, text and length.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwalk.operators import filters, routing
+from fernwalk.session import table
 from fernwalk.sources import decoders, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: What the templates' marks stand for: ``@id``, ``@n`` characters, ``@title`` and ``@text`` without what JSON and XML would escape.
+UNSAFE, TITLE = r"[^\p{L}\p{M}\p{N} .,;:!?]", r"^[^.!?]*"
 #: Payloads without hits; every source is given them too.
 NO_HITS = ("not json", "", "{}", "<html></html>", None)
-RESULT_PAGE = """<div class="result"><a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.example%2Fx%3Fy%3D1&amp;rut=9">The <b>fox</b> &amp; dog</a>
+RESULT_PAGE = """<div class="result"><a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.example%2Fx%3Fy%3D1&amp;rut=9">The <b>fox</b> &amp; @title</a>
 <a class="result__snippet" href="//duckduckgo.com/l/?uddg=z">A <b>fox</b>
- runs.</a></div><div class="result result--ad"><a class="result__a" href="https://duckduckgo.com/y.js?ad_domain=b.example">Buy</a></div>
-<div class="result"><a class="result__a" href="https://c.example/">Plain</a></div>"""
-_WEB = ({"results": [{"url": "https://a.example/", "title": "T", "snippet": "S"}, {"url": "https://b.example/", "title": None}]}, RESULT_PAGE)
+ @text</a></div><div class="result result--ad"><a class="result__a" href="https://duckduckgo.com/y.js?ad_domain=b.example">Buy</a></div>
+<div class="result"><a class="result__a" href="https://c.example/@id">Plain</a></div>"""
+_WEB = ({"results": [{"url": "https://a.example/@id", "title": "@title", "snippet": "@text"}, {"url": "https://b.example/", "title": None}]}, RESULT_PAGE)
 SEARCHES = {
     "web": _WEB,
     "web_fallback": _WEB,
     "news": _WEB,
     "discussions": _WEB,
     "hackernews": (
-        {"hits": [{"objectID": "7", "title": "T", "url": None, "points": 3, "num_comments": 1}, {"objectID": "8", "title": "Ü", "url": "https://a.example/", "story_text": "S"}]},
+        {"hits": [{"objectID": "@id", "title": "@title", "url": None, "points": "@n", "num_comments": 1}, {"objectID": "8", "title": "Ü", "url": "https://a.example/@id", "story_text": "@text"}]},
         {"hits": []},
     ),
-    "stackoverflow": ({"items": [{"link": "l", "title": "T", "body": "<code>x</code>", "score": -2, "answer_count": 1}, {"link": "m", "title": "U"}]},),
-    "devto": ([{"url": "u", "title": "T", "description": "D", "positive_reactions_count": 4}, {"url": "v", "title": "W"}], []),
-    "github": ({"items": [{"html_url": "h", "full_name": "a/b", "description": None, "stargazers_count": 9}, {"html_url": "i", "full_name": "c/d", "stargazers_count": 0}]},),
-    "openalex": ({"results": [{"id": "i", "display_name": "N", "cited_by_count": 5, "open_access": {"is_oa": True, "oa_url": "o"}}, {"id": "j", "display_name": "M", "open_access": None}]},),
-    "semanticscholar": ({"data": [{"url": "u", "title": "T", "abstract": "A", "citationCount": 1, "openAccessPdf": {"url": "p"}}, {"url": "v", "title": "W", "openAccessPdf": None}]},),
+    "stackoverflow": ({"items": [{"link": "l/@id", "title": "@title", "body": "<code>@text</code>", "score": -2, "answer_count": "@n"}, {"link": "m", "title": "U"}]},),
+    "devto": ([{"url": "u/@id", "title": "@title", "description": "@text", "positive_reactions_count": "@n"}, {"url": "v", "title": "W"}], []),
+    "github": ({"items": [{"html_url": "h/@id", "full_name": "a/@id", "description": "@text", "stargazers_count": "@n"}, {"html_url": "i", "full_name": "c/d", "stargazers_count": 0}]},),
+    "openalex": ({"results": [{"id": "i/@id", "display_name": "@title", "cited_by_count": "@n", "open_access": {"is_oa": True, "oa_url": "o/@id"}}, {"id": "j", "display_name": "M", "open_access": None}]},),
+    "semanticscholar": ({"data": [{"url": "u/@id", "title": "@title", "abstract": "@text", "citationCount": "@n", "openAccessPdf": {"url": "p"}}, {"url": "v", "title": "W", "openAccessPdf": None}]},),
     "pubmed": (
-        {"esearchresult": {"idlist": ["12", "34"]}},
-        '<PubmedArticleSet><PubmedArticle><PMID Version="1">5</PMID><ArticleTitle>On <i>foxes</i> &amp; dogs</ArticleTitle><AbstractText Label="A">One.</AbstractText>\n'
+        {"esearchresult": {"idlist": ["@id", "34"]}},
+        '<PubmedArticleSet><PubmedArticle><PMID Version="1">@id</PMID><ArticleTitle>On <i>foxes</i> &amp; @title</ArticleTitle><AbstractText Label="A">@text</AbstractText>\n'
         '<AbstractText>Two\n lines.</AbstractText></PubmedArticle><PubmedArticle><PMID>6</PMID><ArticleTitle>Bare</ArticleTitle></PubmedArticle></PubmedArticleSet>',
     ),
     "europepmc": (
-        {"resultList": {"result": [{"id": "1", "source": "MED", "title": "T", "abstractText": "A", "citedByCount": 8, "fullTextUrlList": {"fullTextUrl": [{"url": "f"}, {"url": "g"}]}}, {"id": "2", "source": "PPR", "title": "U"}]}},
+        {"resultList": {"result": [{"id": "@id", "source": "MED", "title": "@title", "abstractText": "@text", "citedByCount": "@n", "fullTextUrlList": {"fullTextUrl": [{"url": "f"}, {"url": "g"}]}}, {"id": "2", "source": "PPR", "title": "U"}]}},
     ),
-    "arxiv": ("<feed><entry><id>http://arxiv.org/abs/1</id><title>A\n  B</title><summary>S &amp;amp; T</summary></entry><entry><id>http://arxiv.org/abs/2</id><title>C</title><summary></summary></entry></feed>",),
+    "arxiv": ("<feed><entry><id>http://arxiv.org/abs/@id</id><title>A\n  @title</title><summary>@text &amp;amp; T</summary></entry><entry><id>http://arxiv.org/abs/2</id><title>C</title><summary></summary></entry></feed>",),
 }
 PAGES = {
-    "fxtwitter": ({"tweet": {"text": "hi\nyou", "likes": 3, "retweets": 1, "author": {"name": "A"}}}, {"tweet": {"text": "no author"}}),
+    "fxtwitter": ({"tweet": {"text": "hi\n@text", "likes": "@n", "retweets": 1, "author": {"name": "@title"}}}, {"tweet": {"text": "no author"}}),
     "snippet": ({"unread": 1},),
-    "mediawiki": ({"query": {"pages": [{"extract": "Born[1] in 1760.[23] Some [note]."}]}}, {"query": {"pages": [{"missing": True}]}}),
-    "github": ("# Title\n\n- one **two**\n![i](j) [l](u)\n```py\nx\n```\nend", "plain"),
+    "mediawiki": ({"query": {"pages": [{"extract": "Born[1] in @n.[23] @text [note]."}]}}, {"query": {"pages": [{"missing": True}]}}),
+    "github": ("# @title\n\n- one **@text**\n![i](j) [l](u)\n```py\nx\n```\nend", "plain"),
     "arxiv": SEARCHES["arxiv"],
-    "semanticscholar": ({"title": "T", "abstract": "A", "citationCount": 4}, {"title": "T", "abstract": None}),
-    "europepmc": ({"resultList": {"result": [{"title": "T", "abstractText": "A", "citedByCount": 2}]}}, {"resultList": {"result": []}}),
+    "semanticscholar": ({"title": "@title", "abstract": "@text", "citationCount": "@n"}, {"title": "@title", "abstract": None}),
+    "europepmc": ({"resultList": {"result": [{"title": "@title", "abstractText": "@text", "citedByCount": "@n"}]}}, {"resultList": {"result": []}}),
 }
 PAGE_METRICS = {"fxtwitter": ("likes", "retweets"), "semanticscholar": ("citations",), "europepmc": ("citations",)}
-CONTENT = ((1, "application/pdf"), (2, "Application/PDF; charset=x"), (3, "text/html"), (4, None), (5, "application/x-pdf"))
-PAGE_URLS = tuple(
-    enumerate(
-        [
-            "https://twitter.com/a/status/1?s=20", "https://x.com/b", "https://www.reddit.com/r/x", "https://en.wikipedia.org/wiki/A_(b)?c#d",
-            "https://de.wikipedia.org/wiki/A", "https://github.com/a/b/tree/main", "https://github.com/a", "https://arxiv.org/abs/1706.03762v1",
-            "https://arxiv.org/pdf/1706.03762.pdf?x=1", "https://www.semanticscholar.org/paper/Some-Title/0a1b", "https://www.semanticscholar.org/paper/0a1b",
-            "https://europepmc.org/article/MED/1", "https://europepmc.org/", "https://example.org/", "bad url",
-        ]
-    )
+CONTENT = ("application/pdf", "Application/PDF; charset=x", "text/html", None, "application/x-pdf")
+PAGE_URLS = (
+    "https://twitter.com/a/status/@id?s=20", "https://x.com/b", "https://www.reddit.com/r/x", "https://en.wikipedia.org/wiki/A_(@id)?c#d",
+    "https://de.wikipedia.org/wiki/A", "https://github.com/a/b@id/tree/main", "https://github.com/a", "https://arxiv.org/abs/1706.@idv1",
+    "https://arxiv.org/pdf/@id.03762.pdf?x=1", "https://www.semanticscholar.org/paper/Some-Title/0a@id", "https://www.semanticscholar.org/paper/@id",
+    "https://europepmc.org/article/MED/@id", "https://europepmc.org/", "https://example.org/@id", "bad url",
 )
 
 
 def _text(payload) -> str | None:
-    return payload if payload is None or isinstance(payload, str) else json.dumps(payload, ensure_ascii=False)
+    """The template of a payload; a number stands for itself, without quotes."""
+    return payload if payload is None or isinstance(payload, str) else json.dumps(payload, ensure_ascii=False).replace('"@n"', "@n")
+
+
+def search_templates(source: str) -> list[str | None]:
+    return [_text(p) for p in (*SEARCHES[source], *NO_HITS)]
 
 
-def search_rows(source: str) -> list[tuple[str, str | None]]:
-    return [(f"q{i}", _text(p)) for i, p in enumerate((*SEARCHES[source], *NO_HITS))]
+def page_templates(method: str) -> list[str | None]:
+    return [_text(p) for p in (*PAGES[method], *NO_HITS[1:3], None)]
 
 
-def page_rows(method: str) -> list[tuple[int, str | None, str]]:
-    """Ids, payloads, and the snippets that some search gave."""
-    return [(i, _text(p), f"snippet {i}") for i, p in enumerate((*PAGES[method], *NO_HITS[1:3], None))]
+def pick(templates: Sequence[str | None], number: Column) -> Column:
+    """The template of a row's number."""
+    return F.element_at(F.array(*(F.lit(t).cast("string") for t in templates)), (F.pmod(number, F.lit(len(templates))) + 1).cast("int"))
+
+
+def filled(templates: Sequence[str | None]) -> Column:
+    """Each document's payload."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), UNSAFE, " ")
+    out = pick(templates, F.col("doc_id"))
+    for mark, value in (("@id", F.col("doc_id").cast("string")), ("@n", F.coalesce("n_chars", F.lit(0)).cast("string")), ("@title", F.regexp_extract(text, TITLE, 0)), ("@text", text)):
+        out = F.replace(out, F.lit(mark), value)
+    return out
 
 
 def metrics_of(source: str) -> tuple[str, ...]:
@@ -86,7 +103,8 @@ def metrics_of(source: str) -> tuple[str, ...]:
 
 def _search(source: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = decoders.decode_results(spark.createDataFrame(search_rows(source), "query_id string, payload string"), source)
+        payloads = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("query_id"), filled(search_templates(source)).alias("payload"))
+        rows = decoders.decode_results(payloads, source)
         counts = [F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics_of(source)]
         return rows.select("query_id", "rank", "url", "title", "snippet", "oa_url", *counts)
 
@@ -95,7 +113,7 @@ def _search(source: str) -> Query:
 
 def _page(method: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = spark.createDataFrame(page_rows(method), "id long, raw string, snippet string")
+        rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), filled(page_templates(method)).alias("raw"), F.col("source").alias("snippet"))
         counts = [F.try_element_at(decoders.page_metrics(F.col("raw"), F.lit(method)), F.lit(m)).alias(m) for m in PAGE_METRICS.get(method, ())]
         return rows.select("id", decoders.decode_page(F.col("raw"), F.col("snippet"), F.lit(method)).alias("body"), *counts)
 
@@ -103,19 +121,20 @@ def _page(method: str) -> Query:
 
 
 def pdf_skip(spark: SparkSession, d: str) -> DataFrame:
-    """Without PDFs, as where no extractor is there."""
-    return filters.skip_pdf(spark.createDataFrame(CONTENT, "id long, content_type string"), False).select("id")
+    """The pages with a type of content each, without PDFs, as where no extractor is there."""
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), pick(CONTENT, F.col("page_id")).alias("content_type"))
+    return filters.skip_pdf(rows, False).select("id")
 
 
 def api_addresses(spark: SparkSession, d: str) -> DataFrame:
-    rows = routing.route(spark.createDataFrame(PAGE_URLS, "id long, url string"))
+    """Addresses of the interfaces for each page, as if it stood below a host with one."""
+    url = F.replace(pick(PAGE_URLS, F.col("page_id")), F.lit("@id"), F.col("page_id").cast("string"))
+    rows = routing.route(table(spark, d, "pages").select(F.col("page_id").alias("id"), url.alias("url")))
     return rows.select("id", pages.api_address(F.col("url"), F.col("method")).alias("address"))
 
 
 def page_addresses(spark: SparkSession, d: str) -> DataFrame:
     """What is asked for every row of ``pages``, and of the archive where that fails."""
-    from fernwalk.session import table
-
     rows = routing.route(table(spark, d, "pages").select("page_id", "url"))
     return rows.select("page_id", pages.api_address(F.col("url"), F.col("method")).alias("address"), pages.archive_address(F.col("url")).alias("archive"))
 

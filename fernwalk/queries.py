@@ -33,18 +33,23 @@ SESSION_GAP = "30 minutes"
 #: Characters that the sentences of all documents share.
 TOTAL_BUDGET = 100_000
 
-QUERY_TEXTS = (("q1", "北斎の絵"), ("q2", "葛飾北斎"), ("q3", "한국 요리"), ("q4", "погода завтра"), ("q5", "طقس الغد"), ("q6", "อากาศ"), ("q7", "best paintings"), ("q8", ""), ("q9", "Tokyo の天気"))
-FLAG_SETS = (("none", []), ("sci", ["sci"]), ("med", ["med"]), ("tech", ["tech"]), ("sci_med", ["sci", "med"]), ("all", ["sci", "med", "tech"]))
+#: Letters that user turns are written in, by their conversation, so that all scripts occur.
+LATIN = "aeinrst"
+ALPHABETS = ("あえいんるすと", "日本語東京大学", "한국어요리날씨", "аеинрст", "اينرستم", "กขคงจฉช", LATIN)
+#: What turns ask for: a flag for each word that stands in them.
+FLAG_WORDS = (("sci", "the"), ("med", "der"), ("tech", "que"))
 ENTITY_TEXTS = ((1, "a &amp;lt; b"), (2, "&quot;x&quot; &copy; &middot;"), (3, "no reference"), (4, "&lt;p&gt; &amp; &#39;q&#39;"))
 WIKI_TEXTS = ((1, "Born[1] in 1760.[23]"), (2, "Some [note] stays[4]"), (3, ""))
-CJK_TEXTS = ((1, "今日は晴れ。明日は雨！そう。"), (2, "Mixed 東京 text. Next one"), (3, "あ"))
-OPEN_ACCESS = ((1, "https://a.example/1", "https://oa.example/1"), (2, "https://a.example/2", None))
+#: Hosts that the pages are put below: routed ones, blocked ones and others like them.
 ROUTED_URLS = (
-    (1, "https://twitter.com/a/status/1"), (2, "https://mobile.x.com/b"), (3, "https://www.reddit.com/r/x"), (4, "https://en.wikipedia.org/wiki/A"),
-    (5, "https://de.wikipedia.org/wiki/A"), (6, "https://github.com/a/b"), (7, "https://gist.github.com/a"), (8, "https://arxiv.org/abs/1"),
-    (9, "https://www.semanticscholar.org/paper/x"), (10, "https://europepmc.org/article/MED/1"), (11, "https://example.org/"), (12, "http://bad url"),
+    "https://twitter.com/a/status/@id", "https://mobile.x.com/@id", "https://www.reddit.com/r/@id", "https://en.wikipedia.org/wiki/@id",
+    "https://de.wikipedia.org/wiki/@id", "https://github.com/a/@id", "https://gist.github.com/@id", "https://arxiv.org/abs/@id",
+    "https://www.semanticscholar.org/paper/@id", "https://europepmc.org/article/MED/@id", "https://example.org/@id", "http://bad url",
+)
+BLOCKED_URLS = (
+    *(f"https://{p}{d}/@id" for d in BLOCKED for p in ("", "www.")),
+    "https://notforbes.com/@id", "https://acm.org/@id", "https://wiley.com/@id", "https://FORBES.com:443/@id", "bad url", "https://dl.acm.org.evil.example/",
 )
-BLOCKED_URLS = tuple(enumerate([f"https://{p}{d}/x" for d in BLOCKED for p in ("", "www.")] + ["https://notforbes.com/", "https://acm.org/", "https://wiley.com/", "https://FORBES.com:443/a", "bad url", "https://dl.acm.org.evil.example/"]))
 
 
 def _rows(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
@@ -56,6 +61,22 @@ def _with_samples(spark: SparkSession, samples: tuple, rows: DataFrame) -> DataF
     return _rows(spark, tuple((-i, t) for i, t in samples), "id long, t string").union(rows)
 
 
+def _below(spark: SparkSession, sf_dir: str, urls: tuple[str, ...]) -> DataFrame:
+    """``(id, url)``: the pages as if they stood below one of ``urls``."""
+    url = F.replace(payload_queries.pick(urls, F.col("page_id")), F.lit("@id"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("url"))
+
+
+def _written_in_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, conv_id, turn, text)``: the turns, each conversation in one of ALPHABETS."""
+    letters = payload_queries.pick(ALPHABETS, F.col("conv_id"))
+    text = F.expr("text")
+    for i, c in enumerate(LATIN):
+        text = F.replace(text, F.lit(c), F.substr(letters, F.lit(i + 1), F.lit(1)))
+    stops = F.when(F.pmod("conv_id", F.lit(2)) == 0, F.replace(text, F.lit("."), F.lit("。"))).otherwise(text)
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("id"), "conv_id", "turn", "role", stops.alias("text"))
+
+
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, read as attempts to fetch: their type is the phase, ``error`` is a failure."""
     return table(spark, sf_dir, "events").select(
@@ -80,7 +101,7 @@ def blocklist_table_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocklist_domains(spark: SparkSession, d: str) -> DataFrame:
-    return filters.drop_blocked(_rows(spark, BLOCKED_URLS, "id int, url string"))
+    return filters.drop_blocked(_below(spark, d, BLOCKED_URLS))
 
 
 def route_by_host(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +110,7 @@ def route_by_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_known_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return routing.route(_rows(spark, ROUTED_URLS, "id int, url string")).select("id", "method")
+    return routing.route(_below(spark, d, ROUTED_URLS)).select("id", "method")
 
 
 def article_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +278,10 @@ def per_url_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefer_open_access(spark: SparkSession, d: str) -> DataFrame:
-    return merge.prefer_open_access(_rows(spark, OPEN_ACCESS, "id int, url string, oa_url string")).select("id", "url")
+    """Every third page has the one after it as its open copy."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
+    copies = pages.select((F.col("id") - 1).alias("id"), F.col("url").alias("oa_url")).where("id % 3 = 0")
+    return merge.prefer_open_access(pages.join(copies, "id", "left")).select("id", "url")
 
 
 def entity_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -271,20 +295,22 @@ def citation_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cjk_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return S.sentences(_rows(spark, CJK_TEXTS, "doc_id int, text string"))
+    return S.sentences(_written_in_scripts(spark, d), "id")
 
 
 def cjk_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, CJK_TEXTS, "id int, t string").select("id", F.posexplode(T.cjk_words(F.col("t"))).alias("pos", "term"))
+    return _written_in_scripts(spark, d).select("id", F.posexplode(T.cjk_words(F.col("text"))).alias("pos", "term"))
 
 
 def flag_sources(spark: SparkSession, d: str) -> DataFrame:
-    return resolve_sources(_rows(spark, FLAG_SETS, "query_id string, flags array<string>"))
+    """The sources of every turn, by the flags that its words stand for."""
+    flags = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(w)), F.lit(f)) for f, w in FLAG_WORDS)))
+    return resolve_sources(table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn", "role").alias("query_id"), flags.alias("flags")))
 
 
 def query_language(spark: SparkSession, d: str) -> DataFrame:
-    lang = T.detect_language(F.col("t"))
-    return _rows(spark, QUERY_TEXTS, "query_id string, t string").select("query_id", lang.alias("lang"), T.region(lang).alias("region"))
+    lang = T.detect_language(F.col("text"))
+    return _written_in_scripts(spark, d).where("role = 'user'").select("id", lang.alias("lang"), T.region(lang).alias("region"))
 
 
 def conversation_language(spark: SparkSession, d: str) -> DataFrame:
