@@ -9,9 +9,9 @@ region. Nodes that share their first DEPTH bytes with no other node of a tree le
 
 A task reads a run of one order and compares each node with the next NEAR nodes by all
 their bytes, as long as they share DEPTH. What seems similar is confirmed by the full
-sets. A first round links each node to its nearest in each tree. The second round
-compares what is near but in different components then, and goes on, with the best
-candidate of each two components first, until none is left.
+sets. First each node is tried with its nearest over all trees, which joins most of a
+group, then with its nearest in each tree, and at last with all that is near and in
+another component by then.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwalk.llm.common import cut, freed, map_columns, written
+from fernwalk.llm.common import checked_broadcast, cut, freed, map_columns, released, written
 from fernwalk.llm.components import connected_components
 
 #: Words of a shingle; documents link if 100 * intersection >= LEAST * union.
@@ -34,8 +34,6 @@ NEAR = 64
 #: Candidates have this estimated similarity. At a true one of 0.85 the estimate is lower once in 80 times
 #: for each candidate, and a group of copies offers many.
 SEEMS = 0.80
-#: Rounds in which only the best candidate of two components is confirmed, before all that are left are.
-BEST_ROUNDS = 2
 #: Shingles that are hashed at a time, and words whose hashes a task remembers.
 CHUNK, MEMORY = 1 << 9, 100_000
 
@@ -119,7 +117,7 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _neighbours(members: DataFrame, nearest: bool, near: int, seems: float) -> DataFrame:
-    """``(a, b, seems)`` of nodes that are near in an order of ``members(tree, ordered, node, comp)`` and in different components.
+    """``(a, b, ca, cb, seems)`` of nodes that are near in an order of ``members(tree, ordered, node, comp)`` and in different components.
 
     With ``nearest`` only the best for each node. Runs of an order are dealt by range,
     so a region of any size is many tasks' work.
@@ -142,7 +140,7 @@ def _neighbours(members: DataFrame, nearest: bool, near: int, seems: float) -> D
             both = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
             size = old + n
             best, other = np.zeros(size), np.full(size, -1)
-            found: list[tuple] = []
+            pairs: list[tuple] = []
             same = np.ones(size, bool)
             for j in range(1, min(near, size - 1) + 1):
                 # In an order, what doesn't share the prefix with the j-th doesn't with a later one.
@@ -166,22 +164,24 @@ def _neighbours(members: DataFrame, nearest: bool, near: int, seems: float) -> D
                         more = score > best[x]
                         best[x[more]], other[x[more]] = score[more], y[more]
                 else:
-                    found.extend(zip(both["node"][lo], both["node"][hi], score.tolist(), strict=True))
+                    pairs.append((lo, hi, score))
             if nearest:
                 some = np.flatnonzero(other >= 0)
-                found = list(zip(both["node"][some], both["node"][other[some]], best[some].tolist(), strict=True))
-            for i in range(0, len(found), 10_000):
-                part = found[i : i + 10_000]
-                yield pa.RecordBatch.from_pydict({"a": pa.array([min(x[:2]) for x in part], pa.binary()), "b": pa.array([max(x[:2]) for x in part], pa.binary()), "seems": pa.array([x[2] for x in part], pa.float64())})
+                pairs = [(some, other[some], best[some])]
+            for lo, hi, score in pairs:
+                falls = both["node"][lo] > both["node"][hi]
+                a, b = np.where(falls, hi, lo), np.where(falls, lo, hi)
+                columns = [pa.array(both[c][i], pa.binary()) for c in ("node", "comp") for i in (a, b)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], names=["a", "b", "ca", "cb", "seems"])
             held = {k: v[max(0, size - near) :].copy() for k, v in both.items()}
 
     ordered = members.repartitionByRange("tree", "ordered", "node").sortWithinPartitions("tree", "ordered", "node")
-    return ordered.select("tree", "ordered", "node", "comp").mapInArrow(run, "a binary, b binary, seems double")
+    return ordered.select("tree", "ordered", "node", "comp").mapInArrow(run, "a binary, b binary, ca binary, cb binary, seems double")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """``(node, items)``: the sets of ``wanted(node, tag)``, computed again from one text of each."""
-    texts = docs.select(F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text")).join(wanted, "tag")
+    texts = docs.select(F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text")).join(checked_broadcast(wanted), "tag")
 
     def start():
         shingler = Shingler()
@@ -192,66 +192,58 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``links``: whether the full sets are similar enough."""
+    """Those of ``pairs(a, b, ..)`` whose full sets are similar enough."""
     of_a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     of_b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(of_a, "a").join(of_b, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (100 * common >= LEAST * (F.size("x") + F.size("y") - common)).alias("links"))
+    both = pairs.join(of_a, "a").join(of_b, "b")
+    return both.where(100 * common >= LEAST * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
 
 
 def _labelled(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components, with these as ``ca`` and ``cb``."""
+    """``(a, b, ca, cb)``: the pairs whose ends are in different components."""
     a, b = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+    both = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    return both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    return written(connected_components(links).select("node", F.col("component").alias("comp")))
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps(node, comp)`` after those that ``links(ca, cb)`` connect are one; a node without links is its own component."""
+    whole = written(connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("into")))
+    grown = comps.join(whole, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
+    new = whole.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("into").alias("comp"))
+    return written(grown.unionByName(new))
 
 
 def node_components(docs: DataFrame, nodes: DataFrame, text_col: str = "text", near: int = NEAR, seems: float = SEEMS) -> DataFrame:
     """``(node, comp)`` of the nodes that link to another; ``nodes(node, sketch, tag)`` has one row a node."""
+    spark = nodes.sparkSession
     members = written(_members(nodes))
+    released(spark)
     alone = members.withColumn("comp", F.col("node"))
     nearest = written(_neighbours(alone, True, near, seems).groupBy("a", "b").agg(F.max("seems").alias("seems")))
-    # Each node's best over all trees is enough to join most of a group.
     ends = nearest.select(F.col("a").alias("node"), "a", "b", "seems").union(nearest.select(F.col("b").alias("node"), "a", "b", "seems"))
-    first = ends.groupBy("node").agg(F.max(F.struct("seems", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    wanted = ends.select("node").distinct().join(nodes.select("node", "tag"), "node")
-    sets = written(_sets(docs, wanted, text_col))
-    tried = written(_confirmed(first, sets))
-    links = tried.where("links").select("a", "b")
-    comps = _components(links)
-
-    def settle(candidates: DataFrame, tried: DataFrame, links: DataFrame, comps: DataFrame):
-        """Confirms candidates until all are tried or within a component."""
-        for round_ in range(BEST_ROUNDS + 1):
-            left = _labelled(candidates.join(tried, ["a", "b"], "left_anti"), comps)
-            if round_ < BEST_ROUNDS:
-                two = left.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-                left = two.agg(F.max(F.struct("seems", "a", "b")).alias("x")).select("x.a", "x.b")
-            more = written(_confirmed(left.select("a", "b"), sets))
-            if more.isEmpty():
-                break
-            tried = tried.unionByName(more)
-            if not more.where("links").isEmpty():
-                links = links.unionByName(more.where("links").select("a", "b"))
-                comps = _components(links)
-        return tried, links, comps
-
-    tried, links, comps = settle(nearest, tried, links, comps)
+    best = ends.groupBy("node").agg(F.max(F.struct("seems", "a", "b")).alias("x"))
+    sets = written(_sets(docs, best.select("node").join(nodes.select("node", "tag"), "node"), text_col))
+    first = best.select("x.a", "x.b").distinct()
+    links = written(_confirmed(first, sets))
+    released(spark)
+    comps = written(connected_components(links).select("node", F.col("component").alias("comp")))
+    released(spark)
+    links = written(_confirmed(_labelled(nearest, comps), sets))
+    comps = _joined(comps, links)
+    released(spark)
     # Regions that are one component by now have nothing left to compare.
-    known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = written(known)
+    known = written(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     mixed = known.groupBy("tree", "prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tree", "prefix")
     left = known.join(mixed, ["tree", "prefix"], "left_semi")
-    candidates = written(_neighbours(left, False, near, seems).groupBy("a", "b").agg(F.max("seems").alias("seems")))
-    some = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct().join(sets, "node", "left_anti")
-    if not some.isEmpty():
-        sets = sets.unionByName(written(_sets(docs, some.join(nodes.select("node", "tag"), "node"), text_col)))
-    return settle(candidates, tried, links, comps)[2]
+    candidates = written(_neighbours(left, False, near, seems).select("a", "b", "ca", "cb").distinct())
+    released(spark)
+    late = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(written(_sets(docs, late.join(nodes.select("node", "tag"), "node"), text_col)))
+    links = written(_confirmed(candidates, sets))
+    released(spark)
+    return _joined(comps, links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, seems: float = SEEMS) -> DataFrame:
