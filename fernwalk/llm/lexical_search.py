@@ -32,7 +32,7 @@ TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Documents of the sample that the tree is fitted on, the longest of them in words, and the tree's levels.
 SAMPLE, SAMPLE_WORDS, LEVELS = 4096, 5000, 5
 #: Documents of a shard and of a cluster, and the most swaps of a level.
-SHARD, CLUSTER, ROUNDS = 4096, 128, 8
+SHARD, CLUSTER, ROUNDS = 2048, 128, 8
 #: Answers to a query, and terms of queries that are asked at a time.
 TOP, BLOCK_TERMS = 50, 500_000
 
@@ -50,33 +50,32 @@ def impact(tf: np.ndarray, mark: np.ndarray) -> np.ndarray:
 # Recursive graph bisection.
 
 
-def _cost(degree: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return degree * np.log2(np.maximum(size, 1) / np.maximum(degree + 1, 1))
-
-
 def _degrees(docs, terms, part, side, parts, vocabulary):
     """Documents that hold a term, by half, part and term."""
     key = (side[docs] * parts + part[docs]) * vocabulary + terms
-    return np.bincount(key, minlength=2 * parts * vocabulary).reshape(2, parts, vocabulary).astype(np.float64)
+    return np.bincount(key, minlength=2 * parts * vocabulary)
 
 
 def bisect(docs: np.ndarray, terms: np.ndarray, place: np.ndarray, width: int, rounds: int = ROUNDS) -> np.ndarray:
     """``place`` after one level: each part of ``width`` places has its halves settled.
 
     Posting i says that document ``docs[i]`` holds ``terms[i]``. All parts of the level are handled at once.
+    A half of n documents, d of which hold a term, costs ``d * log2(n / (d + 1))`` for it.
     """
     n, vocabulary = len(place), int(terms.max()) + 1 if len(terms) else 1
     parts, half = -(-n // width), width // 2
+    log = np.log2(np.maximum(np.arange(n + 3), 1))
     for _ in range(rounds):
         part, side = place // width, (place % width >= half).astype(np.int64)
         both = _degrees(docs, terms, part, side, parts, vocabulary)
-        size = np.bincount(side * parts + part, minlength=2 * parts).reshape(2, parts, 1)
-        gain = np.zeros(n)
-        for s in (0, 1):
-            here, there = both[s], both[1 - s]
-            better = _cost(here, size[s]) + _cost(there, size[1 - s]) - _cost(here - 1, size[s]) - _cost(there + 1, size[1 - s])
-            mine = side[docs] == s
-            gain += np.bincount(docs[mine], weights=better[part[docs[mine]], terms[mine]], minlength=n)
+        size = log[np.bincount(side * parts + part, minlength=2 * parts)]
+        in_part, in_half = part[docs], side[docs]
+        at = in_part * vocabulary + terms
+        here, there = both[in_half * parts * vocabulary + at], both[(1 - in_half) * parts * vocabulary + at]
+        size_here, size_there = size[in_half * parts + in_part], size[(1 - in_half) * parts + in_part]
+        before = here * (size_here - log[here + 1]) + there * (size_there - log[there + 1])
+        after = (here - 1) * (size_here - log[here]) + (there + 1) * (size_there - log[there + 2])
+        gain = np.bincount(docs, weights=before - after, minlength=n)
         # The best of the left half trades places with the best of the right, the second with the second.
         group = part * 2 + side
         order = np.lexsort((np.arange(n), -gain, group))
@@ -96,6 +95,9 @@ def bisect(docs: np.ndarray, terms: np.ndarray, place: np.ndarray, width: int, r
 def reorder(docs: np.ndarray, terms: np.ndarray, n: int, cluster: int = CLUSTER) -> np.ndarray:
     """The place of each of ``n`` documents; runs of ``cluster`` places are the clusters."""
     place, width = np.arange(n), cluster
+    # A term of one document costs the same wherever that is.
+    some = np.bincount(terms)[terms] > 1 if len(terms) else np.zeros(0, bool)
+    docs, terms = docs[some], np.unique(terms[some], return_inverse=True)[1]
     while width < n:
         width *= 2
     while width > cluster:
@@ -119,7 +121,7 @@ class Tree:
             place = bisect(docs, terms, place, width) if len(held) else place
             parts = -(-len(held) // width) if held else 1
             part, side = place // width, (place % width >= width // 2).astype(np.int64)
-            both = _degrees(docs, terms, part, side, parts, len(self.known) or 1)
+            both = _degrees(docs, terms, part, side, parts, len(self.known) or 1).reshape(2, parts, -1)
             weight = np.log2((both[1] + 1) / (both[0] + 1)).astype(np.float32)
             of_doc = np.bincount(docs, weights=weight[part[docs], terms], minlength=len(held))
             self.weights.append(weight)
