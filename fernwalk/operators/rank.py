@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fernwalk.constants import B, K1, LAMBDA
 from fernwalk.functions import text as T
 from fernwalk.operators.sentences import postings
+from fernwalk.storage import stored
 
 #: Scores are rounded so before they are compared, as sums of floats depend on their order; parts keep more places.
 PART_PLACES, PLACES = 9, 6
@@ -29,7 +30,8 @@ def bm25(rows: DataFrame, terms: list[str], keys: list[str], text: str = "s", k1
     tokens = rows.select(*keys, T.words(F.col(text)).alias("w"))
     # One pass over the words keeps the few that are asked for; the counts are taken from those.
     asked = tokens.select(*keys, F.size("w").alias("len"), F.filter("w", lambda x: x.isin(terms)).alias("hits"))
-    counted = asked.select(*keys, "len", *(times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    # The few numbers of each row are read twice, for the statistics and for the scores.
+    counted = stored(asked.select(*keys, "len", *(times(t).alias(f"tf{i}") for i, t in enumerate(terms))))
     stats = counted.agg(
         F.count_if(F.col("len") > 0).cast("double").alias("n"),
         F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("average"),

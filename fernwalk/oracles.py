@@ -176,6 +176,15 @@ def _language(t: str) -> str:
 BY_LENGTH = f"SELECT doc_id, pos, s, CAST(len({_words('s')}) AS DOUBLE) AS score FROM ({SENT})"
 
 
+def _scored() -> str:
+    """CTEs that end in ``sc(doc_id, pos, s, score)``: the sentences of the pages that are kept."""
+    return f"""WITH kept AS (SELECT page_id, {_body()} AS text FROM pages WHERE page_id IN (SELECT page_id FROM ({PAGES_KEPT}))),
+    alls AS ({_sentences("kept", "page_id")}),
+    sent AS (SELECT doc_id, pos, s FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)) ORDER BY doc_id, pos) AS k FROM alls) WHERE k = 1),
+    {_bm25("sent", "doc_id, pos", "s")}, {_centrality("sent")},
+    sc AS (SELECT sent.doc_id, sent.pos, s, round(coalesce(bm25, 0e0) + {LAMBDA}e0 * coalesce(centrality, 0e0), 6) AS score FROM sent LEFT JOIN bm USING (doc_id, pos) LEFT JOIN ce USING (doc_id, pos))"""
+
+
 def oracles() -> dict[str, str]:
     cjk = r"^[\x{3040}-\x{30ff}\p{Han}\p{Hangul}]+$"
     region = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGIONS.items()) + f" ELSE '{DEFAULT_REGION}' END"
@@ -200,12 +209,8 @@ def oracles() -> dict[str, str]:
             f AS (SELECT doc_id, rk, pos, n <= 400 AS take, CASE WHEN n <= 400 THEN n ELSE 0 END AS used FROM r WHERE rk = 1
             UNION ALL SELECT r.doc_id, r.rk, r.pos, f.used + r.n <= 400, CASE WHEN f.used + r.n <= 400 THEN f.used + r.n ELSE f.used END FROM f JOIN r ON r.doc_id = f.doc_id AND r.rk = f.rk + 1)
             SELECT doc_id, pos FROM f WHERE take""",
-        "search_compress": f"""WITH kept AS (SELECT page_id, {_body()} AS text FROM pages WHERE page_id IN (SELECT page_id FROM ({PAGES_KEPT}))),
-            alls AS ({_sentences("kept", "page_id")}),
-            sent AS (SELECT doc_id, pos, s FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)) ORDER BY doc_id, pos) AS k FROM alls) WHERE k = 1),
-            {_bm25("sent", "doc_id, pos", "s")}, {_centrality("sent")},
-            sc AS (SELECT sent.doc_id, sent.pos, s, round(coalesce(bm25, 0e0) + {LAMBDA}e0 * coalesce(centrality, 0e0), 6) AS score FROM sent LEFT JOIN bm USING (doc_id, pos) LEFT JOIN ce USING (doc_id, pos))
-            SELECT doc_id, pos, s, score FROM (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS used FROM sc) WHERE used <= {BUDGET}""",
+        "search_compress": f"""{_scored()} SELECT doc_id, pos, s, score FROM (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS used FROM sc) WHERE used <= {BUDGET}""",
+        "search_total": f"{_scored()} SELECT doc_id, pos, s, score FROM (SELECT *, sum(length(s)) OVER (ORDER BY score DESC, doc_id, pos ROWS UNBOUNDED PRECEDING) AS used FROM sc) WHERE used <= {q.ANSWER_BUDGET}",
         "batch_bm25_top5": f"""WITH qs AS (SELECT row_number() OVER () AS r, conv_id, turn, unnest(list_distinct({_words("text")})) AS term FROM conversations WHERE role = 'user'),
             tok AS (SELECT doc_id, {_words("text")} AS w FROM documents), ln AS (SELECT doc_id, len(w) AS len FROM tok WHERE len(w) > 0),
             st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS average FROM ln),

@@ -67,6 +67,18 @@ def _result_page(source: str) -> str:
         {title} AS title, nullif({snippet}, '') AS snippet, {NONE} AS oa_url FROM (SELECT *, {link} AS link FROM {_hits(source, hits)}) WHERE link NOT LIKE '%duckduckgo.com/y.js%'"""
 
 
+def _feed(source: str) -> str:
+    raw = lambda t: rf"regexp_extract(h, '(?s)<{t}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{t}>', 1)"
+    hits = "regexp_extract_all(payload, '(?s)<item[ >].*?</item>')"
+    return f"SELECT query_id, rank, {_plain(raw('link'))} AS url, {_plain(raw('title'))} AS title, nullif({_plain(raw('description'))}, '') AS snippet, {NONE} AS oa_url FROM {_hits(source, hits)}"
+
+
+def _searched() -> str:
+    """Dev.to's answers to a search by text."""
+    hits = "json_extract(CASE WHEN json_valid(payload) THEN payload END, '$.result[*]')"
+    return f"SELECT query_id, rank, 'https://dev.to' || (h->>'$.path') AS url, h->>'$.title' AS title, h->>'$.highlight.body_text[0]' AS snippet, {NONE} AS oa_url, CAST(h->>'$.public_reactions_count' AS DOUBLE) AS reactions FROM {_hits('devto', hits)}"
+
+
 def _markdown(raw: str) -> str:
     for pattern, plain in (
         (r"(?m)^```.*$", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^ {0,3}#{1,6}\s+", ""), (r"(?m)^ {0,3}[-*+] +", ""), (r"(\*\*|__|`)", ""),
@@ -89,6 +101,9 @@ def _page(method: str) -> str:
         "europepmc": (joined("$.resultList.result[0].title", "$.resultList.result[0].abstractText"), {"citations": "$.resultList.result[0].citedByCount"}),
     }[method]
     out = "".join(f", CAST({at(p)} AS DOUBLE) AS {m}" for m, p in counts.items())
+    if method == "europepmc":
+        urls = "json_extract(j, '$.resultList.result[0].fullTextUrlList.fullTextUrl[*]')"
+        out += f", nullif(array_to_string([u->>'$.url' FOR u IN {urls} IF u->>'$.availabilityCode' IN ('OA', 'F')], ' '), '') AS links"
     rows = f"(SELECT doc_id AS id, {_filled(q.page_templates(method))} AS raw, source AS snippet FROM documents)"
     return f"SELECT CAST(id AS BIGINT) AS id, nullif({body}, '') AS body{out} FROM (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM {rows})"
 
@@ -110,7 +125,8 @@ def _address() -> str:
 def oracles() -> dict[str, str]:
     out = {f"decode_{s}": _json(s) for s in JSON_HITS} | {f"page_{m}": _page(m) for m in q.PAGES}
     for s in ("web", "web_fallback", "news", "discussions"):
-        out[f"decode_{s}"] += f" UNION ALL {_result_page(s)}"
+        out[f"decode_{s}"] += f" UNION ALL {_result_page(s)} UNION ALL {_feed(s)}"
+    out["decode_devto"] += f" UNION ALL {_searched()}"
     out["decode_pubmed"] += f" UNION ALL {_pubmed()}"
     out["decode_arxiv"] = _atom("arxiv")
     routed = lambda rows: f"(SELECT *, {_route_case()} AS method FROM (SELECT *, {_host('url')} AS h FROM {rows}))"

@@ -26,7 +26,9 @@ RESULT_PAGE = """<div class="result"><a rel="nofollow" class="result__a" href="/
 <a class="result__snippet" href="//duckduckgo.com/l/?uddg=z">A <b>fox</b>
  @text</a></div><div class="result result--ad"><a class="result__a" href="https://duckduckgo.com/y.js?ad_domain=b.example">Buy</a></div>
 <div class="result"><a class="result__a" href="https://c.example/@id">Plain</a></div>"""
-_WEB = ({"results": [{"url": "https://a.example/@id", "title": "@title", "snippet": "@text"}, {"url": "https://b.example/", "title": None}]}, RESULT_PAGE)
+FEED = """<rss><channel><title>Not an item</title><item><title>A &amp;lt;fox&amp;gt; @title</title><link>https://a.example/?i=@id&amp;amp;x=1</link><description><![CDATA[<b>@text</b>]]></description></item>
+<item><title><![CDATA[Bare]]></title><link>https://b.example/</link></item></channel></rss>"""
+_WEB = ({"results": [{"url": "https://a.example/@id", "title": "@title", "snippet": "@text"}, {"url": "https://b.example/", "title": None}]}, RESULT_PAGE, FEED)
 SEARCHES = {
     "web": _WEB,
     "web_fallback": _WEB,
@@ -37,7 +39,7 @@ SEARCHES = {
         {"hits": []},
     ),
     "stackoverflow": ({"items": [{"link": "l/@id", "title": "@title", "body": "<code>@text</code>", "score": -2, "answer_count": "@n"}, {"link": "m", "title": "U"}]},),
-    "devto": ([{"url": "u/@id", "title": "@title", "description": "@text", "positive_reactions_count": "@n"}, {"url": "v", "title": "W"}], []),
+    "devto": ([{"url": "u/@id", "title": "@title", "description": "@text", "positive_reactions_count": "@n"}, {"url": "v", "title": "W"}], [], {"result": [{"path": "/a/@id", "title": "@title", "public_reactions_count": "@n", "highlight": {"body_text": ["@text", "more"]}}, {"path": "/b", "title": "W"}]}),
     "github": ({"items": [{"html_url": "h/@id", "full_name": "a/@id", "description": "@text", "stargazers_count": "@n"}, {"html_url": "i", "full_name": "c/d", "stargazers_count": 0}]},),
     "openalex": ({"results": [{"id": "i/@id", "display_name": "@title", "cited_by_count": "@n", "open_access": {"is_oa": True, "oa_url": "o/@id"}}, {"id": "j", "display_name": "M", "open_access": None}]},),
     "semanticscholar": ({"data": [{"url": "u/@id", "title": "@title", "abstract": "@text", "citationCount": "@n", "openAccessPdf": {"url": "p"}}, {"url": "v", "title": "W", "openAccessPdf": None}]},),
@@ -58,7 +60,7 @@ PAGES = {
     "github": ("# @title\n\n- one **@text**\n![i](j) [l](u)\n```py\nx\n```\nend", "plain"),
     "arxiv": SEARCHES["arxiv"],
     "semanticscholar": ({"title": "@title", "abstract": "@text", "citationCount": "@n"}, {"title": "@title", "abstract": None}),
-    "europepmc": ({"resultList": {"result": [{"title": "@title", "abstractText": "@text", "citedByCount": "@n"}]}}, {"resultList": {"result": []}}),
+    "europepmc": ({"resultList": {"result": [{"title": "@title", "abstractText": "@text", "citedByCount": "@n", "fullTextUrlList": {"fullTextUrl": [{"availabilityCode": "OA", "url": "f/@id"}, {"availabilityCode": "S", "url": "no"}, {"availabilityCode": "F", "url": "g"}]}}]}}, {"resultList": {"result": []}}),
 }
 PAGE_METRICS = {"fxtwitter": ("likes", "retweets"), "semanticscholar": ("citations",), "europepmc": ("citations",)}
 CONTENT = ("application/pdf", "Application/PDF; charset=x", "text/html", None, "application/x-pdf")
@@ -115,6 +117,8 @@ def _page(method: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), filled(page_templates(method)).alias("raw"), F.col("source").alias("snippet"))
         counts = [F.try_element_at(decoders.page_metrics(F.col("raw"), F.lit(method)), F.lit(m)).alias(m) for m in PAGE_METRICS.get(method, ())]
+        if method == "europepmc":
+            counts.append(F.array_join(decoders.page_links(F.col("raw"), F.lit(method)), " ").alias("links"))
         return rows.select("id", decoders.decode_page(F.col("raw"), F.col("snippet"), F.lit(method)).alias("body"), *counts)
 
     return run

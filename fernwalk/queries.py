@@ -31,7 +31,7 @@ TEST_ROUTES = (("ththth.example.net", "api_a"), ("thther.example.org", "api_b"),
 SENTENCES_KEPT, CENTRAL_KEPT, SLOWEST, FUSED, BATCH_TOP = 3, 3, 20, 50, 5
 SESSION_GAP = "30 minutes"
 #: Characters that the sentences of all documents share.
-TOTAL_BUDGET = 100_000
+TOTAL_BUDGET, ANSWER_BUDGET = 100_000, 10_000
 
 #: Letters that user turns are written in, by their conversation, so that all scripts occur.
 LATIN = "aeinrst"
@@ -163,6 +163,11 @@ def budget_skip(spark: SparkSession, d: str) -> DataFrame:
     return C.select_within_budget(_by_length(spark, d), 400, "skip").select("doc_id", "pos")
 
 
+def search_total(spark: SparkSession, d: str) -> DataFrame:
+    """``search_compress`` with one budget for the whole answer."""
+    return plan.compress(table(spark, d, "pages"), list(TERMS), ANSWER_BUDGET, blocked=TEST_BLOCKED, strategy="total")
+
+
 def batch_bm25_top5(spark: SparkSession, d: str) -> DataFrame:
     """Every user's turn as a query, against all documents."""
     index = inverted.build_index(table(spark, d, "documents"))
@@ -351,7 +356,7 @@ ALL: tuple[Query, ...] = (
     budget_skip, search_compress, top5_per_source, top50_results, source_union, fallback_source, fallback_whole, per_url_fallback,
     prefer_open_access, entity_decode, citation_strip, cjk_sentences, cjk_bigrams, flag_sources, query_language, conversation_language,
     phase_p95, failure_breakdown, slow_urls, ok_results, json_field, rank_fusion, batch_bm25_top5, sentence_links, sentence_lexrank,
-    budget_total, running_spend, char_references, density_extract, learned_abbreviations, sentence_split_learned, segment_words,
+    search_total, budget_total, running_spend, char_references, density_extract, learned_abbreviations, sentence_split_learned, segment_words,
     stream_first_page, event_sessions, phase_sketches,
 )
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import importlib
 import json
-import re
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -23,6 +22,8 @@ from fernwalk.sources.decoders import decode_results
 #: Public addresses that need no key; ``{q}`` is the query, ``{n}`` the number of results.
 ENDPOINTS = {
     "web": "https://html.duckduckgo.com/html/?q={q}",
+    "web_fallback": "https://www.bing.com/search?format=rss&count={n}&q={q}",
+    "news": "https://www.bing.com/news/search?format=rss&q={q}",
     "discussions": "https://html.duckduckgo.com/html/?q={q}%20site%3Areddit.com",
     "arxiv": "https://export.arxiv.org/api/query?search_query=all:{q}&max_results={n}&sortBy=relevance",
     "semanticscholar": "https://api.semanticscholar.org/graph/v1/paper/search?query={q}&limit={n}&fields=title,abstract,url,citationCount,openAccessPdf",
@@ -31,7 +32,7 @@ ENDPOINTS = {
     "europepmc": "https://www.ebi.ac.uk/europepmc/webservices/rest/search?query={q}&format=json&resultType=core&pageSize={n}&sort=CITED%20desc",
     "hackernews": "https://hn.algolia.com/api/v1/search?query={q}&tags=story&hitsPerPage={n}",
     "stackoverflow": "https://api.stackexchange.com/2.3/search/advanced?order=desc&sort=relevance&site=stackoverflow&filter=withbody&q={q}&pagesize={n}",
-    "devto": "https://dev.to/api/articles?tags={q}&per_page={n}",
+    "devto": "https://dev.to/search/feed_content?class_name=Article&per_page={n}&search_fields={q}",
     "github": "https://api.github.com/search/repositories?q={q}&sort=stars&per_page={n}",
 }
 #: PubMed's records of the ids that a search gave.
@@ -47,9 +48,7 @@ def http_fetch(source: str, query: str, n: int) -> str:
 
 
 def address(source: str, query: str, n: int) -> str:
-    """Where a source is asked. Dev.to is asked for articles with any of the query's words as a tag, as it has no search by text."""
-    if source == "devto":
-        query = ",".join(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
+    """Where a source is asked for ``n`` results."""
     return ENDPOINTS[source].format(q=urllib.parse.quote(query), n=n)
 
 

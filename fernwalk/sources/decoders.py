@@ -62,8 +62,11 @@ SHAPES = {
         "p.items", "h.link", "h.title", "h.body", metrics={"score": "h.score", "answers": "h.answer_count"},
     ),
     "devto": Shape(
-        "results array<struct<url:string,title:string,description:string,positive_reactions_count:double>>",
-        "p.results", "h.url", "h.title", "h.description", metrics={"reactions": "h.positive_reactions_count"},
+        "results array<struct<url:string,title:string,description:string,positive_reactions_count:double>>,"
+        "result array<struct<path:string,title:string,public_reactions_count:double,highlight:struct<body_text:array<string>>>>",
+        "coalesce(p.results, transform(p.result, r -> named_struct('url', concat('https://dev.to', r.path), 'title', r.title,"
+        " 'description', get(r.highlight.body_text, 0), 'positive_reactions_count', r.public_reactions_count)))",
+        "h.url", "h.title", "h.description", metrics={"reactions": "h.positive_reactions_count"},
     ),
     "github": Shape(
         "items array<struct<html_url:string,full_name:string,description:string,stargazers_count:double>>",
@@ -79,13 +82,13 @@ ORDER_BY = {"europepmc": "citations", "github": "stars"}
 def decode_results(payloads: DataFrame, source: str) -> DataFrame:
     """Records of RESULT_SCHEMA from ``payloads(query_id, payload)`` of one source. A payload that can't be read has none.
 
-    Payloads of web searches may also be result pages, those of PubMed records in XML.
+    Payloads of web searches may also be result pages or feeds, those of PubMed records in XML.
     """
     if source == "arxiv":
         return _decode_atom(payloads)
     shaped = _decode_json(payloads, source)
     if source in WEB_SOURCES:
-        return shaped.unionByName(_decode_result_page(payloads, source))
+        return shaped.unionByName(_decode_result_page(payloads, source)).unionByName(_decode_feed(payloads, source))
     return shaped.unionByName(_decode_pubmed(payloads)) if source == "pubmed" else shaped
 
 
@@ -152,6 +155,15 @@ def _decode_result_page(payloads: DataFrame, source: str) -> DataFrame:
     return _records(rows.where(~link.contains("duckduckgo.com/y.js")), source, url, title, snippet, F.lit(None).cast("string"))
 
 
+def _decode_feed(payloads: DataFrame, source: str) -> DataFrame:
+    """The items of an RSS feed."""
+    items = F.regexp_extract_all("payload", F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0))
+    rows = payloads.select("query_id", F.posexplode(items).alias("rank", "e"))
+    raw = lambda tag: F.regexp_extract("e", rf"(?s)<{tag}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1)
+    snippet = F.nullif(_plain(raw("description")), F.lit(""))
+    return _records(rows, source, _plain(raw("link")), _plain(raw("title")), snippet, F.lit(None).cast("string"))
+
+
 def decode_page(raw: Column, snippet: Column, method: Column) -> Column:
     """The text of a page from what its fetch method returned; null where that can't be read."""
     field_of = lambda path: F.get_json_object(raw, path)
@@ -182,6 +194,9 @@ def page_metrics(raw: Column, method: Column) -> Column:
     )
 
 
-def full_text_links(raw: Column) -> Column:
-    """Open-access links of an article record."""
-    return F.from_json(F.get_json_object(raw, "$.resultList.result[0].fullTextUrlList.fullTextUrl[*].url"), "array<string>")
+def page_links(raw: Column, method: Column) -> Column:
+    """Addresses of the full text that a page's interface gives beside its abstract, open ones; null where it gives none."""
+    record = "struct<resultList:struct<result:array<struct<fullTextUrlList:struct<fullTextUrl:array<struct<availabilityCode:string,url:string>>>>>>>"
+    listed = F.get(F.from_json(raw, record)["resultList"]["result"], F.lit(0))["fullTextUrlList"]["fullTextUrl"]
+    open_ = F.transform(F.filter(listed, lambda x: F.coalesce(x["availabilityCode"], F.lit("OA")).isin("OA", "F")), lambda x: x["url"])
+    return F.when((method == "europepmc") & (F.size(open_) > 0), open_)

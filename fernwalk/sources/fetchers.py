@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from fernwalk.operators.merge import coalesce_fetch
 from fernwalk.operators.routing import route
-from fernwalk.sources.decoders import decode_page, page_metrics
+from fernwalk.sources.decoders import decode_page, page_links, page_metrics
 
 
 def fetch(results: DataFrame, raw: DataFrame, archive: DataFrame | None = None) -> DataFrame:
-    """``(url, method, ok, error_class, body, metrics, elapsed_ms)`` for ``results(url, snippet)``.
+    """``(url, method, ok, error_class, body, metrics, links, elapsed_ms)`` for ``results(url, snippet)``.
 
+    ``links`` are the open full texts that an article's record names.
     ``raw(url, raw, error_class, elapsed_ms)`` is what was fetched, one row a URL;
     ``archive(url, raw)`` fills in for URLs whose fetch gave nothing.
     """
@@ -27,7 +28,7 @@ def fetch(results: DataFrame, raw: DataFrame, archive: DataFrame | None = None)
     body = decode_page(F.col("raw"), F.col("snippet"), F.col("method"))
     out = tried.withColumn("body", body).withColumn("ok", F.col("body").isNotNull())
     error = F.when(~F.col("ok"), F.coalesce("error_class", F.lit("empty")))
-    return out.select("url", "method", "ok", error.alias("error_class"), "body", page_metrics(F.col("raw"), F.col("method")).alias("metrics"), "elapsed_ms")
+    return out.select("url", "method", "ok", error.alias("error_class"), "body", page_metrics(F.col("raw"), F.col("method")).alias("metrics"), page_links(F.col("raw"), F.col("method")).alias("links"), "elapsed_ms")
 
 
 def pdf_extractor() -> bool:

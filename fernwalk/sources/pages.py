@@ -24,8 +24,6 @@ from fernwalk.operators.routing import route
 RAW_SCHEMA = "url string, raw string, error_class string, elapsed_ms int"
 #: Addresses that a task asks at a time, and tasks that the addresses of one host are dealt to.
 THREADS, LANES = 8, 1
-#: A payload is read up to here (32 MB); beyond that the attempt fails as a whole instead of giving a part.
-LARGEST = 1 << 25
 
 
 def api_address(url: Column, method: Column) -> Column:
@@ -54,17 +52,14 @@ def http_get(address: str) -> str:
     accept = "application/vnd.github.raw+json" if address.startswith("https://api.github.com/") else "*/*"
     asked = urllib.request.Request(address, headers={"User-Agent": "fernwalk", "Accept": accept})
     with urllib.request.urlopen(asked, timeout=30) as answer:
-        body = answer.read(LARGEST + 1)
-        if len(body) > LARGEST:
-            raise OverflowError(address)
-        return body.decode(answer.headers.get_content_charset() or "utf-8", "replace")
+        return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
 
 
 def _attempt(get, address: str) -> tuple[str | None, str | None, int]:
     begun = time.monotonic()
     try:
         raw, error = get(address), None
-    except (OSError, ValueError, LookupError, OverflowError, HTTPException) as e:
+    except (OSError, ValueError, LookupError, HTTPException) as e:
         raw, error = None, type(e).__name__
     return raw, error, int(1000 * (time.monotonic() - begun))
 

@@ -13,6 +13,7 @@ from fernwalk.functions import text as T
 from fernwalk.functions.urls import host, suffixes
 from fernwalk.operators import compress, filters, merge, observe, rank, routing
 from fernwalk.operators import sentences as S
+from fernwalk.plans.gather import FALLBACKS, gather_all
 from fernwalk.plans.search import query_terms, search
 from fernwalk.sources import connectors, decoders, fetchers, pages
 from fernwalk.sources.catalog import all_sources, resolve_sources
@@ -250,7 +251,8 @@ def test_pages_are_fetched_by_route_and_from_the_archive(spark):
 
 
 def test_addresses_of_searches():
-    assert connectors.address("devto", "Spark, the SQL spark!", 5) == "https://dev.to/api/articles?tags=spark%2Cthe%2Csql&per_page=5"
+    assert connectors.address("devto", "a b&c", 5) == "https://dev.to/search/feed_content?class_name=Article&per_page=5&search_fields=a%20b%26c"
+    assert set(connectors.ENDPOINTS) == {*all_sources(), *FALLBACKS.values()}  # every source has an address
     assert connectors.address("web", "a b&c", 5).endswith("?q=a%20b%26c")
 
 
@@ -268,6 +270,28 @@ def test_pubmed_records_follow_the_ids(monkeypatch):
     assert len(asked) == 3
 
 
+def test_sources_that_fail_are_told(spark):
+    got = gather_all(spark, [("q1", "down", ["tech"])], fetch="tests.test_core:canned")
+    assert got.results.isEmpty()
+    assert {r.source for r in got.failures.collect()} == {"web", "web_fallback", "news", "discussions", "hackernews", "stackoverflow", "devto", "github"}
+    assert {r.error_class for r in got.failures.collect()} == {"OSError"}
+    assert gather_all(spark, [("q1", "fox", [])], fetch="tests.test_core:gathered").failures.isEmpty()
+
+
+def test_records_name_their_open_full_texts(spark):
+    record = {"resultList": {"result": [{"title": "T", "fullTextUrlList": {"fullTextUrl": [{"availabilityCode": "OA", "url": "o"}, {"availabilityCode": "S", "url": "s"}]}}]}}
+    results = spark.createDataFrame([("https://europepmc.org/article/MED/1", None), ("https://e.example/", None)], "url string, snippet string")
+    raw = spark.createDataFrame([("https://europepmc.org/article/MED/1", json.dumps(record), None, 1), ("https://e.example/", "x", None, 1)], "url string, raw string, error_class string, elapsed_ms int")
+    assert {r.url: r.links for r in fetchers.fetch(results, raw).collect()} == {"https://europepmc.org/article/MED/1": ["o"], "https://e.example/": None}
+
+
+def test_one_budget_for_the_whole_answer(spark):
+    pages = spark.createDataFrame([(i, f"https://h{i}.example/", f"<p>The fox number {'abcdefghij'[i]} runs. A dog sleeps {i}.</p>") for i in range(10)], "page_id long, url string, html string")
+    got = search(pages, "fox", 60, strategy="total").collect()
+    assert 0 < sum(len(r.s) for r in got) <= 60 and all("fox" in r.s for r in got)
+    assert len(search(pages, "fox", 60).collect()) == 20
+
+
 def test_open_access_is_preferred_for_works_only(spark):
     from fernwalk.plans.gather import gather
 
