@@ -12,11 +12,11 @@ keeps each source's most telling terms, ties in the order of the walk.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,138 +28,183 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 MIN_DOCS, SCALE = 3, 1_000_000_000
 #: Ranks of the terms that are told.
 TERMS_TOLD = 200
-#: Counters that a task's tries hold before they are emitted, and leaves that a range is meant to hold.
-COUNTERS, RANGE_LEAVES = 400_000, 100_000
-#: Leaves that the second walk takes at once, and cells of the matrix of pairs that it holds between them.
-CHUNK, CELLS = 4096, 1 << 22
+#: Leaves that a task's tries hold before they are emitted, and that a range is meant to hold.
+HELD, RANGE_LEAVES = 250_000, 100_000
+#: Counters that wait to be summed, leaves that the second walk takes at once, and cells of the matrix of pairs that it holds between them.
+WAITING, CHUNK, CELLS = 1_000_000, 4096, 1 << 22
 
-LEAVES = "lang string, term binary, docs long, sources array<string>, counts array<long>"
+#: ``sources`` are numbers of the sorted names of all sources.
+LEAVES = "lang string, term binary, docs long, sources array<int>, counts array<long>"
+ARROW = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
 class Node:
-    """A node and the bytes that lead to it; a leaf counts documents and, by source, occurrences."""
+    """A node, the bytes that lead to it, and the number of its leaf, if a term ends here."""
 
-    __slots__ = ("label", "children", "docs", "counts")
+    __slots__ = ("label", "children", "leaf")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.docs, self.counts = label, {}, 0, None
+        self.label, self.children, self.leaf = label, None, -1
 
 
 class Trie:
-    """A byte radix trie."""
+    """A byte radix trie, which numbers its leaves as they come."""
 
     def __init__(self) -> None:
-        self.root = Node(b"")
-
-    def leaf(self, term: bytes) -> Node:
-        """The node of ``term``, made if it is missing."""
-        node, at = self.root, 0
-        while at < len(term):
+        self.root, self.size = Node(b""), 0
+
+    def leaf(self, term: bytes) -> int:
+        """The number of ``term``'s leaf, which is made if it is missing."""
+        node, at, n = self.root, 0, len(term)
+        while at < n:
+            if node.children is None:
+                node.children = {}
             below = node.children.get(term[at])
             if below is None:
                 below = node.children[term[at]] = Node(term[at:])
-                at = len(term)
+                at = n
             elif term.startswith(below.label, at):
                 at += len(below.label)
             else:
                 same = 1
-                while at + same < len(term) and same < len(below.label) and term[at + same] == below.label[same]:
+                while at + same < n and same < len(below.label) and term[at + same] == below.label[same]:
                     same += 1
                 fork = node.children[term[at]] = Node(below.label[:same])
-                fork.children[below.label[same]] = below
+                fork.children = {below.label[same]: below}
                 below.label = below.label[same:]
                 below, at = fork, at + same
             node = below
-        if node.counts is None:
-            node.counts = {}
-        return node
+        if node.leaf < 0:
+            node.leaf, self.size = self.size, self.size + 1
+        return node.leaf
 
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
+    def walk(self) -> Iterator[tuple[bytes, int]]:
         """Terms and their leaves in the order of their bytes, which is that of UTF-8."""
         stack = [(b"", self.root)]
         while stack:
             path, node = stack.pop()
             path += node.label
-            if node.counts is not None:
-                yield path, node
-            stack.extend((path, node.children[c]) for c in sorted(node.children, reverse=True))
-
-
-class Tries:
-    """A trie for each language."""
-
-    def __init__(self) -> None:
-        self.of: dict[str, Trie] = {}
-        self.known: dict[tuple[str, bytes], Node] = {}
-        self.size = 0
-
-    def add(self, lang: str, term: bytes, docs: int, source: str, count: int) -> None:
-        leaf = self.known.get((lang, term))
-        if leaf is None:
-            if lang not in self.of:
-                self.of[lang] = Trie()
-            leaf = self.known[lang, term] = self.of[lang].leaf(term)
-        leaf.docs += docs
-        if source in leaf.counts:
-            leaf.counts[source] += count
-        else:
-            leaf.counts[source] = count
-            self.size += 1
-
-    def rows(self, min_docs: int = 0) -> Iterator[pa.RecordBatch]:
-        """The leaves with ``min_docs`` documents or more; the tries are empty then."""
-        self.known.clear()
-        found: list[tuple] = []
-        for lang in sorted(self.of):
-            for term, leaf in self.of[lang].walk():
-                if leaf.docs >= min_docs:
-                    found.append((lang, term, leaf.docs, list(leaf.counts), list(leaf.counts.values())))
-                if len(found) >= CHUNK:
-                    yield _batch(found)
-                    found = []
-        if found:
-            yield _batch(found)
-        self.of.clear()
-        self.size = 0
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    names = ("lang", "term", "docs", "sources", "counts")
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
-
-
-def count_terms(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Leaves of each task's tries; a term may stand in several rows."""
+            if node.leaf >= 0:
+                yield path, node.leaf
+            if node.children:
+                stack.extend((path, node.children[c]) for c in sorted(node.children, reverse=True))
+
+
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in order, and the sum of each one's values."""
+    k, v = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int64)])
+    order = np.argsort(k, kind="stable")
+    k, v = k[order], v[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(v, first) if len(k) else v
+
+
+class Counts:
+    """The trie of one language, and what its leaves count: documents, and occurrences by source."""
+
+    def __init__(self, sources: int):
+        self.trie, self.known, self.sources = Trie(), {}, max(sources, 1)
+        self.docs: tuple[list, list] = ([], [])
+        self.pairs: tuple[list, list] = ([], [])
+        self.waiting = 0
+
+    def add(self, terms: list[bytes], docs: np.ndarray, of: np.ndarray, source: np.ndarray, count: np.ndarray) -> None:
+        """``docs`` documents of each of ``terms``; pair i says that term ``of[i]`` stands ``count[i]`` times in ``source[i]``."""
+        known, leaf = self.known, self.trie.leaf
+        leaves = np.empty(len(terms), np.int64)
+        for i, t in enumerate(terms):
+            at = known.get(t)
+            if at is None:
+                at = known[t] = leaf(t)
+            leaves[i] = at
+        for held, k, v in ((self.docs, leaves, docs), (self.pairs, leaves[of] * self.sources + source, count)):
+            held[0].append(k)
+            held[1].append(v)
+        self.waiting += len(of)
+        if self.waiting > WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        self.docs, self.pairs = (tuple([x] for x in summed(*held)) for held in (self.docs, self.pairs))
+        self.waiting = 0
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """All leaves, in UTF-8 order."""
+        self.settle()
+        walked = list(self.trie.walk())
+        if not walked:
+            return
+        rank = np.empty(len(walked), np.int64)
+        rank[[leaf for _, leaf in walked]] = np.arange(len(walked))
+        docs = np.zeros(len(walked), np.int64)
+        docs[rank[self.docs[0][0]]] = self.docs[1][0]
+        leaf, source = np.divmod(self.pairs[0][0], self.sources)
+        order = np.argsort(rank[leaf], kind="stable")
+        at, source, count = rank[leaf][order], source[order], self.pairs[1][0][order]
+        cuts = np.searchsorted(at, np.arange(len(walked) + 1)).astype(np.int32)
+        for i in range(0, len(walked), CHUNK):
+            j = min(i + CHUNK, len(walked))
+            a, b = cuts[i], cuts[j]
+            offsets = pa.array(cuts[i : j + 1] - a)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a:b], kind)) for x, kind in ((source, pa.int32()), (count, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (j - i)), pa.array([t for t, _ in walked[i:j]], pa.binary()), pa.array(docs[i:j]), *lists], schema=ARROW)
+
+
+def _count(texts: list[bytes], source: np.ndarray, into: Counts) -> None:
+    """Adds the terms of ``texts``, of which the i-th is from ``source[i]``."""
+    found = [TERM.findall(t.lower()) for t in texts]
+    tokens = pa.array([w for ws in found for w in ws], pa.binary()).dictionary_encode()
+    code, n = tokens.indices.to_numpy().astype(np.int64), len(texts)
+    doc = np.repeat(np.arange(n), [len(ws) for ws in found])
+    held, times = summed([code * n + doc], [np.ones(len(code), np.int64)])
+    of, doc = np.divmod(held, n)
+    terms = tokens.dictionary.to_pylist()
+    into.add(terms, np.bincount(of, minlength=len(terms)), of, source[doc], times)
+
+
+def count_terms(docs: DataFrame, names: list[str], held: int = HELD) -> DataFrame:
+    """Leaves of each task's tries over ``docs(lang, source, text)``; a term may stand in several rows."""
+    number = {s: i for i, s in enumerate(names)}
 
     def run(batches):
-        tries = Tries()
+        of: dict[str, Counts] = {}
         for batch in freed(batches):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE).to_pydict()
-                for lang, source, text in zip(part["lang"], part["source"], part["text"], strict=True):
-                    for term, n in Counter(TERM.findall(text.lower())).items():
-                        tries.add(lang, term, 1, source, n)
-                    if tries.size > counters:
-                        yield from tries.rows()
-        yield from tries.rows()
+                source = np.array([number[s] for s in part["source"]], np.int64)
+                langs = np.array(part["lang"], object)
+                for lang in sorted(set(part["lang"])):
+                    mine = np.flatnonzero(langs == lang)
+                    _count([part["text"][i] for i in mine], source[mine], of.get(lang) or of.setdefault(lang, Counts(len(names))))
+                if sum(c.trie.size for c in of.values()) > held:
+                    for lang in sorted(of):
+                        yield from of.pop(lang).rows(lang)
+        for lang in sorted(of):
+            yield from of.pop(lang).rows(lang)
 
     return docs.mapInArrow(run, LEAVES)
 
 
-def merge_tries(leaves: DataFrame, min_docs: int = MIN_DOCS, range_leaves: int = RANGE_LEAVES) -> DataFrame:
+def merge_tries(leaves: DataFrame, sources: int, min_docs: int = MIN_DOCS, range_leaves: int = RANGE_LEAVES) -> DataFrame:
     """One row for each term of at least ``min_docs`` documents of its language; each range in UTF-8 order."""
 
     def run(batches):
-        tries = Tries()
-        for batch in freed(batches):
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK).to_pydict()
-                for lang, term, docs, sources, counts in zip(*(part[c] for c in ("lang", "term", "docs", "sources", "counts")), strict=True):
-                    for source, n in zip(sources, counts, strict=True):
-                        tries.add(lang, term, docs, source, n)
-                        docs = 0
-        yield from tries.rows(min_docs)
+        table = pa.Table.from_batches(batches, ARROW)
+        for lang in sorted(pc.unique(table["lang"]).to_pylist()):
+            rows = table.filter(pc.equal(table["lang"], lang)).combine_chunks()
+            terms = rows["term"].combine_chunks().dictionary_encode()
+            code, docs = terms.indices.to_numpy().astype(np.int64), rows["docs"].to_numpy()
+            total = summed([code], [docs])[1]
+            # What is too rare is known by now; the others' tries are put together.
+            stays = np.flatnonzero(total >= min_docs)
+            place = np.full(len(total), -1)
+            place[stays] = np.arange(len(stays))
+            lists = rows["sources"].combine_chunks()
+            of = place[np.repeat(code, lists.value_lengths().to_numpy())]
+            source, count = lists.flatten().to_numpy().astype(np.int64), rows["counts"].combine_chunks().flatten().to_numpy()
+            counts = Counts(sources)
+            counts.add(terms.dictionary.take(pa.array(stays)).to_pylist(), total[stays], of[of >= 0], source[of >= 0], count[of >= 0])
+            yield from counts.rows(lang)
 
     ranges = max(leaves.sparkSession.sparkContext.defaultParallelism, -(-leaves.count() // range_leaves))
     return leaves.repartitionByRange(ranges, "lang", "term").mapInArrow(run, LEAVES)
@@ -181,17 +226,18 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Audit:
     """Sums over the leaves of one language: of all pairs of its sources, and each source's best terms."""
 
-    def __init__(self, sources: list[str], totals: list[int], kept: int):
-        self.sources, self.at = sources, {s: i for i, s in enumerate(sources)}
+    def __init__(self, sources: list[str], numbers: list[int], totals: list[int], kept: int):
+        self.sources, self.at = sources, np.full(max(numbers) + 1, -1)
+        self.at[numbers] = np.arange(len(numbers))
         self.totals = np.array(totals, np.int64) + kept
         self.whole = sum(totals) + kept
         self.pairs = np.zeros((len(sources), len(sources)), np.int64)
         self.best = [(np.zeros(0, np.int64), []) for _ in sources]
 
-    def add(self, terms: list[bytes], sources: list[list[str]], counts: list[list[int]], told: int = TERMS_TOLD) -> None:
+    def add(self, terms: list[bytes], of: np.ndarray, source: np.ndarray, count: np.ndarray, told: int = TERMS_TOLD) -> None:
+        """``terms`` in the order of the walk; pair i says that term ``of[i]`` stands ``count[i]`` times in the source of a number."""
         c = np.zeros((len(terms), len(self.sources)), np.int64)
-        for i, (names, n) in enumerate(zip(sources, counts, strict=True)):
-            c[i, [self.at[s] for s in names]] = n
+        c[of, self.at[source]] = count
         p, some = shares(c, self.totals), c > 0
         q = shares(c.sum(1), self.whole)
         none = shares(np.zeros(len(self.sources), np.int64), self.totals)
@@ -222,24 +268,31 @@ class Audit:
             yield from ((lang, source, "term", t.decode("utf-8", "replace"), int(v)) for v, t in zip(values, names, strict=True))
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows, sources and counts of a batch's pairs."""
+    lists = batch.column("sources")
+    of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    return of, lists.flatten().to_numpy().astype(np.int64), batch.column("counts").flatten().to_numpy()
+
+
 def _totals(merged: DataFrame) -> DataFrame:
-    """``(lang, source, n)``: occurrences of kept terms by group; with a null source the number of a language's terms."""
+    """``(lang, source, n)``: occurrences of kept terms by language and source number; under -1 the number of a language's terms."""
 
     def run(batches):
-        n: Counter = Counter()
+        keys: list[tuple[str, int, int]] = []
         for batch in freed(batches):
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK).to_pydict()
-                for lang, sources, counts in zip(part["lang"], part["sources"], part["counts"], strict=True):
-                    n[lang, None] += 1
-                    for s, x in zip(sources, counts, strict=True):
-                        n[lang, s] += x
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in n], pa.string()), "source": pa.array([k[1] for k in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+            langs = batch.column("lang").dictionary_encode()
+            lang, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist()
+            of, source, count = _flat(batch)
+            most = int(source.max(initial=0)) + 2
+            k, v = summed([lang[of] * most + source + 1, lang * most], [count, np.ones(len(lang), np.int64)])
+            keys += [(names[x // most], x % most - 1, y) for x, y in zip(k.tolist(), v.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64())], names=["lang", "source", "n"])
 
-    return merged.select("lang", "sources", "counts").mapInArrow(run, "lang string, source string, n long").groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    return merged.select("lang", "sources", "counts").mapInArrow(run, "lang string, source int, n long").groupBy("lang", "source").agg(F.sum("n").alias("n"))
 
 
-def _walk(merged: DataFrame, audits: dict[str, tuple[list[str], list[int], int]], told: int) -> DataFrame:
+def _walk(merged: DataFrame, audits: dict[str, tuple[list[str], list[int], list[int], int]], told: int) -> DataFrame:
     """Partial sums of the pairs and each task's own best terms."""
 
     def run(batches):
@@ -253,20 +306,16 @@ def _walk(merged: DataFrame, audits: dict[str, tuple[list[str], list[int], int]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + (1 << 16)]], kind) for k, kind in enumerate(kinds)], names=list(names))
 
         for batch in freed(batches):
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK).to_pydict()
-                by_lang: dict[str, list[int]] = {}
-                for i, lang in enumerate(part["lang"]):
-                    by_lang.setdefault(lang, []).append(i)
-                for lang, rows in by_lang.items():
-                    audit = held.get(lang) or held.setdefault(lang, Audit(*audits[lang]))
-                    # A matrix of chunk and sources is held at a time; with many sources the chunk is cut.
-                    step = max(1, CELLS // max(len(audit.sources), 1))
-                    for k in range(0, len(rows), step):
-                        some = rows[k : k + step]
-                        audit.add(*([part[c][i] for i in some] for c in ("term", "sources", "counts")), told)
-                    if audit.pairs.size > CELLS:
-                        yield from batch_of(audit.pair_rows(lang))
+            for lang in pc.unique(batch.column("lang")).to_pylist():
+                mine = batch.filter(pc.equal(batch.column("lang"), lang))
+                audit = held.get(lang) or held.setdefault(lang, Audit(*audits[lang]))
+                # A matrix of chunk and sources is held at a time; with many sources the chunk is smaller.
+                step = min(CHUNK, max(1, CELLS // max(len(audit.sources), 1)))
+                for at in range(0, mine.num_rows, step):
+                    some = mine.slice(at, step)
+                    audit.add(some.column("term").to_pylist(), *_flat(some), told)
+                if audit.pairs.size > CELLS:
+                    yield from batch_of(audit.pair_rows(lang))
         for lang, audit in held.items():
             yield from batch_of(audit.pair_rows(lang))
             yield from batch_of(audit.term_rows(lang))
@@ -287,19 +336,16 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, told: int = TERMS_TOL
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     groups = written(docs.select(*filled).distinct())
-    merged = written(merge_tries(written(count_terms(docs.select(*filled, text))), min_docs))
-    totals = _totals(merged)
-    counted = groups.unionByName(totals.where("source IS NULL").select("lang", "source")).join(totals.withColumnRenamed("source", "s").withColumnRenamed("lang", "l"), F.expr("lang = l AND source <=> s"), "left")
-    audits: dict[str, tuple[list[str], list[int], int]] = {}
-    kept: dict[str, int] = {}
-    for lang, source, n in counted.select("lang", "source", F.coalesce("n", F.lit(0))).collect():
-        if source is None:
-            kept[lang] = n
-        else:
-            names, sizes, _ = audits.setdefault(lang, ([], [], 0))
-            names.append(source)
-            sizes.append(n)
-    audits = {lang: (names, sizes, kept.get(lang, 0)) for lang, (names, sizes, _) in audits.items()}
+    found = groups.collect()
+    names = sorted({r["source"] for r in found})
+    number = {s: i for i, s in enumerate(names)}
+    merged = written(merge_tries(written(count_terms(docs.select(*filled, text), names)), len(names), min_docs))
+    totals = {(r["lang"], r["source"]): r["n"] for r in _totals(merged).collect()}
+    audits: dict[str, tuple[list[str], list[int], list[int], int]] = {}
+    for lang, source in sorted(tuple(r) for r in found):
+        of = audits.setdefault(lang, ([], [], [], totals.get((lang, -1), 0)))
+        for column, value in zip(of, (source, number[source], totals.get((lang, number[source]), 0)), strict=False):
+            column.append(value)
     walked = written(_walk(merged, audits, told))
     both = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
     sums = walked.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -58,26 +58,36 @@ def test_rows_are_the_contracts(spark):
     assert result(df, min_docs=1, told=3) == plain(rows, 1, 3)
 
 
-def test_tries_that_are_emitted_early_merge(spark):
+def test_tries_that_are_emitted_early_merge(spark, monkeypatch):
     rows = corpus(5)
+    names = sorted({b or "" for _, b, _ in rows})
     df = spark.createDataFrame([(a or "", b or "", (t or "").encode()) for a, b, t in rows], "lang string, source string, text binary").coalesce(2)
-    whole = {(r.lang, bytes(r.term)): (r.docs, dict(zip(r.sources, r.counts, strict=True))) for r in D.merge_tries(D.count_terms(df), 1).collect()}
-    parts = D.count_terms(df, counters=20)
+    told = lambda found: {(r.lang, bytes(r.term)): (r.docs, dict(zip(r.sources, r.counts, strict=True))) for r in found.collect()}
+    whole = told(D.merge_tries(D.count_terms(df, names), len(names), 1))
+    parts = D.count_terms(df.repartition(9), names, held=20)
     assert parts.count() > len(whole)
-    merged = D.merge_tries(parts, 1, range_leaves=15).collect()
-    assert {(r.lang, bytes(r.term)): (r.docs, dict(zip(r.sources, r.counts, strict=True))) for r in merged} == whole
-    assert len(merged) == len(whole)
+    merged = D.merge_tries(parts, len(names), 1, range_leaves=15)
+    assert told(merged) == whole and merged.count() == len(whole)
+    assert {k: v for k, v in whole.items() if v[0] >= 3} == told(D.merge_tries(parts, len(names), 3))
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="aÄäb東京", max_size=5), max_size=40))
 def test_a_walk_is_in_utf8_order(words):
     trie = D.Trie()
-    for w in words:
-        trie.leaf(w.encode()).docs += 1
-    walked = [(t, n.docs) for t, n in trie.walk()]
-    assert walked == sorted(Counter(w.encode() for w in words).items())
+    leaves = [trie.leaf(w.encode()) for w in words]
+    walked = list(trie.walk())
     assert [t.decode() for t, _ in walked] == sorted(set(words))
+    assert dict(walked) == dict(zip((w.encode() for w in words), leaves, strict=True))
+
+
+def test_counters_that_are_summed_early(monkeypatch):
+    monkeypatch.setattr(D, "WAITING", 3)
+    counts = D.Counts(2)
+    for i in range(20):
+        counts.add([b"b", b"a"], np.array([1, 2]), np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([i, 1, 2]))
+    (batch,) = counts.rows("x")
+    assert batch.to_pydict() == {"lang": ["x", "x"], "term": [b"a", b"b"], "docs": [40, 20], "sources": [[0, 1], [0]], "counts": [[20, 40], [190]]}
 
 
 @settings(max_examples=60, deadline=None)
