@@ -1,8 +1,10 @@
 """Secret scans: assignment-aware lexing of source and configuration text.
 
 Base patterns find well-known shapes. Beside them, texts are lexed into
-name-literal pairs: assignments of source code, subscripts and typed names among
-them, keys of JSON and YAML with its blocks, elements of XML. Constants are
+name-literal pairs: assignments of source code, subscripts, typed names, pointers and
+tuples among them, defaults, lists, maps and arguments of calls, defines, keys of
+JSON and YAML with its blocks, elements of XML. Names that are written without
+separators are split by a lexicon. Constants are
 propagated through names and concatenations in the order of the text, and each
 literal is scored by the sensitivity of the name that it reaches and by its own
 strength.
@@ -32,7 +34,7 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "literal")
 
 #: Tokens but for strings, which begin at a quote: line ends, joined lines, references, operators, brackets, bare words.
-_LEX = re.compile(r"\\\n|\n|\"\"\"|'''|[\"']|\$\{\w+\}|:=|=>|\+=|[=!<>]=|[:=+()\[\]]|[^\s\"':=+,;(){}\[\]<>|]+|[^\s]")
+_LEX = re.compile(r"\\\n|\n|\"\"\"|'''|[\"']|\$\{\w+\}|:=|=>|\?\?=|\|\|=|\?=|\?\?|\|\||->|<-|\+=|[=!<>]=|[:=+()\[\]]|[^\s\"':=+,;(){}\[\]<>|]+|[^\s]")
 _CLOSE = {q: re.compile(rf"(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"}
 #: The rest of a YAML line whose value is the block below.
 _BLOCK = re.compile(r"\x20*[|>][-+0-9]*\x20*(?:\n|\Z)")
@@ -40,14 +42,30 @@ _XML = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
 _XML_PAIR = re.compile(r"\b(?:key|name)\s*=\s*\"([^\"<>]*)\"\s+value\s*=\s*\"([^\"<>]*)\"", re.I)
 #: A part of each sensitive name; a text without any holds no secret of the method.
 _MAYBE = re.compile(r"passw|pwd|passphrase|secret|token|apikey|credential|bearer|pass|auth|key|string", re.I)
+#: What gives names values at all.
+_ASSIGNS = re.compile(r"[=:]|</|->|<-|\([^()]*[\"']|define|setenv|export|\bset\b")
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*")
 _REFERENCE = re.compile(r"\$(?:(\w+)|\{(\w+)\})")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|^\$|^<|^%")
+_PLACEHOLDER = re.compile(r"(?i)change.?me|(?:^|[\W_])example(?:$|[\W_])|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|^\$|^<|^%")
 
 #: Parts of a name and how sensitive they make it; pairs must both be there.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "pass": 0.8, "auth": 0.7}
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("signing", "key"): 1.0, ("encryption", "key"): 1.0, ("client", "key"): 0.8, ("connection", "string"): 0.8}
+#: Words that stand beside sensitive ones in names written without separators.
+BESIDE = frozenset(
+    "access account admin app aws azure client cloud code current database db default dev encryption ftp git github gcp id jwt key keys list local login mail main master mongo my mysql"
+    " new oauth old pg postgres private prod production public redis refresh remote root server service session set sign signing site smtp ssh staging store str string test text user usr val value values web".split()
+)
+#: Sensitive words so long are told at the end of a longer word whatever comes before them.
+TELLING = 6
+#: Before a string, what makes it one of another kind.
+STRING_PREFIXES = frozenset(("b", "f", "r", "u", "l", "br", "rb", "fr", "rf", "u8"))
+#: Words that give a name a value without an operator.
+DEFINES = frozenset(("#define", "define", "setenv", "export", "set", "DEFINE"))
+ASSIGNS = frozenset(("=", ":", ":=", "=>", "+=", "?=", "||=", "??=", "->", "<-"))
+#: Between alternatives, of which each may be the value.
+ELSE = frozenset(("or", "||", "??"))
 #: A literal of this score or more is a secret.
 THRESHOLD = 0.5
 
@@ -78,9 +96,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+@lru_cache(maxsize=65536)
+def words_in(part: str) -> tuple[str, ...]:
+    """The words of a part of a name: itself, or those of the lexicon that it is made of, one of them sensitive."""
+    if part in SENSITIVE or part in BESIDE or len(part) > 64:
+        return (part,)
+    known = BESIDE.union(SENSITIVE, (f"{w}s" for w in SENSITIVE))
+    cut: list[tuple[str, ...] | None] = [(), *([None] * len(part))]
+    for end in range(1, len(part) + 1):
+        cut[end] = next(((*cut[at], part[at:end]) for at in range(max(0, end - 16), end) if cut[at] is not None and part[at:end] in known), None)
+    found = cut[len(part)] or next(((w,) for w in SENSITIVE if len(w) >= TELLING and part.endswith((w, f"{w}s"))), (part,))
+    return tuple(w if w in SENSITIVE or w in BESIDE else w.removesuffix("s") if w.removesuffix("s") in SENSITIVE else w for w in found)
+
+
 @lru_cache(maxsize=65536)
 def name_score(name: str) -> float:
-    parts = {p.lower() for p in _PARTS.findall(name)}
+    parts = {w for p in _PARTS.findall(name) for w in words_in(p.lower())}
     return max(
         max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0),
         max((s for pair, s in SENSITIVE_PAIRS.items() if parts.issuperset(pair)), default=0.0),
@@ -168,23 +199,54 @@ def lex(text: str) -> list[Term]:
     return out
 
 
-OPERATORS = frozenset((":=", "=>", "+=", "==", "!=", "<=", ">="))
+OPERATORS = ASSIGNS | ELSE - {"or"} | {"==", "!=", "<=", ">="}
+
+
+def opaque(text: str) -> bool:
+    """Whether a literal among others, in a list, map or call, is one that names nothing: no words, no address."""
+    return any(c.isdigit() for c in text) and any(c.isalpha() for c in text) and not any(c.isspace() for c in text) and "://" not in text
 
 
 class _Parser:
     def __init__(self, text: str):
         self.text, self.tokens = text, lex(text)
         self.unclosed: set[str] = set()
+        # The strings that stand directly in each bracket, but for the keys of maps, and where it closes.
+        self.inside: dict[int, list[Term]] = {}
+        self.closes: dict[int, int] = {}
+        open_: list[int] = []
+        for i, t in enumerate(self.tokens):
+            if t.kind == "op" and t.text in "([{":
+                open_.append(i)
+                self.inside[i] = []
+            elif t.kind == "op" and t.text in ")]}" and open_:
+                self.closes[open_.pop()] = i
+            elif t.kind == "string" and open_ and not (i + 1 < len(self.tokens) and self.tokens[i + 1].text in (":", "=>", "=")):
+                self.inside[open_[-1]].append(Term("literal", t.text, t.start, t.end, True))
 
     def target(self, i: int) -> str | None:
-        """The name that token ``i`` ends: a word, a quoted key, or a subscript by a quoted key."""
+        """The name that token ``i`` ends: a word, also of a pointer or an array, a quoted key, or a subscript by a quoted key."""
+        if i >= 2 and self.tokens[i].text == "]" and self.tokens[i - 1].text == "[":
+            i -= 2
+        elif i >= 3 and self.tokens[i].text == "]" and self.tokens[i - 1].text.isdigit() and self.tokens[i - 2].text == "[":
+            i -= 3
         if i >= 0 and self.tokens[i].text == "]" and i >= 2 and self.tokens[i - 1].kind == "string" and self.tokens[i - 2].text == "[":
             i -= 1
         if i < 0 or self.tokens[i].kind not in ("word", "string"):
             return None
-        name = self.tokens[i].text
+        name = self.tokens[i].text.lstrip("*&@").rstrip("?")
         return name if _NAME.fullmatch(name) else None
 
+    def targets(self, i: int) -> list[str]:
+        """The names before token ``i``, in their order, that are parted by commas, if there are several."""
+        names = []
+        while (name := self.target(i)) and self.tokens[i].kind == "word":
+            names.append(name)
+            if i < 2 or self.tokens[i - 1].text != ",":
+                return names[::-1] if len(names) > 1 else []
+            i -= 2
+        return []
+
     def block(self, i: int) -> tuple[Term | None, int]:
         """The lines below a YAML key that are indented deeper, if operator ``i`` begins such a block, and the token after them."""
         op, text = self.tokens[i], self.text
@@ -225,6 +287,9 @@ class _Parser:
             return Term("literal", self.text[t.end : end], t.end, end, True), i
         if t.kind != "word" or not re.match(r"[\w$/]", t.text):
             return None, i
+        if t.text.lower() in STRING_PREFIXES and i + 1 < len(self.tokens) and self.tokens[i + 1].kind in ("string", "triple"):
+            if self.tokens[i + 1].start - (self.tokens[i + 1].kind == "string") == t.end:
+                return self.term(i + 1)
         if i + 3 < len(self.tokens) and self.tokens[i + 1].text == "[" and self.tokens[i + 3].text == "]" and self.tokens[i + 2].kind == "string":
             return Term("name", self.tokens[i + 2].text, t.start, self.tokens[i + 3].end, False), i + 4
         return Term("name" if _NAME.fullmatch(t.text) or _REFERENCE.fullmatch(t.text) else "literal", t.text, t.start, t.end, False), i + 1
@@ -255,25 +320,78 @@ class _Parser:
             i, plus = after, False
         return out, i
 
+    def text_at(self, i: int) -> str:
+        return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
+
+    def values(self, i: int) -> tuple[list[list[Term]], int]:
+        """What may be assigned by what begins at token ``i``, each as its terms: a value, its alternatives, the literals of a list, map or call."""
+        out: list[list[Term]] = []
+        while True:
+            terms, after = self.terms(i)
+            opens = after if terms and terms[-1].kind == "name" and self.text_at(after) == "(" else i if not terms and self.text_at(i) in ("[", "{") else -1
+            if opens >= 0 and opens in self.closes:
+                out += [[t] for t in self.inside[opens] if opaque(t.text)]
+                out += [terms[:-1]] if len(terms) > 1 else []
+                # What stands within is looked at for pairs of its own.
+                end = self.closes[opens] + 1
+                after = max(after, opens)
+            else:
+                out += [terms] if terms else []
+                end = after
+            if self.text_at(end) not in ELSE:
+                return out, after
+            i = end + 1
+
+    def call(self, i: int) -> list[Pair]:
+        """Pairs of the call whose bracket is token ``i``: the callee and its arguments, or a first argument that is a name and those after it."""
+        literals, callee = self.inside.get(i, []), self.target(i - 1) if i and self.tokens[i - 1].kind == "word" else None
+        if not callee or not literals:
+            return []
+        out = [(callee, [t]) for t in literals if name_score(callee) and opaque(t.text)]
+        if len(literals) > 1 and _NAME.fullmatch(literals[0].text) and name_score(literals[0].text):
+            out += [(literals[0].text, [t]) for t in literals[1:] if opaque(t.text)]
+        return out
+
     def pairs(self) -> list[Pair]:
         """Names and the terms assigned to them, in the order of the text."""
         out: list[Pair] = []
         tokens, i = self.tokens, 0
         while i < len(tokens):
             op = tokens[i]
-            if op.kind != "op" or op.text not in ("=", ":", ":=", "=>", "+="):
+            if op.kind == "op" and op.text == "(":
+                out += self.call(i)
+            elif op.kind == "word" and op.text in DEFINES and i + 2 < len(tokens) and tokens[i + 1].kind == "word" and tokens[i + 2].kind in ("string", "word") and (name := self.target(i + 1)):
+                terms, after = self.terms(i + 2)
+                if terms and self.text_at(after) in ("", "\n", ";"):
+                    out.append((name, terms))
+            if op.kind != "op" or op.text not in ASSIGNS:
                 i += 1
                 continue
+            if op.text in ("=", ":=") and self.text_at(i - 2) == "," and (names := self.targets(i - 1)):
+                given, at = [], i + 1
+                while len(given) < len(names):
+                    terms, at = self.terms(at)
+                    given.append(terms)
+                    if self.text_at(at) != ",":
+                        break
+                    at += 1
+                if len(given) == len(names) and all(given):
+                    out += zip(names, given, strict=True)
+                    i = max(at, i + 1)
+                    continue
             name = self.target(i - 1)
             held, after = self.block(i)
             if held:
                 terms, i = [held], after
             else:
-                terms, after = self.terms(i + 1)
+                given, after = self.values(i + 1)
                 # A type between the name and what is assigned: NAME: TYPE = VALUE.
-                if op.text == ":" and len(terms) == 1 and terms[0].kind == "name" and after < len(tokens) and tokens[after].text == "=":
-                    terms, after = self.terms(after + 1)
+                if op.text == ":" and len(given) == 1 and len(given[0]) == 1 and given[0][0].kind == "name" and after < len(tokens) and tokens[after].text == "=":
+                    given, after = self.values(after + 1)
                 i = max(after, i + 1)
+                terms = given[0] if given else []
+                if name:
+                    out += [(name, more) for more in given[1:]]
             if name and terms:
                 if op.text == "+=":
                     terms = [Term("name", name, op.start, op.start, False), *terms]
@@ -363,7 +481,7 @@ def literal_spans(text: str, least: int = LEAST) -> list[Span]:
     A name stands for what was last assigned to it before the place where it is
     used; if nothing known was, for its first constant in the rest of the text.
     """
-    if "=" not in text and ":" not in text and "</" not in text or not _MAYBE.search(text):
+    if not _ASSIGNS.search(text) or not _MAYBE.search(text):
         return []
     pairs = assignments(text)
     if not any(name_score(name) for name, _ in pairs):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -118,6 +119,56 @@ def test_forms_of_assignments():
     assert reached('pwd = """never closed\nx = 1') == reached("pwd: |\nx: 1") == reached("<pwd></pwd>") == reached('x["pwd"]["y"') == []
 
 
+SECRET = "Zk39xQp71LmW"
+FORMS = (
+    "dbpassword_value='{}'", "secretkey='{}'", "userpwd: '{}'", "export PGPASSWORD_PROD={}", "clientsecretvalue = '{}'", "authtoken2 = '{}'", "mysqlserverpassword='{}'", "APIKEYS = '{}'",
+    'pw_secret = f"{}"', "db_pwd = b'{}'", "db_pwd = r'{}'", "db_pwd = u\"{}\"", "db_pwd = rb'{}'", 'wchar_t *db_pwd = L"{}";',
+    'setPassword("{}")', "client.withToken('{}')", 'db_pwd = base64("{}")', 'x = os.getenv("DB_PWD", "{}")', 'db_pwd = os.getenv("NAME", "{}")', 'env.get("db_password") or setdefault("db_password", "{}")',
+    'db_pwd = ["{}"]', 'API_KEY_LIST = {{"a": "{}"}}', "tokens = ['x', '{}']", "db_pwd = {{'prod': '{}', 'url': 'https://h/v1'}}",
+    'db_pwd = x or "{}"', 'db_pwd = process.env.X || "{}"', 'db_pwd = a ?? "{}"', 'db_pwd ||= "{}"', "DB_PWD ?= '{}'", "db_pwd -> '{}'", "db_pwd <- '{}'", 'db_pwd = f(1) or "{}"',
+    'const char *db_pwd = "{}";', 'char db_pwd[] = "{}";', 'char db_pwd[32] = "{}";', '#define DB_PWD "{}"', "#define DB_PWD {}", "setenv DB_PWD {}", 'user, db_pwd = "a", "{}"', 'db_pwd, n = "{}", 3', 'userpwd = "{}example"',
+)
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_further_forms(form):
+    found = reached("first line\n" + form.format(SECRET) + "\nlast = 'line'")
+    assert [w.removesuffix("example") for w in found] == [SECRET]
+
+
+def test_what_looks_like_a_secret_of_a_name_but_is_none():
+    for text in (
+        "passport = 'Zk39xQp71LmW'", "tokenizer: 'Zk39xQp71LmW'", "compass = 'Zk39xQp71LmW'", "secretary = 'Zk39xQp71LmW'", "author = 'Zk39xQp71LmW'", "monkey = 'Zk39xQp71LmW'",
+        "password = os.getenv('PRODUCTION_DATABASE_PASSWORD')", "token_urls = ['https://host1.example/a']", "password = getpass('Password for user 1: ')", "db_pwd = 'your-Zk39xQp71'", "call('Zk39xQp71LmW')",
+        "setPassword(value1)", "the password (see 'chapter 4a') is long: yes",
+    ):
+        assert reached(text) == [], text
+
+
+def test_recall_and_precision_on_a_planted_table(spark):
+    """Thousands of rows of code and prose; half of them hold a secret in some form."""
+    r = random.Random(8)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    plain = ["for i in range(10):\n    total = total + 'step %d'", 'print("hello, world 2")', "Keys are kept in a safe place: see page 12.", 'colour = "#a1b2c3d4"', "url = 'https://host.example/v1/items'", "version: 1.2.3-rc4", "msg = f(\"item1\", 'b2c3d4e5f6')", "my_list = ['a1b2c3d4e5', 'x']"]
+    rows, want = [], {}
+    for i in range(4000):
+        lines = r.choices(plain, k=r.randint(1, 6))
+        if i % 2:
+            value = "".join(r.choices(letters, k=r.randint(12, 30))) + "7q"
+            lines.insert(r.randrange(len(lines) + 1), r.choice(FORMS[:-1]).format(value))
+            want[i] = value
+        rows.append((i, "\n".join(lines)))
+    texts = dict(rows)
+    found = {}
+    for x in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = [s.split(":") for s in x.spans.split(",") if s]
+        found[x.doc_id] = {texts[x.doc_id][int(a) : int(b)] for _, a, b in spans}
+        assert x.n_literal == sum(k == "literal" for k, _, _ in spans)
+    hits = sum(any(v in f for f in found[i]) for i, v in want.items())
+    false = sum(not (i in want and want[i] in f) for i, fs in found.items() for f in fs)
+    assert hits / len(want) > 0.98 and false / max(1, sum(map(len, found.values()))) < 0.02, (hits, len(want), false)
+
+
 def test_a_name_stands_for_what_was_last_assigned():
     assert reached("a = 'AKx9vB2mQ7rT5w'\na = 'Zk3v9QpL0xY7wT2m'\npwd = a") == ["Zk3v9QpL0xY7wT2m"]
     assert reached("a = 'AKx9vB2mQ7rT5w'\npwd = a\na = 'Zk3v9QpL0xY7wT2m'") == ["AKx9vB2mQ7rT5w"]
