@@ -5,29 +5,35 @@ which must stand unchanged. An Aho-Corasick automaton finds the pieces of all
 items; around each hit Myers' bit-parallel algorithm gives the edit distance.
 
 The items never come to the driver: they are written as shards of bounded size to
-the shared folder, and a task reads the shard that it searches for.
+the shared folder. A task gathers texts up to a bound and goes through the shards one
+after the other, so that it holds one automaton at a time and reads its texts once.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fernwalk.llm.common import filter_rows, map_columns, shared_folder
+from fernwalk.llm.common import SLICE, freed, map_columns, shared_folder
 
 #: Edits allowed for each hundred characters of an item.
 EDITS_PER_100 = 8
 #: Items with fewer characters than this must stand unchanged and as whole words.
 WHOLE_WORDS = 24
-#: Characters of the items of a shard; each shard takes a pass over the texts.
-BLOCK_CHARS = 4_000_000
+#: Characters of the items of a shard, and of the texts that a task holds while it goes through several shards.
+BLOCK_CHARS, HELD_CHARS = 4_000_000, 16_000_000
 
 _GAPS = re.compile(r"[\W_]+")
 
@@ -98,7 +104,10 @@ class Matcher:
 
     def find(self, text: str | None) -> dict:
         """Items that stand in the text, and their distances."""
-        flat = normalise(text)
+        return self.find_flat(normalise(text))
+
+    def find_flat(self, flat: str) -> dict:
+        """The same for a normalised text."""
         if not flat or not self.items:
             return {}
         found: dict = {}
@@ -167,6 +176,46 @@ def load(shard: str, per_100: int) -> Matcher:
     return Matcher(list(dict.fromkeys(zip(held["id"].to_pylist(), held["item"].to_pylist(), strict=True))), per_100)
 
 
+def search(names: list[str], texts: list[str | None], per_100: int) -> list[dict]:
+    """What all shards' items find in each text: items and their least distances."""
+    flat = [normalise(t) for t in texts]
+    found: list[dict] = [{} for _ in texts]
+    for name in names:
+        matcher = load(name, per_100)
+        for at, text in zip(found, flat, strict=True):
+            for key, n in matcher.find_flat(text).items():
+                at[key] = min(n, at.get(key, n))
+    return found
+
+
+def searched(df: DataFrame, names: list[str], at: int, per_100: int, schema, give: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], held_chars: int = HELD_CHARS) -> DataFrame:
+    """What ``give`` makes of slices of ``df`` and of what the shards find in their ``at``-th column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        chars = 0
+
+        def through() -> Iterator[pa.RecordBatch]:
+            found = search(names, [t for part in held for t in part.column(at).to_pylist()], per_100)
+            for part in held:
+                yield give(part, found[: part.num_rows])
+                del found[: part.num_rows]
+            held.clear()
+
+        for batch in freed(batches):
+            for i in range(0, batch.num_rows, SLICE):
+                held.append(batch.slice(i, SLICE))
+                chars += pc.sum(pc.utf8_length(held[-1].column(at))).as_py() or 0
+                # One shard stays in memory anyway; several are loaded for many texts at a time.
+                if len(names) == 1 or chars > held_chars:
+                    yield from through()
+                    chars = 0
+        if held:
+            yield from through()
+
+    return df.mapInArrow(run, schema)
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -175,6 +224,7 @@ def find_leaks(
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
+    held_chars: int = HELD_CHARS,
 ) -> DataFrame:
     """``(doc_id, item_id, distance)`` for every document and item that stands in it within its budget of edits.
 
@@ -182,45 +232,30 @@ def find_leaks(
     nothing, and an item without a word stands nowhere; one of fewer than
     WHOLE_WORDS characters must stand unchanged, as whole words. Where an item's id
     repeats, with the same text or others, the least distance is told once. Repeated
-    rows of ``docs`` are each told; ids may be null. Other columns are ignored, and
-    an empty table on either side gives an empty result.
+    rows of ``docs`` are each told; ids may be null. Very long texts are searched
+    whole. Other columns are ignored, and an empty table on either side gives an
+    empty result.
     """
     doc_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {doc_kind}, tag long, item_id {item_kind}, distance int"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    out = None
+    schema = T._parse_datatype_string(f"doc_id {doc_kind}, item_id {item_kind}, distance int")
     names = shards(benchmark, item_col, "text", block_chars)
-    for number, name in enumerate(names):
-
-        def start(name=name):
-            matcher = load(name, per_100)
-
-            def work(rows):
-                found = [(d, g, i, n) for d, g, t in zip(rows["doc_id"], rows["tag"], rows["text"], strict=True) for i, n in matcher.find(t).items()]
-                return {k: [x[j] for x in found] for j, k in enumerate(("doc_id", "tag", "item_id", "distance"))}
+    if not names:
+        return docs.sparkSession.createDataFrame([], schema)
+    arrow = to_arrow_schema(schema)
 
-            return work
+    def give(part: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        of = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+        items, distances = [k for f in found for k in f], [n for f in found for n in f.values()]
+        return pa.RecordBatch.from_arrays([part.column(0).take(of).cast(arrow.field(0).type), pa.array(items, arrow.field(1).type), pa.array(distances, pa.int32())], schema=arrow)
 
-        part = map_columns(rows, start, schema).withColumn("shard", F.lit(number))
-        out = part if out is None else out.union(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], schema).drop("tag")
-    if len(names) > 1:
-        # Texts of one id may lie in several shards; a row that repeats is told as often as it stands there.
-        keys = ["doc_id", "tag", "item_id"]
-        each = out.groupBy(*keys, "shard").agg(F.min("distance").alias("distance"), F.count("*").cast("int").alias("times"))
-        least = each.groupBy(*keys).agg(F.min("distance").alias("distance"), F.max("times").alias("times"))
-        out = least.select("doc_id", "item_id", F.explode(F.array_repeat("distance", F.col("times"))).alias("distance"))
-    return out.select("doc_id", "item_id", "distance")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return searched(rows, names, 1, per_100, schema, give, held_chars)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", per_100: int = EDITS_PER_100, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", per_100: int = EDITS_PER_100, block_chars: int = BLOCK_CHARS, held_chars: int = HELD_CHARS) -> DataFrame:
     """``docs`` without those in which an item stands; nothing of them is shuffled."""
-    for name in shards(benchmark, item_col, "text", block_chars):
-
-        def start(name=name):
-            matcher = load(name, per_100)
-            return lambda texts: [not matcher.find(t) for t in texts]
-
-        docs = filter_rows(docs, text_col, start)
-    return docs
+    names = shards(benchmark, item_col, "text", block_chars)
+    if not names:
+        return docs
+    give = lambda part, found: part.filter(pa.array([not f for f in found], pa.bool_()))
+    return searched(docs, names, docs.columns.index(text_col), per_100, docs.schema, give, held_chars)

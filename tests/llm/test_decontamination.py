@@ -108,3 +108,17 @@ def test_odd_rows(spark, odd, none):
     assert D.find_leaks(odd, bench.limit(0)).collect() == []
     assert D.drop_leaks(clash(odd), bench).columns == clash(odd).columns
     assert D.drop_leaks(odd, bench.limit(0)).count() == 9
+
+
+def test_many_shards_take_one_pass(spark):
+    """One scan and one Python step for any number of shards, and the same rows with texts held in small parts."""
+    items = [(i, " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[(i + k) % 26] * 5}" for k in range(0, 25, 3))) for i in range(20)]
+    bench = spark.createDataFrame(items, BENCH)
+    docs = spark.createDataFrame([(i, f"before {items[i % 20][1]} after" if i % 3 else "clean text") for i in range(600)], "doc_id long, text string").repartition(3)
+    assert len(D.shards(bench, block_chars=60)) >= 10
+    for made in (D.find_leaks(docs, bench, block_chars=60, held_chars=2000), D.drop_leaks(docs, bench, block_chars=60, held_chars=2000)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and plan.count("Scan") == 1 and "Union" not in plan
+    want = rows(D.find_leaks(docs, bench))
+    assert rows(D.find_leaks(docs, bench, block_chars=60, held_chars=2000)) == want and len({d for d, _, _ in want}) == 400
+    assert D.drop_leaks(docs, bench, block_chars=60, held_chars=2000).count() == 200
