@@ -131,7 +131,8 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of ``docs`` that the mix takes, with ``copies``, how often, and ``taken``, their words times that.
 
     The decision is made again in each row from its own hash and its source's
-    threshold, so texts aren't shuffled. Columns of the same names are replaced.
+    threshold, so texts aren't shuffled. A document without words goes by its hash
+    like any other, and its words are 0. Columns of the same names are replaced.
     """
     sizes = cut(sized(docs, id_col, text_col, source_col))
     limits = checked_broadcast(thresholds(sizes, cut(targets(sizes)))).select(F.struct("source", "copies", "last").alias("limit"))
@@ -142,6 +143,6 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return (
         hashed.join(limits, F.col(f"row.{source_col}").eqNullSafe(F.col("limit.source")))
         .select("row", times.alias("copies"), (times * F.col("size")).alias("taken"))
-        .where("taken > 0")
+        .where("copies > 0")
         .select("row.*", "copies", "taken")
     )

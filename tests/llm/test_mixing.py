@@ -86,6 +86,12 @@ def test_rows_of_the_mix(spark, odd, none):
     some = clash(odd).drop("taken")
     out = M.mix_rows(some)
     assert out.columns == [*some.columns, "copies", "taken"]
-    want = sorted(((r.doc_id, r.taken) for r in M.mix(odd).collect() if r.taken), key=repr)
-    assert sorted(((r.doc_id, r.taken) for r in out.collect()), key=repr) == want
+    mixed = M.mix(odd).collect()
+    got = sorted(((r.doc_id, r.taken) for r in out.collect()), key=repr)
+    assert [x for x in got if x[1]] == sorted(((r.doc_id, r.taken) for r in mixed if r.taken), key=repr)
+    assert min(r.copies for r in out.collect()) > 0
+    # A source that is taken whole, once or more, loses no document for having no words.
+    whole = {r.source for r in mixed if r.target >= r.source_size}
+    assert {r.doc_id for r in mixed if not r.size and r.source in whole} <= {i for i, words in got if not words}
+    assert (1, 0) in got
     assert M.mix_rows(none).collect() == []
