@@ -50,8 +50,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingles as sorted 64-bit hashes; it remembers the hashes of words."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __init__(self, words: int = WORDS) -> None:
+        self.words, self.known = words, {}
 
     def set_of(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()  # ASCII letters and spaces, as bytes are split
@@ -64,7 +64,7 @@ class Shingler:
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(WORDS, len(h))
+        size = min(self.words, len(h))
         out = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
             out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k])
@@ -178,25 +178,26 @@ def _neighbours(members: DataFrame, nearest: bool, near: int, seems: float) -> D
     return ordered.select("tree", "ordered", "node", "comp").mapInArrow(run, "a binary, b binary, ca binary, cb binary, seems double")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """``(node, items)``: the sets of ``wanted(node, tag)``, computed again from one text of each."""
+def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
+    """``(node, items)``: the sets of ``wanted(node, tag)``, computed again from a text with the hash ``tag``."""
     texts = docs.select(F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text")).join(checked_broadcast(wanted), "tag")
 
     def start():
-        shingler = Shingler()
+        shingler = Shingler(words)
         return lambda rows: {"node": rows["node"], "items": [shingler.set_of(t).view(np.int64) for t in rows["text"]]}
 
     # Rows that repeat a text give the same set, and one of them is kept in each task already.
-    return map_columns(texts.select("node", "text"), start, "node binary, items array<long>").dropDuplicates(["node"])
+    kind = wanted.schema["node"].dataType.simpleString()
+    return map_columns(texts.select("node", "text"), start, f"node {kind}, items array<long>").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """Those of ``pairs(a, b, ..)`` whose full sets are similar enough."""
     of_a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     of_b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(of_a, "a").join(of_b, "b")
-    return both.where(100 * common >= LEAST * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+    return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
 
 
 def _labelled(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -223,13 +224,13 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str = "text", n
     nearest = written(_neighbours(alone, True, near, seems).groupBy("a", "b").agg(F.max("seems").alias("seems")))
     ends = nearest.select(F.col("a").alias("node"), "a", "b", "seems").union(nearest.select(F.col("b").alias("node"), "a", "b", "seems"))
     best = ends.groupBy("node").agg(F.max(F.struct("seems", "a", "b")).alias("x"))
-    sets = written(_sets(docs, best.select("node").join(nodes.select("node", "tag"), "node"), text_col))
+    sets = written(sets_of(docs, best.select("node").join(nodes.select("node", "tag"), "node"), text_col))
     first = best.select("x.a", "x.b").distinct()
-    links = written(_confirmed(first, sets))
+    links = written(confirmed(first, sets))
     released(spark)
     comps = written(connected_components(links).select("node", F.col("component").alias("comp")))
     released(spark)
-    links = written(_confirmed(_labelled(nearest, comps), sets))
+    links = written(confirmed(_labelled(nearest, comps), sets))
     comps = _joined(comps, links)
     released(spark)
     # Regions that are one component by now have nothing left to compare.
@@ -239,8 +240,8 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str = "text", n
     candidates = written(_neighbours(left, False, near, seems).select("a", "b", "ca", "cb").distinct())
     released(spark)
     late = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
-    sets = sets.unionByName(written(_sets(docs, late.join(nodes.select("node", "tag"), "node"), text_col)))
-    links = written(_confirmed(candidates, sets))
+    sets = sets.unionByName(written(sets_of(docs, late.join(nodes.select("node", "tag"), "node"), text_col)))
+    links = written(confirmed(candidates, sets))
     released(spark)
     return _joined(comps, links)
 
