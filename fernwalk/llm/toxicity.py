@@ -39,8 +39,9 @@ EDIT_LETTERS = 5
 #: Terms with so many letters may be misspelled by two edits.
 TWO_EDIT_LETTERS = 8
 STEM_LENGTHS = range(4, 11)
-#: Stems need this many toxic rows, and the share of toxic rows among those that have them.
-STEM_ROWS, STEM_SHARE, MAX_STEMS = 5, 0.8, 200
+#: Stems need this many toxic rows, and the share of toxic rows among those that have them. Each takes its rows
+#: with it, so there are no more of them than the sample has rows for.
+STEM_ROWS, STEM_SHARE = 5, 0.8
 #: Words known to hold no term that a task remembers.
 MEMORY = 150_000
 #: States of the automaton that a task remembers.
@@ -276,9 +277,13 @@ def features(words: list[str], hits: list[tuple[int, int, int]], terms: list[Ter
 
 
 def _starts(text: str) -> set[str]:
-    """Beginnings of a text's words."""
+    """Beginnings of a text's words; a word too short for one counts as a whole, which ``WHOLE`` marks."""
     words = {form(w) for w in set(tokens(text))}
-    return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
+    short = {w + WHOLE for w in words if 1 < len(w) < STEM_LENGTHS[0]}
+    return short | {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
+
+
+WHOLE = "\0"
 
 
 def learn_stems(rows: list[tuple[str, int]]) -> list[Term]:
@@ -302,7 +307,7 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[Term]:
             good.update(_starts(text) & wanted)
     out: list[Term] = []
     open_ = Counter(bad)
-    for _ in range(MAX_STEMS):
+    while True:
         best, gain = None, 0.0
         for s, n in open_.items():
             if n >= STEM_ROWS and bad[s] / (bad[s] + good[s]) >= STEM_SHARE:
@@ -311,7 +316,7 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[Term]:
                     best, gain = s, g
         if best is None:
             break
-        out.append(Term(best, True, (bad[best] + 0.5) / (bad[best] + good[best] + 1.0)))
+        out.append(Term(best.removesuffix(WHOLE), not best.endswith(WHOLE), (bad[best] + 0.5) / (bad[best] + good[best] + 1.0)))
         rest = []
         for starts in left:
             if best in starts:
@@ -380,7 +385,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if len({label for _, label in rows}) < 2:
         return Model(tuple(terms), {}, (3.0, 3.0, 1.0, -1.0, 0.0, 0.0, 1.0, 0.0, 0.0), -4.0)
     terms += (stems := learn_stems(rows))
-    terms += learn_words(rows, stems)
+    terms += learn_words(rows, [t for t in stems if t.stem])
     matcher = Matcher(terms)
     good, bad = Counter(), Counter()
     for text, label in rows:

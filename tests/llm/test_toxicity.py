@@ -172,3 +172,20 @@ def test_without_labels_only_general_insults_count(spark, odd, none):
     score = X._scorer(model)
     assert score("you stupid idiot, you are worthless trash") >= 0.5
     assert score("a fine day") < 0.5
+
+
+def test_as_many_stems_as_the_rows_tell_and_short_words_as_a_whole():
+    r = random.Random(3)
+    words = ["".join(r.choice("aeiou") + r.choice("mnr") for _ in range(r.randint(1, 4))) for _ in range(40)]
+    clean = lambda: " ".join(r.choices(words, k=60))
+    word = lambda k: "q" + "".join(chr(98 + k // 10**p % 10) for p in range(3)) + "tt"
+    rows = [(f"{clean()} {word(k)} {clean()}", 1) for k in range(230) for _ in range(6)]
+    rows += [(f"{clean()} zog {clean()}", 1) for _ in range(12)] + [(clean(), 0) for _ in range(1500)]
+    found = X.learn_stems(rows)
+    assert X.Term("zog", False, found[[t.text for t in found].index("zog")].weight) in found
+    stems = [t.text for t in found if t.stem]
+    assert all(any(word(k).startswith(s) for s in stems) for k in range(230))
+    # Where the beginnings of words tell nothing together, each word is one of its own.
+    rows = [(f"{clean()} {chr(97 + k // 26)}{chr(97 + k % 26)}kx{k:03d} {clean()}", 1) for k in range(230) for _ in range(6)]
+    assert len(X.learn_stems(rows + [(clean(), 0) for _ in range(1500)])) > 200
+    assert X.Matcher(found).hits(["zog"]) and not X.Matcher([t for t in found if t.text == "zog"]).hits(["zogger"])
