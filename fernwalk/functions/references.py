@@ -7,8 +7,10 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names with their semicolon, short ones first, as a name is looked for in this order; and those that may lack it, the longest first.
-_FULL = {k[:-1]: v for k, v in sorted(html5.items(), key=lambda kv: (len(kv[0]), kv[0])) if k.endswith(";")}
+#: Names that most references have.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
+#: Names with their semicolon, common and short ones first, as a name is looked for in this order; and those that may lack it, the longest first.
+_FULL = {k[:-1]: v for k, v in sorted(html5.items(), key=lambda kv: (kv[0] not in _COMMON, len(kv[0]), kv[0])) if k.endswith(";")}
 _BARE = {k: html5[k] for k in sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))}
 _BARE_NAME = "&(?:" + "|".join(_BARE) + ")"
 REFERENCE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{1,31};|" + _BARE_NAME
@@ -50,22 +52,28 @@ def _number(ref: Column) -> Column:
     return F.when(F.rlike(ref, F.lit("^&#[xX]")), of_hex).otherwise(of_decimal)
 
 
-def _decoded(ref: Column) -> Column:
-    full = F.try_element_at(_map(_FULL), F.regexp_extract(ref, "^&(.*);$", 1))
+def _decoded(ref: Column, instead: dict[str, str]) -> Column:
+    full = F.try_element_at(_map(_FULL | instead), F.regexp_extract(ref, "^&(.*);$", 1))
     bare = F.regexp_extract(ref, "^" + _BARE_NAME, 0)
-    prefix = F.concat(F.try_element_at(_map(_BARE), F.substr(bare, F.lit(2))), F.substr(ref, F.length(bare) + 1))
+    prefix = F.concat(F.try_element_at(_map(_BARE | instead), F.substr(bare, F.lit(2))), F.substr(ref, F.length(bare) + 1))
     named = F.coalesce(full, F.when(bare != "", prefix), ref)
     return F.when(F.startswith(ref, F.lit("&#")), _character(_number(ref))).otherwise(named)
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, instead: dict[str, str] | None = None) -> Column:
     """``text`` with each reference replaced by what it stands for, as browsers do; nothing is decoded twice.
 
     Numbers may be decimal or hexadecimal, and semicolons may lack where browsers
     allow it; of a name that isn't known the longest beginning that is counts.
+    ``instead`` has names that stand for something else.
     """
-    refs = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    parts = F.split(text, REFERENCE, -1)
-    plain = F.concat(F.transform(refs, _decoded), F.array(F.lit("")))
-    whole = F.array_join(F.zip_with(parts, plain, lambda a, b: F.concat(a, b)), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+    def one(t: Column) -> Column:
+        refs = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        plain = F.concat(F.transform(refs, lambda ref: _decoded(ref, instead or {})), F.array(F.lit("")))
+        whole = F.array_join(F.zip_with(F.split(t, REFERENCE, -1), plain, lambda a, b: F.concat(a, b)), "")
+        return F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
+
+    # As an element of an array the text is computed once, whatever it is made of.
+    return F.transform(F.array(text), one)[0]

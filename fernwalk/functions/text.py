@@ -6,23 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fernwalk.constants import DEFAULT_REGION, REGIONS
+from fernwalk.functions.references import unescape
 
 #: Where one sentence ends: stops before white space, line feeds, and full-width stops.
 SENTENCE_END = r"[.!?]+\s+|\n+|[。！？]+"
 #: Letters with their combining marks.
 WORD = r"[\p{L}\p{M}]+"
-#: Named references that are decoded; ``&amp;`` must come last, so that nothing is decoded twice.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
 #: Scripts by which a query's language is told; kana come before Han, which Japanese also uses.
 SCRIPTS = (
     ("ja", r"[぀-ヿ]"),
@@ -55,9 +44,8 @@ def cjk_words(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    for name, plain in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(plain))
-    return text
+    """With all character references decoded; a space that doesn't break is one like any other."""
+    return unescape(text, {"nbsp": " "})
 
 
 def strip_citations(text: Column) -> Column:
