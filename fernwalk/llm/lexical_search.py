@@ -234,7 +234,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = docs.sparkSession.createDataFrame(cuts, "leaf int, shards long, first long")
     rows = forward.join(F.broadcast(dealt), "leaf").select((F.col("first") + F.pmod(F.xxhash64("seq"), "shards")).alias("shard"), "id", "seq", "n", "terms", "tfs")
     arrow = _arrow(schema, docs.sparkSession)
-    built = rows.groupBy("shard").applyInArrow(lambda t: _build(t, count, length, cluster, arrow), schema)
+    # As many tasks as shards, so that a task's rows don't grow with the corpus.
+    built = rows.repartition(first, "shard").groupBy("shard").applyInArrow(lambda t: _build(t, count, length, cluster, arrow), schema)
     return written(built), count
 
 
