@@ -21,6 +21,7 @@ def extract_text(
     empty for null and empty pages and for those in which no block is labelled
     as article. Repeated rows, null ids and null URLs stay, other columns are
     ignored, and an empty table gives an empty result.
+    Very long pages are read whole.
     """
     weights = weights or trained()
 

@@ -185,6 +185,7 @@ def scan_licenses(
     1 where it is accepted. A null or empty text has no words, no labels and
     score 0. Repeated rows and null ids stay, other columns are ignored, and an
     empty table gives an empty result.
+    Very long texts are scanned whole.
     """
     templates = TEMPLATES if templates is None else templates
 

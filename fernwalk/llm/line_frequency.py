@@ -121,6 +121,7 @@ def quality(
     each. Null and empty texts have no words and fail. Null hosts are one host.
     Null ids stay, other columns are ignored, and an empty table gives an empty
     result. Texts are read once; keys and counts go to the shared folder.
+    Very long texts are counted whole, line by line.
     """
     base = cut(base_columns(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()))
     frequent = checked_broadcast(cut(frequent_lines(base, min_docs, max_share, max_docs)))

@@ -118,6 +118,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and empty texts have size 0. A null source is one of its own, the last.
     Rows that share an id share its hash, so they are taken or left together.
     Other columns are ignored, and an empty table gives an empty result.
+    Very long texts are counted whole.
     """
     sizes = cut(sized(docs, id_col, text_col, source_col))
     limits = checked_broadcast(thresholds(sizes, cut(targets(sizes)))).withColumnRenamed("source", "s")

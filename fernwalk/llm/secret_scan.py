@@ -541,6 +541,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     however weak. A null or empty text has none.
     Repeated rows and null ids stay, other columns are ignored, and an empty table
     gives an empty result.
+    Very long texts are scanned whole.
     """
 
     def start():

@@ -113,6 +113,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null gets the component of its fingerprint, null if no row with an id has that
     fingerprint; such a fingerprint links nothing. Other columns are ignored, and
     an empty table gives an empty result.
+    Very long texts are taken whole, a part of their shingles at a time.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))

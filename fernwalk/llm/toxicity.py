@@ -456,6 +456,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     Null and empty texts hold no term and get the score of such a text. Only the
     text makes the score. Repeated rows and null ids (never held out) stay, other
     columns are ignored, and an empty table gives an empty result.
+    Very long texts are scored whole.
     """
 
     def start():

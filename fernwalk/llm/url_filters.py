@@ -169,6 +169,7 @@ def judge_urls(
     rule fits; the pattern rules still see the text of the URL. Repeated rows are
     judged alike, null ids stay, other columns are ignored, and an empty table
     gives an empty result.
+    Very long URLs are judged whole.
     """
     counts = token_counts(pages, pattern_rules, url_col)
     by_host: dict[str, list[HostRule]] = {}

@@ -233,6 +233,7 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0, id_col: s
     written as an empty name, and its row refers to another if one with its
     payload has an id. Rows that repeat the largest id are all responses. Other
     columns are ignored, and an empty table gives an empty result.
+    Very long payloads are records of their own size.
     """
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"

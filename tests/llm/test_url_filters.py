@@ -79,3 +79,14 @@ def test_odd_rows(spark):
         key=repr,
     )
     assert U.judge_urls(df.limit(0)).collect() == []
+
+
+def test_very_long_urls(spark):
+    long = "a" * 500_000
+    urls = [f"https://x.example.net/en/{long}", f"https://{long}.example.net/{long}?{long}", f"https://h.example/{'banner/' * 70_000}", long, f"https://h.example/{'%2F=&' * 100_000}"]
+    got = [(r.rule, r.verdict, len(r.host), len(r.path)) for r in U.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert got[0] == ("example.net/en/", "allow", 13, 500_004)
+    assert got[1] == ("net/", "block", 500_012, 500_001)
+    assert got[2][2:] == (9, 490_001) and got[2][0] is None
+    assert got[3] == (None, "allow", 0, 0)
+    assert got[4][2:] == (9, 500_001)
