@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fernwalk.llm import toxicity as X
 from fernwalk.llm.common import table
@@ -32,9 +33,11 @@ def folder(spark, tmp_path_factory):
     docs[6][1] = docs[3][1]
     docs[7][1] = docs[3][1].upper()
     docs[8][1] += ' token = "0123456789abcdef0123456789abcdef01234567" ' + text(3)
-    docs += [[900, None, None, None, None], [901, "", "en", None, 0], [None, text(30), "en", "s1", None]]
+    docs += [[900, None, None, None, None], [901, "", "en", None, 0], [None, text(30), "en", "s1", None], [950, text(60_000), "en", "s2", None]]
     docs = [[*d[:4], len(d[1]) if d[1] is not None else None] for d in docs]
-    spark.createDataFrame([tuple(d) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
+    # Columns with the names that stages use inside.
+    df = spark.createDataFrame([tuple(d) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    df.select("*", *(F.lit("x").alias(c) for c in ("score", "node", "band", "text_tag", "tag", "size", "h", "a", "b", "sketch", "words", "comp", "row"))).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     return out
@@ -54,7 +57,7 @@ def test_stages_and_run(spark, folder):
         kept[name] = {r.doc_id: r for r in at.collect()}
         at = spark.createDataFrame([tuple(r) for r in at.collect()], at.schema)
         assert before is not at
-    clean = {i for i in range(400) if i % 5} | {900, 901, None}
+    clean = {i for i in range(400) if i % 5} | {900, 901, 950, None}
     assert set(kept["toxicity"]) == clean
     left = {i: r for i, r in kept["toxicity"].items() if i is not None}
     groups = plain_groups({i: r.text for i, r in left.items()})
