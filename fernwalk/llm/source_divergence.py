@@ -324,7 +324,13 @@ def _walk(merged: DataFrame, audits: dict[str, tuple[list[str], list[int], list[
 
 
 def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, told: int = TERMS_TOLD) -> DataFrame:
-    """``(lang, source, part, item, value, rank)`` as README and the tests define them, of all groups of ``docs``.
+    """``(lang, source, part, item, value, rank)`` of all groups ``(lang, source)`` of ``docs``.
+
+    A language keeps the terms of ``min_docs`` of its documents. A group gives each of
+    them ``p = 1 + SCALE * (count + 1) // (N + V)``, N its count of all kept terms, V
+    their number. Part ``pair`` has each other source of the language, with the sum of
+    ``(p - q) ** 2 // q`` over all kept terms, q that source's; part ``term`` the first
+    ``told`` of the terms that stand in the group and have p above the language's own q.
 
     Null texts, languages and sources are read as empty. A group without terms has
     count 0 of each kept term; a language without kept terms gives its pairs the
