@@ -14,6 +14,8 @@ _FULL = {k[:-1]: v for k, v in sorted(html5.items(), key=lambda kv: (kv[0] not i
 _BARE = {k: html5[k] for k in sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))}
 _BARE_NAME = "&(?:" + "|".join(_BARE) + ")"
 REFERENCE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{1,31};|" + _BARE_NAME
+#: References that have their semicolon.
+CLOSED = r"&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]{1,31};"
 #: Separates the values of a map literal; it stands for no reference.
 _MARK = ""
 
@@ -52,27 +54,31 @@ def _number(ref: Column) -> Column:
     return F.when(F.rlike(ref, F.lit("^&#[xX]")), of_hex).otherwise(of_decimal)
 
 
-def _decoded(ref: Column, instead: dict[str, str]) -> Column:
+def _decoded(ref: Column, instead: dict[str, str], closed: bool) -> Column:
     full = F.try_element_at(_map(_FULL | instead), F.regexp_extract(ref, "^&(.*);$", 1))
+    if closed:
+        return F.when(F.startswith(ref, F.lit("&#")), _character(_number(ref))).otherwise(F.coalesce(full, ref))
     bare = F.regexp_extract(ref, "^" + _BARE_NAME, 0)
     prefix = F.concat(F.try_element_at(_map(_BARE | instead), F.substr(bare, F.lit(2))), F.substr(ref, F.length(bare) + 1))
     named = F.coalesce(full, F.when(bare != "", prefix), ref)
     return F.when(F.startswith(ref, F.lit("&#")), _character(_number(ref))).otherwise(named)
 
 
-def unescape(text: Column, instead: dict[str, str] | None = None) -> Column:
+def unescape(text: Column, instead: dict[str, str] | None = None, closed: bool = False) -> Column:
     """``text`` with each reference replaced by what it stands for, as browsers do; nothing is decoded twice.
 
     Numbers may be decimal or hexadecimal, and semicolons may lack where browsers
     allow it; of a name that isn't known the longest beginning that is counts.
-    ``instead`` has names that stand for something else.
+    ``instead`` has names that stand for something else. With ``closed`` only references
+    with their semicolon count, so a text that was cut within one, or an address with
+    ``&copy=1``, stays as it is.
     """
-
+    pattern = CLOSED if closed else REFERENCE
 
     def one(t: Column) -> Column:
-        refs = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
-        plain = F.concat(F.transform(refs, lambda ref: _decoded(ref, instead or {})), F.array(F.lit("")))
-        whole = F.array_join(F.zip_with(F.split(t, REFERENCE, -1), plain, lambda a, b: F.concat(a, b)), "")
+        refs = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        plain = F.concat(F.transform(refs, lambda ref: _decoded(ref, instead or {}, closed)), F.array(F.lit("")))
+        whole = F.array_join(F.zip_with(F.split(t, pattern, -1), plain, lambda a, b: F.concat(a, b)), "")
         return F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
 
     # As an element of an array the text is computed once, whatever it is made of.

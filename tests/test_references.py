@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fernwalk.functions import density, references
+from fernwalk.functions import html as H
 
 PIECES = st.one_of(
     st.sampled_from(["&", ";", "#", "x", "&amp;", "&lt", "&notit;", "&notin;", "&eacute;", "&mdash;", "&#8217;", "&#x41;", "&#X1F600;", "&#0;", "&#13;", "&#128;", "&#129;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#00065;", "&#11;", "&#xFFFF;", "&#xfdd0;", "&copycat", "&nosuchname;", "&CounterClockwiseContourIntegral;", "&fjlig;", "&NotEqualTilde;", " ", "a", "é", "&&gt;"]),
@@ -43,6 +44,16 @@ def test_null_stays_null(spark):
     assert df.select(references.unescape(df.t).alias("p")).first().p is None
 
 
+def test_references_without_semicolon_stay_where_closed_ones_are_asked_for(spark):
+    page = "<p>a&&&amp</p><p>&copy=1 &lt;b &notit; &#39 &#39;&#x41; &amp;lt;</p>"
+    df = spark.createDataFrame([(page,)], "t string")
+    row = df.select(references.unescape(df.t, closed=True).alias("p"), H.extract_article(df.t).alias("h"), density.extract_dense(df.t).alias("d")).first()
+    assert row.p == "<p>a&&&amp</p><p>&copy=1 <b &notit; &#39 'A &lt;</p>"
+    assert row.h.split() == ["a&&&amp", "&copy=1", "<b", "&notit;", "&#39", "'A", "&lt;"]
+    # The run of the most words is the second paragraph.
+    assert row.d.split() == row.h.split()[1:]
+
+
 def test_densest_run_is_that_of_all_runs(spark):
     r = random.Random(4)
     rows = [[r.randint(-5, 5) for _ in range(r.randint(0, 12))] for _ in range(200)]
