@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from fernwalk.functions import text as T
 
@@ -30,16 +32,37 @@ def costs(known: DataFrame) -> tuple[dict[str, float], float]:
     return {w: math.log(total / n) for w, n in counts.items()}, math.log(total / UNKNOWN)
 
 
-def cut_words(text: str, cost: dict[str, float], unknown: float) -> list[str]:
-    """The cut of the least cost; of equal ones the one whose last word is longest. Unknown characters stand alone."""
-    best, back = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
-    longest = min(LONGEST, max(map(len, cost), default=1))
-    for end in range(1, len(text) + 1):
-        best[end], back[end] = best[end - 1] + cost.get(text[end - 1], unknown), end - 1
-        for start in range(end - 2, max(-1, end - longest - 1), -1):
-            word = cost.get(text[start:end])
-            if word is not None and best[start] + word <= best[end]:
-                best[end], back[end] = best[start] + word, start
+def branches(cost: dict[str, float]) -> dict:
+    """The words as a trie of dicts; a word's cost stands under the empty text."""
+    root: dict = {}
+    for word, c in cost.items():
+        node = root
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = c
+    return root
+
+
+def cut_words(text: str, cost: dict[str, float], unknown: float, root: dict | None = None) -> list[str]:
+    """The cut of the least cost; of equal ones the one whose last word is longest. Unknown characters stand alone.
+
+    ``root`` is the trie of ``cost``; from each place only beginnings of words are followed.
+    """
+    root = branches(cost) if root is None else root
+    best, back = [math.inf] * (len(text) + 1), [0] * (len(text) + 1)
+    best[0] = 0.0
+    for start in range(len(text)):
+        here, node, end = best[start], root, start
+        for ch in text[start : start + LONGEST]:
+            node = node.get(ch)
+            if node is None:
+                break
+            end += 1
+            # Longer words reach an end before shorter ones do, so one of equal cost doesn't replace them.
+            if "" in node and here + node[""] < best[end]:
+                best[end], back[end] = here + node[""], start
+        if here + unknown < best[start + 1] and text[start] not in cost:
+            best[start + 1], back[start + 1] = here + unknown, start
     out, end = [], len(text)
     while end:
         out.append(text[back[end] : end])
@@ -47,14 +70,14 @@ def cut_words(text: str, cost: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
-def ends(words: str) -> Column:
-    """Where each of an array of words ends in the text that they make up."""
-    grown = F.aggregate(F.transform(words, F.length), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), _grow, lambda acc: acc["ends"])
-    return F.coalesce(grown, F.array().cast("array<int>"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def _sums(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda n: [] if n is None else np.cumsum(n, dtype=np.int32))
 
 
-def _grow(acc: Column, n: Column) -> Column:
-    return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["ends"], acc["at"] + n).alias("ends"))
+def ends(words: str) -> Column:
+    """Where each of an array of words ends in the text that they make up."""
+    return _sums(F.transform(words, F.length))
 
 
 def cut_texts(texts: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,9 +91,10 @@ def cut_texts(texts: DataFrame, known: DataFrame, text_col: str = "text") -> Dat
     @F.pandas_udf("array<array<string>>")
     def cut(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cost, other = shared.value
+        root = branches(cost)
         seen: dict[str, list[str]] = {}
         for runs in columns:
             seen.clear()
-            yield runs.map(lambda row: None if row is None else [seen.get(r) or seen.setdefault(r, cut_words(r, cost, other)) for r in row])
+            yield runs.map(lambda row: None if row is None else [seen.get(r) or seen.setdefault(r, cut_words(r, cost, other, root)) for r in row])
 
     return texts.withColumn("words", F.coalesce(F.flatten(cut(T.words(F.col(text_col)))), F.array().cast("array<string>")))
