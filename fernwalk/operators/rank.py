@@ -6,16 +6,22 @@ but one row of statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernwalk.constants import B, K1, LAMBDA
 from fernwalk.functions import text as T
-from fernwalk.operators.sentences import postings
+from fernwalk.operators.sentences import gathered
 from fernwalk.storage import stored
 
 #: Scores are rounded so before they are compared, as sums of floats depend on their order; parts keep more places.
 PART_PLACES, PLACES = 9, 6
+#: Sentences of which a task tells the sums at a time.
+SENTENCES = 20_000
 
 
 def _bm25(tf: Column, df: Column, n: Column, length: Column, average: Column, k1: float, b: float) -> Column:
@@ -50,21 +56,40 @@ def bm25(rows: DataFrame, terms: list[str], keys: list[str], text: str = "s", k1
 def centrality(rows: DataFrame, method: str = "centroid") -> DataFrame:
     """``(doc_id, pos, centrality)``: cosine of each sentence and its whole document.
 
-    The dot product is a sum over postings, so nothing is paired with anything.
+    The dot product is a sum over the sentence's words, so nothing is paired with
+    anything. Sentences are shuffled once, by document; a document's words are counted
+    where its sentences are, and nothing is sorted by word.
     """
     if method != "centroid":
         raise ValueError(f"no such method: {method}")
-    p = postings(rows)
-    whole = Window.partitionBy("doc_id", "term")
-    joined = p.withColumn("dtf", F.sum("tf").over(whole))
-    by_sentence = joined.groupBy("doc_id", "pos").agg(
-        F.sum(F.col("tf") * F.col("dtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("own")
-    )
-    # The square of the document's length is the sum of the dot products of its sentences.
-    norm = F.sum("dot").over(Window.partitionBy("doc_id"))
-    return by_sentence.withColumn("doc", norm).select(
-        "doc_id", "pos", F.round(F.col("dot") / (F.sqrt("own") * F.sqrt("doc")), PART_PLACES).alias("centrality")
-    )
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "pos")}
+    sums = gathered(rows).mapInArrow(_sums, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, dot long, own long, doc long")
+    # The parts are whole numbers, so they don't depend on any order.
+    return sums.select("doc_id", "pos", F.round(F.col("dot") / (F.sqrt("own") * F.sqrt("doc")), PART_PLACES).alias("centrality"))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each sentence with words its product with the whole document, and the squared lengths of both."""
+    for batch in batches:
+        ids = batch.column("doc_id")
+        rows, out = [], ([], [], [], [])
+        for k in range(batch.num_rows):
+            each: dict[int, Counter] = {}
+            for pos, words in zip(batch.column("pos")[k].as_py(), batch.column("words")[k].as_py(), strict=True):
+                if words:
+                    each.setdefault(pos, Counter()).update(words.split(" "))
+            whole: Counter = Counter()
+            for c in each.values():
+                whole.update(c)
+            doc = sum(n * n for n in whole.values())
+            for pos, c in each.items():
+                rows.append(k)
+                for column, x in zip(out, (pos, sum(n * whole[w] for w, n in c.items()), sum(n * n for n in c.values()), doc), strict=True):
+                    column.append(x)
+            if len(rows) >= SENTENCES or k == batch.num_rows - 1:
+                kinds = (batch.schema.field("pos").type.value_type, pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *map(pa.array, out, kinds)], names=["doc_id", "pos", "dot", "own", "doc"])
+                rows, out = [], ([], [], [], [])
 
 
 def combine(rows: DataFrame, bm25: DataFrame, centrality: DataFrame, lam: float = LAMBDA) -> DataFrame:
