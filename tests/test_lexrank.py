@@ -68,6 +68,24 @@ def test_a_word_of_all_sentences_proposes_no_pairs(spark):
     assert len(ranks) == 200 and {r.lexrank for r in ranks} == {1 / 200}
 
 
+def test_a_document_of_many_blocks_and_both_walks(spark, monkeypatch):
+    texts = documents(8) | {50: ". ".join(documents(k)[1] for k in range(40))}
+    rows = S.sentences(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    links, ranks = plain(texts)
+    monkeypatch.setattr(L, "BLOCK", 16)
+    monkeypatch.setattr(L, "TOLD", 40)
+    written, stored = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df: written.append(stored(df)) or written[-1])
+    got = {(r.doc_id, r.a, r.b): r.cosine for r in L.links(rows).collect()}
+    assert set(got) == set(links) and max(abs(got[k] - links[k]) for k in links) < 1e-6
+    # Nothing as large as postings or pairs is written.
+    assert max(t.count() for t in written) <= len(ranks)
+    for walked in (10**6, 30):
+        monkeypatch.setattr(L, "WALKED", walked)
+        p = {(r.doc_id, r.pos): r.lexrank for r in L.lexrank(rows).collect()}
+        assert set(p) == set(ranks) and max(abs(p[k] - ranks[k]) for k in ranks) < 1e-6
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, pos int, s string")
     assert L.lexrank(none, steps=1).isEmpty() and L.links(none).isEmpty()
