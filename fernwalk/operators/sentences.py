@@ -14,8 +14,8 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.select("doc_id", "pos", F.trim("s").alias("s")).where("s <> ''")
 
 
-def _counted(words: Column) -> Column:
-    """Each word of an array with how often it stands there: equal words are neighbours once they are sorted."""
+def counted_words(words: Column) -> Column:
+    """Each word of an array with how often it stands there: equal words are neighbours once they are sorted; the array isn't empty."""
 
     def runs(w: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
@@ -34,7 +34,7 @@ def postings(rows: DataFrame) -> DataFrame:
     """
     texts = rows.groupBy("doc_id", "pos").agg(F.collect_list("s").alias("all"))
     words = texts.select("doc_id", "pos", F.flatten(F.transform("all", T.words)).alias("w")).where("size(w) > 0")
-    return words.select("doc_id", "pos", F.explode(_counted(F.col("w"))).alias("x")).select("doc_id", "pos", "x.term", "x.tf")
+    return words.select("doc_id", "pos", F.explode(counted_words(F.col("w"))).alias("x")).select("doc_id", "pos", "x.term", "x.tf")
 
 
 def gathered(rows: DataFrame) -> DataFrame:
