@@ -6,14 +6,14 @@ import json
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fernwalk.functions import text as T
 from fernwalk.storage import shared_folder
 
-#: The store that keeps the state of ``first_page_stream``; a session that runs it must name it.
+#: The store that keeps the state of ``first_page_stream`` off the heap; with ``forget_ms`` a session that runs it must name it.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -47,9 +47,9 @@ def timing_stream(events: DataFrame, every: str = "1 day", delay: str = "1 hour"
 
 
 class _FirstPage(StatefulProcessor):
-    """Keeps the least page and place of one sentence, and takes back what it told before."""
+    """Keeps the least page and place of one sentence for a time, and tells each new one."""
 
-    def __init__(self, schema: str, forget_ms: int | None):
+    def __init__(self, schema: str, forget_ms: int):
         self.schema, self.forget_ms = schema, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -61,42 +61,59 @@ class _FirstPage(StatefulProcessor):
             held = self.first.get()
             if (held[0], held[1]) <= (doc_id, pos):
                 return
-            yield Row(op="drop", doc_id=held[0], pos=held[1], s=held[2])
         self.first.update((doc_id, pos, s))
-        yield Row(op="add", doc_id=doc_id, pos=pos, s=s)
+        yield Row(norm=key[0], doc_id=doc_id, pos=pos, s=s)
 
     def close(self) -> None:
         pass
 
 
 def first_page_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forget_ms: int | None = None) -> DataFrame:
-    """``(op, doc_id, pos, s)``: of equal sentences the one of the first page and place, whatever the order of arrival.
+    """``(norm, doc_id, pos, s)``: of equal sentences the one of the first page and place, whatever the order of arrival.
 
-    A sentence that comes later but belongs to an earlier page is added, and the one
-    told before is dropped. Added and not dropped is what
+    A sentence that comes later but belongs to an earlier page is told again and takes
+    the place of what was told before for its ``norm``, so the stream is written in
+    update mode (``run_once``). What is told last is what
     ``sentences.dedup_across_pages`` gives for all that arrived. The state is a row
-    for each distinct sentence; with ``forget_ms`` one that wasn't changed for so
-    long is forgotten. Rows without an id are left out.
+    for each distinct sentence, asked and set by Spark's own aggregation; with
+    ``forget_ms`` one that wasn't changed for so long is forgotten, for which each
+    sentence costs calls between Python and the state store. Rows without an id are
+    left out.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(T.sentences(F.col(text_col))).alias("pos", "s"))
     rows = rows.withColumn("s", F.trim("s")).where("s <> ''").withColumn("norm", F.lower("s"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    state = f"doc_id {kind}, pos int, s string"
-    mode = "none" if forget_ms is None else "processingTime"
-    return rows.groupBy("norm").transformWithState(_FirstPage(state, forget_ms), f"op string, {state}", "Update", mode)
+    if forget_ms is not None:
+        state = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos int, s string"
+        return rows.groupBy("norm").transformWithState(_FirstPage(state, forget_ms), f"norm string, {state}", "Update", "processingTime")
+    # The time is that of the batch, so a least row of an earlier batch is known by it and isn't told again.
+    firsts = rows.withColumn("at", F.current_timestamp()).groupBy("norm").agg(F.min(F.struct("doc_id", "pos", "s", "at")).alias("first"))
+    return firsts.where(F.col("first.at") == F.current_timestamp()).select("norm", "first.doc_id", "first.pos", "first.s")
 
 
 def standing(changes: DataFrame) -> DataFrame:
-    """``(doc_id, pos, s)``: what ``first_page_stream`` added and didn't drop."""
+    """``(doc_id, pos, s)``: what ``run_once`` added and didn't drop."""
     times = F.sum(F.when(F.col("op") == "add", 1).otherwise(-1))
-    return changes.groupBy("doc_id", "pos", "s").agg(times.alias("_n")).where("_n > 0").drop("_n")
+    # Grouped by norm too, rows stay where ``run_once`` has put them.
+    return changes.groupBy("norm", "doc_id", "pos", "s").agg(times.alias("_n")).where("_n > 0").drop("norm", "_n")
 
 
 def run_once(stream: DataFrame, folder: str) -> DataFrame:
-    """All that is there now through the stream, as a table in ``folder``; what a run before has told isn't told again."""
-    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    """``(op, norm, doc_id, pos, s)``: all that is there now through ``first_page_stream``, as a table in ``folder``.
+
+    What was told is added; all but the first page and place of a ``norm`` are dropped
+    as well. What a run before has told isn't told again.
+    """
+    rows = f"{folder}/rows"
+    # A stream without files has no batch, but a table without rows.
+    none = stream.sparkSession.range(0, 0, 1, 1).select(*(F.lit(None).cast(c.dataType).alias(c.name) for c in stream.schema))
+    none.write.mode("ignore").parquet(f"{rows}/batch=none")
+    # A batch that is done again after a failure replaces what it wrote.
+    writer = stream.writeStream.foreachBatch(lambda told, batch: told.write.mode("overwrite").parquet(f"{rows}/batch={batch}"))
+    writer.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    told = stream.sparkSession.read.schema(stream.schema).parquet(rows)
+    rank = F.row_number().over(Window.partitionBy("norm").orderBy("doc_id", "pos"))
+    ops = F.when(rank == 1, F.array(F.lit("add"))).otherwise(F.array(F.lit("add"), F.lit("drop")))
+    return told.select(*stream.columns, ops.alias("ops")).select(F.explode("ops").alias("op"), *stream.columns)
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:

@@ -37,6 +37,43 @@ def test_the_first_page_wins_in_any_order(spark, tmp_path, seed):
     assert again.where("doc_id = -1").count() > 0 and again.count() >= len(want)
 
 
+def test_state_of_sentences_is_kept_without_python(spark, tmp_path):
+    spark.conf.set(*streams.STATE_STORE)
+    schema, folder = "doc_id long, text string", tmp_path / "in"
+    folder.mkdir()
+    stream = streams.first_page_stream(streams.read_stream(spark, str(folder), schema, 1))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan and "Python" not in plan
+    told = lambda: sorted((x.op, x.doc_id, x.pos, x.s) for x in streams.run_once(stream, str(tmp_path / "out")).collect())
+    assert told() == []  # no file yet
+    want = []
+    # A later page tells nothing, an earlier one takes the place of what was told, once.
+    for docs, ops in (
+        ([(5, "One. TWO"), (6, "two")], [("add", 5, 0, "One"), ("add", 5, 1, "TWO")]),
+        ([(7, "one. two"), (5, "One. TWO")], []),
+        ([(3, "two")], [("drop", 5, 1, "TWO"), ("add", 3, 0, "two")]),
+        ([(4, "TWO")], []),
+        ([(3, "x. Two"), (2, "Two"), (1, "y. Two")], [("add", 3, 0, "x"), ("add", 1, 0, "y"), ("drop", 3, 0, "two"), ("add", 1, 1, "Two")]),
+    ):
+        spark.createDataFrame(docs, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        want = sorted(want + ops)
+        assert told() == want
+
+
+def test_sentences_of_a_time_are_told_alike(spark, tmp_path):
+    spark.conf.set(*streams.STATE_STORE)
+    # Else times that run out keep such a stream going.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for docs, want in (([(5, "One. TWO")], {(5, 0, "One"), (5, 1, "TWO")}), ([(7, "one"), (3, "two")], {(5, 0, "One"), (3, 0, "two")})):
+            spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = streams.read_stream(spark, str(tmp_path / "in"), "doc_id long, text string", 1)
+            changes = streams.run_once(streams.first_page_stream(stream, forget_ms=3_600_000), str(tmp_path / "out"))
+            assert {(x.doc_id, x.pos, x.s) for x in streams.standing(changes).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def plain_sessions(events, minutes=30):
     out = {}
     for user, t in sorted((u, t) for _, u, t in events):
