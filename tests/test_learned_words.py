@@ -6,8 +6,10 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+from fernwalk import queries
 from fernwalk.operators import abbreviations as A
 from fernwalk.operators import segment as G
 from fernwalk.operators import sentences as S
@@ -104,3 +106,52 @@ def test_texts_without_spaces(spark):
     assert got == {1: ["the", "quick", "dog", "z", "fox"], 2: [], 3: []}
     none = docs.where("false")
     assert {r.doc_id: r.words for r in G.cut_texts(docs, G.lexicon(none)).collect()}[2] == list("thedog")
+
+
+def test_many_texts_are_cut_as_each_one(monkeypatch):
+    r = random.Random(5)
+    words = {"".join(r.choices("abcdeé𐐨", k=r.randint(1, 6))) for _ in range(400)} | {"f" * 32, "g" * 33}
+    cost = {w: float(r.randint(1, 9)) for w in words}
+    texts = ["".join(r.choices("abcdeé𐐨fgz", k=r.choice([0, 1, 40, 300]))) for _ in range(60)] + ["f" * 70, "", "g" * 40, "".join(words)]
+    for size in (16, 1 << 15):
+        monkeypatch.setattr(G, "CHARACTERS", size)
+        for known in ({w: c for w, c in cost.items() if len(w) <= G.LONGEST}, {}):
+            want = [list(itertools.accumulate(map(len, G.cut_words(t, known, 9.5)))) for t in texts]
+            assert [e.tolist() for e in G.Cutter(known, 9.5).ends(iter(texts))] == want
+
+
+def test_cuts_hold_little():
+    """A trie of dicts and the words of whole batches took hundreds of MB in each of two workers of a task."""
+    r = random.Random(6)
+    cost = {"".join(r.choices("abcdefghij", k=12)): r.uniform(5, 9) for _ in range(20_000)}
+    words = list(cost)
+    tracemalloc.start()
+    trie = G.branches(cost)
+    dicts = tracemalloc.get_traced_memory()[0]
+    del trie
+    cutter = G.Cutter(cost, 20.0)
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    cut = sum(len(e) for e in cutter.ends("".join(r.choices(words, k=500)) for _ in range(100)))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert cut >= 50_000 and peak < 60e6
+    assert cutter.keys.nbytes + cutter.nodes.nbytes + cutter.cost.nbytes < dicts / 2
+
+
+def test_cut_again_in_one_pass(spark, tmp_path):
+    """Before, the words of the cut went from one worker by the JVM to another one."""
+    texts = [(1, "The quick fox. the lazy dog"), (2, "THE dogs 12"), (3, None), (4, "12"), (5, ""), (None, "fox fox")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.segment_words(spark, str(tmp_path))
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    table, unknown = G.costs(G.lexicon(docs))
+    want = {}
+    for i, t in texts:
+        own = re.findall(r"[^\W\d_]+", (t or "").lower())
+        cut = G.cut_words("".join(own), table, unknown)
+        same = set(itertools.accumulate(map(len, own))) & set(itertools.accumulate(map(len, cut)))
+        want[i] = (None if t is None else len(own), len(cut), len(same))
+    assert {r.doc_id: (r.n_words, r.n_cut, r.n_same) for r in got.collect()} == want
+    assert got.schema.simpleString() == "struct<doc_id:bigint,n_words:int,n_cut:int,n_same:int>"
